@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import table
+from tarn.llm.exact_dedup import exact_groups
+from tarn.llm.near_dedup import near_groups
 from tarn.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +31,31 @@ def query(name: str, oracle: str | None = None):
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), window=1024)
+
+
+@query("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their near-duplicate component."""
+    return near_groups(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
+@query(
+    "op4_exact_dedup",
+    r"""
+    WITH bare AS (
+        SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body
+        FROM documents),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY body ORDER BY n_chars DESC, doc_id NULLS FIRST) AS place,
+               count(*) OVER (PARTITION BY body) AS group_size
+        FROM bare),
+    best AS (SELECT body, doc_id AS keep_id FROM ranked WHERE place = 1)
+    SELECT r.doc_id, b.keep_id, r.group_size, r.doc_id IS NOT DISTINCT FROM b.keep_id AS kept,
+           sha256(r.body) AS text_sha256, r.n_chars
+    FROM ranked r JOIN best b ON r.body = b.body
+    """,
+)
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the row that stays for their text."""
+    return exact_groups(table(spark, sf_dir, "documents"))
