@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import table
 from tarn.llm.exact_dedup import exact_groups
+from tarn.llm.mixing import mix
 from tarn.llm.near_dedup import near_groups
 from tarn.llm.packing import pack
+from tarn.llm.sharding import shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +61,15 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the row that stays for their text."""
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pareto_mixing")
+def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each."""
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, most=2)
+
+
+@query("op9_vector_sharding")
+def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    return shard(table(spark, sf_dir, "documents"), shards=16)
