@@ -12,6 +12,7 @@ from tarn.llm.mixing import mix
 from tarn.llm.near_dedup import near_groups
 from tarn.llm.packing import pack
 from tarn.llm.sharding import shard
+from tarn.llm.substring_dedup import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,9 @@ def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of documents that repeat in another document."""
+    return repeated_passages(table(spark, sf_dir, "documents"), least_words=30)
