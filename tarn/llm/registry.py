@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import table
 from tarn.llm.exact_dedup import exact_groups
+from tarn.llm.knn import top_k
 from tarn.llm.mixing import mix
 from tarn.llm.near_dedup import near_groups
 from tarn.llm.packing import pack
 from tarn.llm.sharding import shard
 from tarn.llm.substring_dedup import repeated_passages
+from tarn.llm.url_filter import judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +82,31 @@ def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages of documents that repeat in another document."""
     return repeated_passages(table(spark, sf_dir, "documents"), least_words=30)
+
+
+@query(
+    "op7_kdtree_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+    """,
+)
+def op7_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors for every fiftieth one."""
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+@query("op10_url_trust")
+def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with the rule or the trust that judges them."""
+    return judged(table(spark, sf_dir, "pages"))
