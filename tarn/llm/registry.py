@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tarn.llm.common import table
 from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.knn import top_k
+from tarn.llm.language import identified
 from tarn.llm.mixing import mix
 from tarn.llm.near_dedup import near_groups
 from tarn.llm.packing import pack
 from tarn.llm.sharding import shard
 from tarn.llm.substring_dedup import repeated_passages
+from tarn.llm.toxicity import scored
 from tarn.llm.url_filter import judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +112,15 @@ def op7_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages with the rule or the trust that judges them."""
     return judged(table(spark, sf_dir, "pages"))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their predicted language."""
+    return identified(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their toxicity, learned from the labels."""
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
