@@ -1,11 +1,60 @@
-"""The corpus pipeline: stages over ``documents``, one after the other."""
+"""The corpus pipeline: stages over ``documents``, one after the other.
 
-STAGES = []
+Toxic documents go, then exact copies, then near copies; the sources of what is
+left are mixed to target weights, and the mix is packed into token windows.
+Every stage works on all rows that the one before kept.
+"""
+
+from tarn.llm.common import cut, table
+from tarn.llm.exact_dedup import distinct_documents
+from tarn.llm.mixing import mixed_documents
+from tarn.llm.near_dedup import one_of_each_group
+from tarn.llm.packing import pack
+from tarn.llm.toxicity import without_toxic
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that the machine trained on ``labels`` does not find toxic."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark, docs, sf_dir):
+    """One document of each group of equal texts."""
+    return distinct_documents(docs)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each group of near duplicates."""
+    return one_of_each_group(docs, width=5, percent=75)
+
+
+def mixing(spark, docs, sf_dir):
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs, weights=(5, 2, 1), percent=150, most=2)
+
+
+def packing(spark, docs, sf_dir):
+    """The pieces of all documents in windows of 1024 tokens."""
+    return pack(docs, window=1024)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: Packing and the toxicity machine are beyond SQL; tests hold brute force beside them.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages in turn over ``documents``, each cut from the one before."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs
