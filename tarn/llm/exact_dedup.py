@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut
+from tarn.llm.common import cut, unused
 from tarn.llm.text_bytes import BLANKS, gear, slices, texts
 
 #: Bytes of a chunk: least, about the mean above it (a power of two), and most.
@@ -175,20 +175,22 @@ def exact_groups(
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one row of each group of equal texts."""
     groups = cut(exact_groups(docs, id_col, text_col))
+    keep, sha, n, own_sha, own_n = unused(docs, "_keep", "_sha", "_n", "_own_sha", "_own_n")
     kept = (
         groups.where("kept")
-        .groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-        .agg(F.max("n_chars").alias("_n"))
+        .groupBy(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha))
+        .agg(F.max("n_chars").alias(n))
     )
-    same_id = F.col(id_col).eqNullSafe(F.col("_keep"))
+    same_id = F.col(id_col).eqNullSafe(F.col(keep))
     if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.join(kept, same_id, "left_semi")
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256)
+    same_text = (F.col(own_sha) == F.col(sha)) & (F.col(own_n) == F.col(n))
     return (
-        docs.withColumn("_s", bare)
-        .withColumn("_l", F.length(text))
-        .join(kept, same_id & (F.col("_s") == F.col("_sha")) & (F.col("_l") == F.col("_n")), "left_semi")
-        .dropDuplicates([id_col, "_s"])
+        docs.withColumn(own_sha, bare)
+        .withColumn(own_n, F.length(text))
+        .join(kept, same_id & same_text, "left_semi")
+        .dropDuplicates([id_col, own_sha])
         .select(*docs.columns)
     )

@@ -12,8 +12,9 @@ Queries travel in blocks of bounded size; each block meets each shard once.
 Defined cases: vectors that are null, or hold null or non-finite components,
 take no part; vectors of different length have no product and do not meet; an
 empty vector scores 0 with empty ones; a row is no candidate for a query of the
-same id, and rows that repeat an id are rows of their own; null ids take no
-part; an empty table gives no rows; other columns are ignored.
+same id, and candidates that repeat an id are rows of their own; a query that
+repeats id and vector is asked once, and queries of one id share one list; null
+ids take no part; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def top_k(
     )
     queries = whole.where(F.col("vec_id") % every == 0).select(
         F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.size("vector").alias("width")
-    )
+    ).distinct()
     n, asked = whole.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
     pilot_of = max(1, n // PILOT)

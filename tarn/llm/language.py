@@ -54,7 +54,8 @@ def folded(text: str) -> np.ndarray:
     wanted[:-1] |= letter[1:]
     wanted[1:] |= letter[:-1]
     points = np.where(letter, points, BLANK)[wanted]
-    double = np.concatenate(([False], (points[1:] == BLANK) & (points[:-1] == BLANK)))
+    double = np.zeros(len(points), bool)
+    double[1:] = (points[1:] == BLANK) & (points[:-1] == BLANK)
     return points[~double]
 
 

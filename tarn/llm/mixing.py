@@ -4,8 +4,8 @@ A source's target is its share of the mix by weight, at most ``most`` times its
 own size.  A document is due target / size copies of itself: the whole part is
 certain, the rest is its inclusion probability for one more copy.  Documents are
 ranked by random odds over inclusion odds, U / (1 - U) over p / (1 - p), and the
-first ones are taken until the source's rest is filled; one document whose size
-is nearest to what is then missing closes the gap.
+first ones are taken until the source's rest is filled; then ``CLOSING`` times the
+document whose size is nearest to what is still missing comes to it.
 
 The rank is cut without sorting a source: sizes are summed in ``BUCKETS`` equal
 steps of the rank, the step where the running sum passes the rest is found, and
@@ -22,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, word_count
+from tarn.llm.common import cut, unused, word_count
 
 #: Steps in which a source's ranks are summed.
 BUCKETS = 1 << 16
+#: Documents that may close a source's gap, one after the other.
+CLOSING = 2
 
 
 def targets(
@@ -143,7 +145,9 @@ def mix(
         .select(columns)
         .union(inside.withColumn("more", fits.cast("long")).select(columns))
     )
-    out = closed(taken)
+    out = taken
+    for _ in range(CLOSING):
+        out = cut(closed(out))
     copies = F.col("whole") + F.col("more")
     return out.select(
         "doc_id",
@@ -190,21 +194,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows equal in id, source and text are taken alike.
     """
-    names = {k: options.get(k, k[:-4]) for k in ("text_col", "source_col")}
-    id_col = options.get("id_col", "doc_id")
-    copies = (
+    id_col, text_col, source_col = (options.get(f"{x}_col", y) for x, y in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    own_id, own_source, mark, copies, copy = unused(docs, "_id", "_source", "_mark", "_copies", "_copy")
+    taken = (
         mix(docs, **options)
         .where("copies > 0 AND size > 0")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark"))
-        .agg(F.max("copies").alias("_copies"))
+        .groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("mark").alias(mark))
+        .agg(F.max("copies").alias(copies))
     )
     return (
         docs.join(
-            copies,
-            F.col(id_col).eqNullSafe(F.col("_id"))
-            & F.col(names["source_col"]).eqNullSafe(F.col("_source"))
-            & (F.xxhash64(names["text_col"]) == F.col("_mark")),
+            taken,
+            F.col(id_col).eqNullSafe(F.col(own_id))
+            & F.col(source_col).eqNullSafe(F.col(own_source))
+            & (F.xxhash64(text_col) == F.col(mark)),
         )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
         .select(*docs.columns)
     )

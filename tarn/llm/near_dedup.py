@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut
+from tarn.llm.common import cut, unused
 from tarn.llm.components import components
 from tarn.llm.text_bytes import mix, shingle_sets, slices, texts
 
@@ -237,16 +237,16 @@ def one_of_each_group(
     Texts without words are in no group and all stay.
     """
     groups = cut(near_groups(docs, width, percent, id_col, text_col))
-    kept = groups.where("kept").select(F.col("doc_id").alias("_keep"), F.col("n_shingles").alias("_n"))
-    out = docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    if kept.where("_n > 0").groupBy("_keep").count().where("count > 1").isEmpty():
+    keep, n, own_id, least = unused(docs, "_keep", "_n", "_id", "_text")
+    kept = groups.where("kept").select(F.col("doc_id").alias(keep), F.col("n_shingles").alias(n))
+    out = docs.join(kept.select(keep).distinct(), F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
+    if kept.where(F.col(n) > 0).groupBy(keep).count().where("count > 1").isEmpty():
         return out
     words = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", ""))
     with_words = out.where(words > 0)
-    first = with_words.groupBy(F.col(id_col).alias("_id")).agg(F.min(text_col).alias("_text"))
+    first = with_words.groupBy(F.col(id_col).alias(own_id)).agg(F.min(text_col).alias(least))
     return (
-        with_words.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(text_col) == F.col("_text")))
-        .drop("_id", "_text")
+        with_words.join(first, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(text_col) == F.col(least)))
         .dropDuplicates([id_col])
         .select(*docs.columns)
         .union(out.where(words == 0))

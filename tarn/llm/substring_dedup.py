@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut
+from tarn.llm.common import unused
 from tarn.llm.text_bytes import BYTE, IS_BLANK, gear, mix, powers, slices, texts
 
 #: Cut points that a chunk reaches over, and that compete to start one.
@@ -139,17 +139,17 @@ def without_repeats(
     docs: DataFrame, least_words: int = 30, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with repeated spans cut out of all texts but the first's."""
-    row_key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    spans = (
+    row_key, key, spans = unused(docs, "_row_key", "_key", "_spans")
+    repeats = (
         repeated_passages(docs, least_words, id_col, text_col)
         .where("NOT kept")
-        .groupBy(F.col("doc_id").alias("_key"))
-        .agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
+        .groupBy(F.col("doc_id").alias(key))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(spans))
     )
     utf8 = F.encode(text_col, "UTF-8")
-    last = F.element_at("_spans", -1)
+    last = F.element_at(spans, -1)
     kept = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<binary>").alias("parts")),
         lambda held, span: F.struct(
             (span["start"] + span["length"]).alias("at"),
@@ -161,12 +161,10 @@ def without_repeats(
     )["parts"]
     tail = F.substring(utf8, (last["start"] + last["length"] + 1).cast("int"), F.octet_length(text_col))
     joined = F.array_join(F.transform(F.array_append(kept, tail), F.hex), "")
+    whole = F.col(text_col)
     return (
-        docs.withColumn("_row_key", row_key)
-        .join(spans, F.col("_row_key") == F.col("_key"), "left")
-        .withColumn(
-            text_col,
-            F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.decode(F.unhex(joined), "UTF-8")),
-        )
+        docs.withColumn(row_key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+        .join(repeats, F.col(row_key) == F.col(key), "left")
+        .withColumn(text_col, F.when(F.col(spans).isNull(), whole).otherwise(F.decode(F.unhex(joined), "UTF-8")))
         .select(*docs.columns)
     )
