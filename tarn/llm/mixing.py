@@ -5,7 +5,8 @@ own size.  A document is due target / size copies of itself: the whole part is
 certain, the rest is its inclusion probability for one more copy.  Documents are
 ranked by random odds over inclusion odds, U / (1 - U) over p / (1 - p), and the
 first ones are taken until the source's rest is filled; then ``CLOSING`` times the
-document whose size is nearest to what is still missing comes to it.
+document whose size is nearest to what is still missing, or too much, is taken or
+left.
 
 The rank is cut without sorting a source: sizes are summed in ``BUCKETS`` equal
 steps of the rank, the step where the running sum passes the rest is found, and
@@ -26,8 +27,8 @@ from tarn.llm.common import cut, unused, word_count
 
 #: Steps in which a source's ranks are summed.
 BUCKETS = 1 << 16
-#: Documents that may close a source's gap, one after the other.
-CLOSING = 2
+#: Documents that may be taken or left to close a source's gap, one after the other.
+CLOSING = 3
 
 
 def targets(
@@ -162,22 +163,22 @@ def mix(
 
 
 def closed(taken: DataFrame) -> DataFrame:
-    """``taken`` with one more document a source, where that closes its gap.
+    """``taken`` with one document a source taken or left where that closes its gap.
 
-    The ranked prefix stops short of the rest by less than its next document;
-    of those not taken, the one whose size is nearest to the gap is.
+    The gap is what the ranked copies lack of the rest, or exceed it by; the
+    document whose size is nearest to it is the one.
     """
     same_source = F.col("source").eqNullSafe(F.col("gap_source"))
     gaps = (
         taken.groupBy(F.col("source").alias("gap_source"))
         .agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
-        .where("gap > 0")
+        .where("gap <> 0")
     )
-    off = F.abs(F.col("gap") - F.col("size"))
+    off = F.abs(F.col("gap") - F.col("size") * (1 - 2 * F.col("more")))
     nearest = (
-        taken.where("more = 0 AND rank IS NOT NULL")
+        taken.where("rank IS NOT NULL")
         .join(gaps, same_source)
-        .where(off < F.col("gap"))
+        .where(off < F.abs("gap"))
         .groupBy("gap_source")
         .agg(F.min(F.struct(off.alias("off"), "rank", "doc_id", "mark")).alias("best"))
         .select("gap_source", F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark"))
@@ -185,7 +186,7 @@ def closed(taken: DataFrame) -> DataFrame:
     nearest = cut(nearest)
     this = same_source & F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
     first = F.row_number().over(Window.partitionBy("source").orderBy("more", "rank"))
-    hit = taken.join(nearest, this).withColumn("more", F.when(first == 1, 1).otherwise(F.col("more")))
+    hit = taken.join(nearest, this).withColumn("more", F.when(first == 1, 1 - F.col("more")).otherwise(F.col("more")))
     return taken.join(nearest, this, "left_anti").union(hit.select(taken.columns))
 
 
