@@ -1,10 +1,6 @@
 """Names of the site-analytics queries, with their oracles."""
 
-from __future__ import annotations
+from tarn.plans import embedding, extension, features, forecast, places, report, search, upkeep  # noqa: F401
+from tarn.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
