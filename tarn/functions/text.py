@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def like_escaped(text: str) -> str:
@@ -29,7 +30,7 @@ def display_name(name: Column, site_id: Column, state: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_accents(names: pd.Series) -> pd.Series:
     """Names without combining marks; Spark has no expression that decomposes text."""
     bare = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))

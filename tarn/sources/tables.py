@@ -13,16 +13,11 @@ def geojson_features(spark: SparkSession, path: str, country: str | None = None)
 
     Attributes go by the names that such files use; the first one present wins.
     """
-    properties = (
-        "struct<Hylak_id:string,lake_id:string,id:string,Lake_name:string,name:string,Country:string,country:string,"
-        "Lake_area:string,area:string,Pour_lat:string,Pour_long:string>"
-    )
-    schema = (
-        f"type string, features array<struct<type:string,properties:{properties},"
-        "geometry:struct<type:string,coordinates:string>>>"
-    )
+    shape_type = "struct<type:string,coordinates:string>"
+    schema = f"type string, features array<struct<type:string,properties:string,geometry:{shape_type}>>"
     rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
-    p = lambda *names: F.coalesce(*(F.nullif(F.trim(f"f.properties.{n}"), F.lit("")) for n in names))
+    field = lambda name: F.get_json_object("f.properties", f"$.{name}")
+    p = lambda *names: F.coalesce(*(F.nullif(F.trim(field(n)), F.lit("")) for n in names))
     shape = F.col("f.geometry.coordinates")
     ring = F.coalesce(
         F.get(F.from_json(F.when(F.col("f.geometry.type") == "Polygon", shape), "array<array<array<double>>>"), F.lit(0)),
@@ -36,9 +31,9 @@ def geojson_features(spark: SparkSession, path: str, country: str | None = None)
         p("Hylak_id", "lake_id", "id").cast("long").alias("lake_id"),
         p("Lake_name", "name").alias("lake_name"),
         p("Country", "country").alias("country"),
-        first_number(F.col("f.properties.Lake_area"), F.col("f.properties.area")).alias("area_sqkm"),
-        first_number(F.col("f.properties.Pour_lat")).alias("pour_lat"),
-        first_number(F.col("f.properties.Pour_long")).alias("pour_lon"),
+        first_number(field("Lake_area"), field("area")).alias("area_sqkm"),
+        first_number(field("Pour_lat")).alias("pour_lat"),
+        first_number(field("Pour_long")).alias("pour_lon"),
         points.alias("ring"),
     )
     middle = lambda k: F.aggregate(

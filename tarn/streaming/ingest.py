@@ -40,7 +40,9 @@ def merge_stream(
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by time window and type; works on streams and on tables."""
-    seen = events.withWatermark("ts", late) if events.isStreaming else events
+    seen = events
+    if events.isStreaming:  # a watermark needs an instant
+        seen = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return (
         seen.groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
