@@ -8,8 +8,11 @@ do.
 
 The pairs of a band are not listed.  Each member is first tried against one
 leader of its band, in two rounds with different leaders; bands whose members
-then lie in one component are settled.  Only pairs of different components in a
-band are tried one by one, so no candidate link is lost.
+then lie in one component are settled.  In what is left, pairs of different
+components in a band of up to ``CROWD`` members are tried one by one.  Members of
+larger bands gather in blocks by the most crowded band they are in; blocks that
+share a band meet, and a task that holds two blocks counts what their full sets
+have in common and returns the links only.  No candidate link is lost.
 
 Defined cases: null and blank texts have no shingles, link with nothing and are
 their own component; shorter texts are one shingle of all their words; rows with
@@ -38,6 +41,10 @@ HASHES, BAND = 128, 4
 #: Share of equal minima below which a pair's full sets are not compared; at a
 #: similarity of 0.75 that is over six standard deviations off.
 LEAST_AGREEING = 0.5
+#: Members of a band up to which its pairs are listed.
+CROWD = 32
+#: Nodes and shingles of a block, and shingles that a task counts at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 4096
 
 _RANDOM = np.random.default_rng(7)
 MULTIPLIERS = _RANDOM.integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -141,6 +148,98 @@ def similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def common_counts(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of sets before ``split`` with those from it on.
+
+    Shingles of one set only are left out; the others become columns of zeros and
+    ones, and their products are added up.
+    """
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((split, len(sets) - split), np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(column, (first, first + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[low:high], column[low:high] - first] = 1
+        out += held[:split] @ held[split:].T
+    return out
+
+
+def links_of_blocks(percent: int):
+    """Links between two blocks, or inside one: a forest over their labels."""
+
+    def read(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: not r["first"])
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        split = sum(r["first"] for r in rows)
+        if split == len(rows):  # one block with itself
+            rows, sets = rows * 2, sets * 2
+        sizes = np.array([len(x) for x in sets])
+        common = common_counts(sets, split) if len(rows) > split > 0 else np.zeros((0, 0))
+        union = sizes[:split, None] + sizes[None, split:] - common if common.size else common
+        above: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while x in above:
+                x = above[x]
+            return x
+
+        found = []
+        for i, j in np.argwhere(100 * common >= percent * union):
+            one, other = rows[i], rows[split + j]
+            a, b = sorted((top(one["label"]), top(other["label"])))
+            if a != b:
+                above[b] = a
+                found.append((one["node"], other["node"]))
+        pairs = [(min(p), max(p)) for p in found]
+        return pa.table({k: pa.array([p[i] for p in pairs], pa.binary()) for i, k in enumerate("ab")})
+
+    return read
+
+
+def crowded_links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in bands too crowded to list their pairs.
+
+    ``members`` has (node, band, label).  A node's home is its most crowded band,
+    and homes are cut into blocks; a node goes to every pair of blocks that may
+    hold a candidate of it.
+    """
+    in_band = members.groupBy("band").agg(F.count("*").alias("n"))
+    home = members.join(in_band, "band").groupBy("node").agg(F.max(F.struct("n", "band")).alias("most"))
+    home = cut(home.select("node", F.col("most.band").alias("home")))
+    weight = F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)
+    blocks = cut(
+        home.join(nodes.select("node", (F.octet_length("shingles") / 8).alias("shingles")), "node")
+        .groupBy("home")
+        .agg(F.ceil(weight).cast("int").alias("blocks"))
+    )
+    seen = members.join(home, "node")
+    present = seen.select("band", F.col("home").alias("other")).distinct()
+    meets = seen.join(present, "band").select("node", "label", "home", "other").distinct()
+    theirs = blocks.select(F.col("home").alias("other"), F.col("blocks").alias("others"))
+    dealt = (
+        meets.join(blocks, "home")
+        .join(theirs, "other")
+        .withColumn("mine", F.struct("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        .withColumn("theirs", F.struct(F.col("other").alias("home"), "block"))
+        .withColumn("one", F.least("mine", "theirs"))
+        .withColumn("two", F.greatest("mine", "theirs"))
+        .select("node", "label", "one", "two", (F.col("mine") == F.col("one")).alias("first"))
+    )
+    return (
+        dealt.join(nodes.select("node", "shingles"), "node")
+        .groupBy("one", "two")
+        .applyInArrow(links_of_blocks(percent), "a binary, b binary")
+    )
+
+
 def node_links(rows: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, label) of every node with a link; the label names its component."""
     nodes = (
@@ -179,8 +278,10 @@ def node_links(rows: DataFrame, sketched: DataFrame, width: int, percent: int) -
             if labelled.isEmpty():
                 break
         if seed is None:
-            other = labelled.select(F.col("node").alias("node2"), "band", F.col("label").alias("label2"))
-            tried = labelled.join(other, "band").where("label < label2")
+            crowd = labelled.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("band")
+            few = labelled.join(crowd, "band", "left_anti")
+            other = few.select(F.col("node").alias("node2"), "band", F.col("label").alias("label2"))
+            tried = few.join(other, "band").where("label < label2")
         else:
             leader = labelled.groupBy("band").agg(
                 F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node", "label")).alias("lead")
@@ -191,7 +292,10 @@ def node_links(rows: DataFrame, sketched: DataFrame, width: int, percent: int) -
                 .where("label <> label2")
             )
         pairs = tried.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        found = cut(similar(pairs, candidates, percent))
+        found = similar(pairs, candidates, percent)
+        if seed is None:
+            found = found.union(crowded_links(labelled.join(crowd, "band", "left_semi"), candidates, percent))
+        found = cut(found)
         links = found if links is None else links.union(found)
         labels = components(links)
     return labels

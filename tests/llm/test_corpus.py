@@ -219,6 +219,35 @@ def test_near_dedup_real(spark, documents):
     assert found == near_brute(documents.collect())
 
 
+@pytest.mark.parametrize("crowd, block", [(2, 3), (1, 256)])
+def test_near_dedup_in_blocks(spark, documents, docs, monkeypatch, crowd, block):
+    from tarn.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = random.Random(8)
+    rows = []
+    for g in range(3):  # groups whose members are about as alike as the bound
+        base = [r.choice(VOCABULARY) for _ in range(120)]
+        for k in range(25):
+            own = list(base)
+            for _ in range(r.randint(1, 5)):
+                own[r.randrange(120)] = f"x{r.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_groups(table).collect())
+    assert found == near_brute(table.collect())
+
+
+def test_common_counts():
+    from tarn.llm.near_dedup import common_counts
+
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 9000, r.integers(1, 6000)).astype(np.uint64)) for _ in range(9)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+    assert common_counts(sets, 4).tolist() == want
+
+
 def test_one_of_each_group(documents):
     keep = {r.doc_id for r in near_groups(documents).where("kept").collect()}
     out = one_of_each_group(documents)
