@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,13 +20,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is used.
+    unset (tests on one machine) a temporary folder is used.  What led to ``df``
+    is garbage then: the driver collects it at once, so that executors let go of
+    its shuffle files, which would else pile up over many rounds.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
