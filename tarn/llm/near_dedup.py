@@ -206,12 +206,14 @@ def links_of_blocks(percent: int):
 def crowded_links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) in bands too crowded to list their pairs.
 
-    ``members`` has (node, band, label).  A node's home is its most crowded band,
-    and homes are cut into blocks; a node goes to every pair of blocks that may
-    hold a candidate of it.
+    ``members`` has (node, band, label).  A node's home is the most crowded band
+    of those it shares a band with, and homes are cut into blocks.  Homes that share a band meet, whole and once,
+    however many bands they share; that is more than the candidates, never less.
     """
     in_band = members.groupBy("band").agg(F.count("*").alias("n"))
     home = members.join(in_band, "band").groupBy("node").agg(F.max(F.struct("n", "band")).alias("most"))
+    best = members.join(home, "node").groupBy("band").agg(F.max("most").alias("most"))
+    home = members.join(best, "band").groupBy("node").agg(F.max("most").alias("most"))
     home = cut(home.select("node", F.col("most.band").alias("home")))
     weight = F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)
     blocks = cut(
@@ -219,9 +221,10 @@ def crowded_links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFra
         .groupBy("home")
         .agg(F.ceil(weight).cast("int").alias("blocks"))
     )
-    seen = members.join(home, "node")
-    present = seen.select("band", F.col("home").alias("other")).distinct()
-    meets = seen.join(present, "band").select("node", "label", "home", "other").distinct()
+    in_homes = members.join(home, "node").select("band", "home").distinct()
+    other = in_homes.select("band", F.col("home").alias("other"))
+    met = in_homes.join(other, "band").select("home", "other").distinct()
+    meets = members.select("node", "label").distinct().join(home, "node").join(met, "home")
     theirs = blocks.select(F.col("home").alias("other"), F.col("blocks").alias("others"))
     dealt = (
         meets.join(blocks, "home")
