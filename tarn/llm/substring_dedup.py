@@ -1,19 +1,18 @@
 """Passages that repeat across documents, by content-defined chunks.
 
-A gear rolling hash of the bytes places cut points, about one in nine bytes.  A
-chunk reaches from one cut point over ``SPAN`` more, so its length follows the
-content and an insertion only changes the chunks around it.  Of every ``WINDOW``
-consecutive cut points the one with the least hash starts a chunk, so any
-passage with ``SPAN + WINDOW`` cut points holds a whole chunk, and chunks overlap
-little.  Chunks are deduplicated by digest: a digest in more than one document is
-a repeat.  A document's repeated chunks that touch are merged, and merged spans
-of ``least_words`` words or more are returned.
-
-A span falls short of the passage around it, by the bytes that a cut point needs
-to see and by a chunk's spacing at either end: some eight words in all, and less
-than 20 of 50.  Hence ``least_words`` is 30 for passages of over 50 words.
-
-Defined cases: null, empty and short texts hold no chunk; rows of one id count
+A chunk is ``least_words`` words on end, with the bytes between them.  Of every
+``WINDOW`` consecutive chunks the one with the least digest stays, so where chunks
+start follows the content alone, and equal passages keep equal chunks whatever
+stands around them.  Chunks are deduplicated by digest: a digest in more than one
+document is a repeat.  A document's repeated chunks that touch are merged into
+spans, which are returned.
+
+Every passage of ``least_words + WINDOW - 1`` whole words holds a chunk that stays,
+so all such repeats are found, whatever their words.  A span falls short of the
+passage around it by up to ``WINDOW - 1`` words at either end; it never reaches
+over it.  A text of a short period keeps one chunk over and over, as one long row.
+
+Defined cases: null and empty texts and those of fewer words hold no chunk; rows of one id count
 as one document, so a text that repeats under one id does not repeat; rows with
 a null id and equal text too; an empty table gives no rows; other columns are
 ignored, or kept by ``without_repeats``.
@@ -29,52 +28,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import unused
-from tarn.llm.text_bytes import BYTE, IS_BLANK, gear, mix, powers, slices, texts
+from tarn.llm.text_bytes import BYTE, IS_BLANK, mix, powers, slices, texts
 
-#: Cut points that a chunk reaches over, and that compete to start one.
-SPAN, WINDOW = 10, 8
-#: Cut points in 64 bytes.
-CUTS = 7
-#: Bytes that decide a cut point and its rank: bits 12 to 19 of the gear hash.
-SEEN = 20
+#: Consecutive chunks of which the one with the least digest stays.
+WINDOW = 8
 
 
-def chunks(data: list[bytes]) -> tuple[np.ndarray, ...]:
+def chunks(data: list[bytes], n_words: int) -> tuple[np.ndarray, ...]:
     """(text, digest, start, end, first word, last word) of the chunks of texts."""
-    joined = np.frombuffer(b"".join(data), np.uint8)
-    if not len(joined):
+    joined = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    blank = IS_BLANK[joined]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    ends = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
+    n = len(starts) - n_words + 1
+    if n <= 0:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64))
-    hashes = gear(joined)
-    whole = np.append(joined[1:] & 0xC0 != 0x80, True)  # never inside a character
-    cuts = np.flatnonzero(((hashes >> np.uint32(12)) & np.uint32(63) < CUTS) & whole)
-    ranks = (hashes[cuts] >> np.uint32(12)) & np.uint32(255)
-    ranks = mix(ranks.astype(np.uint64)) ^ mix(joined[cuts].astype(np.uint64))
+    begins = np.cumsum([0, *(len(x) + 1 for x in data)])
+    bounds = np.searchsorted(starts, begins)
     up, down = powers(len(joined) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[joined] * up[:-1], dtype=np.uint64)))
-    starts = ~IS_BLANK[joined] & np.concatenate(([True], IS_BLANK[joined[:-1]]))
-    words = np.cumsum(starts)
-    which, heads, tails = [], [], []
-    begin = 0
-    for i, text in enumerate(data):
-        low, high = np.searchsorted(cuts, (begin + SEEN, begin + len(text)))
-        n = high - low - SPAN
-        if n > 0:
-            width = min(WINDOW, n)
-            view = np.lib.stride_tricks.sliding_window_view(ranks[low : low + n], width)
-            picked = np.unique(view.argmin(axis=1) + np.arange(n - width + 1)) + low
-            which.append(np.full(len(picked), i))
-            heads.append(cuts[picked] + 1)
-            tails.append(cuts[picked + SPAN] + 1)
-        begin += len(text)
-    if not which:
-        return chunks([])
-    which, heads, tails = map(np.concatenate, (which, heads, tails))
+    heads, tails = starts[:n], ends[n_words - 1 :]
     digests = mix((sums[tails] - sums[heads]) * down[heads] + (tails - heads).astype(np.uint64))
-    begins = np.cumsum([0, *map(len, data)])[which]
-    return which, digests, heads - begins, tails - begins, words[heads], words[tails - 1]
+    # Chunks with equal digests compete by place, else each would stay in its window.
+    ranks = digests & ~np.uint64(255) | mix(np.arange(n, dtype=np.uint64)) & np.uint64(255)
+    width = min(WINDOW, n_words)
+    least = np.arange(n)
+    for ahead in range(1, width):
+        rival = np.arange(ahead, n)
+        less = ranks[rival] < ranks[least[: n - ahead]]
+        least[: n - ahead][less] = rival[less]
+    stays = np.zeros(n, bool)
+    first = bounds[:-1]
+    own = np.diff(bounds) - n_words + 1
+    ahead_in_text = np.repeat(first + own, np.diff(bounds))[:n] - np.arange(n)
+    stays[least[ahead_in_text >= width]] = True
+    for at, count in zip(first[(own > 0) & (own < width)], own[(own > 0) & (own < width)]):
+        stays[at + ranks[at : at + count].argmin()] = True
+    picked = np.flatnonzero(stays)
+    which = np.searchsorted(bounds, picked, "right") - 1
+    same = (np.diff(which) == 0) & (np.diff(picked) <= n_words) & (digests[picked[1:]] == digests[picked[:-1]])
+    opens, closes = np.append(True, ~same)[: len(picked)], np.append(~same, True)[: len(picked)]
+    lead, rear, which = picked[opens], picked[closes], which[opens]
+    offset = begins[which]
+    return (
+        which, digests[lead], starts[lead] - offset, ends[rear + n_words - 1] - offset,
+        lead - bounds[which], rear + n_words - 1 - bounds[which],
+    )
 
 
-def occurrences(rows: DataFrame, with_places: bool) -> DataFrame:
+def occurrences(rows: DataFrame, n_words: int, with_places: bool) -> DataFrame:
     """Per chunk of (row_key, text): row_key and digest, and its place if asked."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +84,7 @@ def occurrences(rows: DataFrame, with_places: bool) -> DataFrame:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             data = texts(batch.column(1))
             for first, last in slices(data):
-                which, digests, *places = chunks(data[first:last])
+                which, digests, *places = chunks(data[first:last], n_words)
                 arrays = [pa.array(keys[first + which], pa.int64()), pa.array(digests.view(np.int64))]
                 if with_places:
                     arrays += [pa.array(x.astype(np.int32)) for x in places]
@@ -104,13 +106,13 @@ def repeated_passages(
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
     rows = docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("row_key"), text.alias("text"))
     repeated = (
-        occurrences(rows, False)
+        occurrences(rows, least_words, False)
         .groupBy("digest")
         .agg(F.min("row_key").alias("first_key"), F.max("row_key").alias("last_key"))
         .where("first_key < last_key")
         .select("digest", "first_key")
     )
-    found = occurrences(rows, True).join(repeated, "digest")
+    found = occurrences(rows, least_words, True).join(repeated, "digest")
     in_doc = Window.partitionBy("row_key").orderBy("start", "end")
     reach = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
     return (

@@ -299,6 +299,31 @@ def test_repeated_passages_of_odd_rows(docs):
     assert without_repeats(docs).count() == docs.count()
 
 
+def test_passages_of_just_over_50_words_are_found_in_any_context(spark):
+    own = random.Random(11)
+    plain = lambda n, most: " ".join("".join(own.choice("abdegiklmnoprstu") for _ in range(own.randint(1, most))) for _ in range(n))
+    rows = []
+    for i in range(2000):
+        most = (2, 4, 7, 10)[i % 4]
+        passage = plain(own.randint(51, 60), most)
+        rows.append((2 * i, plain(own.randint(0, 60), most) + "\n" + passage + " " + plain(40, most), passage))
+        rows.append((2 * i + 1, plain(own.randint(0, 90), most) + " " + passage + "\t" + plain(20, most), passage))
+    df = spark.createDataFrame(rows, "doc_id long, text string, passage string")
+    found = Counter()
+    for r in repeated_passages(df.select("doc_id", "text")).collect():
+        span = rows[r.doc_id][1].encode()[r.start : r.start + r.length].decode()
+        assert span in rows[r.doc_id][2] and len(words(span)) == r.n_words >= len(words(rows[r.doc_id][2])) - 14
+        found[r.doc_id] += 1
+    assert found == Counter(range(4000))
+
+
+def test_texts_of_a_short_period_repeat(spark):
+    texts = ["ha " * 400, "ha " * 300, "0 1 " * 200, prose(20) + " " + "0 1 " * 100]
+    rows = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.kept) for r in rows) == {(0, True): 1, (1, False): 1, (2, True): 1, (3, False): 1}
+    assert all(r.n_words >= 186 for r in rows)
+
+
 # mixing
 
 
