@@ -100,8 +100,9 @@ def repeated_passages(
 ) -> DataFrame:
     """One row per repeated span: doc_id, start, length, n_words, first_doc_id, kept.
 
-    ``start`` and ``length`` are bytes of the text in UTF-8; ``kept`` marks spans
-    that no document with a smaller id holds.
+    ``start`` and ``length`` are bytes of the text in UTF-8.  ``kept`` marks spans
+    that no document with a smaller id holds; they end where a span that one
+    holds begins.  Of the first ids of a span's chunks the largest is given.
     """
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
     rows = docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("row_key"), text.alias("text"))
@@ -113,12 +114,31 @@ def repeated_passages(
         .select("digest", "first_key")
     )
     found = occurrences(rows, least_words, True).join(repeated, "digest")
-    in_doc = Window.partitionBy("row_key").orderBy("start", "end")
+    found = found.withColumn("kept", F.col("row_key") == F.col("first_key"))
+    # What an earlier document holds is taken off the chunks that it holds in part.
+    before = Window.partitionBy("row_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row_key").orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    held = lambda kind, column, over: kind(F.when(~F.col("kept"), F.col(column))).over(over)
+    trimmed = (
+        found.withColumns({"_end": held(F.max, "end", before), "_last": held(F.max, "last_word", before) + 1})
+        .withColumns({"_start": held(F.min, "start", after), "_first": held(F.min, "first_word", after) - 1})
+        .select(
+            "row_key",
+            "kept",
+            "first_key",
+            F.when(F.col("kept"), F.greatest("start", "_end")).otherwise(F.col("start")).alias("start"),
+            F.when(F.col("kept"), F.least("end", "_start")).otherwise(F.col("end")).alias("end"),
+            F.when(F.col("kept"), F.greatest("first_word", "_last")).otherwise(F.col("first_word")).alias("first_word"),
+            F.when(F.col("kept"), F.least("last_word", "_first")).otherwise(F.col("last_word")).alias("last_word"),
+        )
+        .where("first_word <= last_word")
+    )
+    in_doc = Window.partitionBy("row_key", "kept").orderBy("start", "end")
     reach = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        found.withColumn("apart", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+        trimmed.withColumn("apart", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
         .withColumn("span", F.sum("apart").over(in_doc))
-        .groupBy("row_key", "span")
+        .groupBy("row_key", "kept", "span")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -132,7 +152,7 @@ def repeated_passages(
             (F.col("end") - F.col("start")).cast("long").alias("length"),
             "n_words",
             "first_doc_id",
-            (F.col("row_key") == F.col("first_doc_id")).alias("kept"),
+            "kept",
         )
     )
 

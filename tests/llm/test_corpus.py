@@ -317,6 +317,24 @@ def test_passages_of_just_over_50_words_are_found_in_any_context(spark):
     assert found == Counter(range(4000))
 
 
+def test_passages_in_the_first_of_a_group_of_copies_are_cut(spark):
+    shared, own, other = prose(60), prose(80), prose(70)
+    texts = {2: prose(50) + " " + shared + " " + prose(40), 5: own + " " + shared + " " + other}
+    texts[9] = texts[5]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sorted(repeated_passages(docs).collect())
+    assert [(r.doc_id, r.kept, r.first_doc_id) for r in rows] == [
+        (2, True, 2), (5, True, 5), (5, False, 2), (5, True, 5), (9, False, 5),
+    ]
+    for r in rows[1:4]:
+        span = texts[5].encode()[r.start : r.start + r.length].decode()
+        assert len(words(span)) == r.n_words and (r.kept or (span in shared and r.n_words >= 46))
+    assert rows[1].start + rows[1].length <= rows[2].start and rows[2].start + rows[2].length <= rows[3].start
+    cleaned = {r.doc_id: r.text for r in without_repeats(docs).collect()}
+    assert cleaned[2] == texts[2] and own in cleaned[5] and other in cleaned[5]
+    assert len(words(cleaned[5])) <= 80 + 70 + 14 and len(words(cleaned[9])) <= 14
+
+
 def test_texts_of_a_short_period_repeat(spark):
     texts = ["ha " * 400, "ha " * 300, "0 1 " * 200, prose(20) + " " + "0 1 " * 100]
     rows = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
