@@ -23,7 +23,7 @@ from tarn.llm.registry import ORACLES, QUERIES
 from tarn.llm.sharding import shard
 from tarn.llm.substring_dedup import repeated_passages, without_repeats
 from tarn.llm.toxicity import scored, without_toxic
-from tarn.llm.url_filter import judged
+from tarn.llm.url_filter import judged, propagated
 
 SF = "/root/testdata/sf0.001"
 #: Names that operators use inside, as columns of the caller.
@@ -591,6 +591,22 @@ def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
     assert got[4].verdict == "allow" and got[4].trust == got[4].distrust == 0
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    hosts = ["bad.net", *(f"h{i}.org" for i in range(1, 17))]
+    link = lambda i: f'<a href="http://{hosts[i - 1]}/">x</a>' if i else ""
+    rows = [(i, f"http://{h}/es/", link(i)) for i, h in enumerate(hosts)]
+    got = {r.page_id: r for r in judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(17):
+        assert got[i].verdict == "block" and got[i].distrust == pytest.approx(0.15 * 0.85**i)
+
+
+def test_trust_in_a_circle_comes_close_to_the_limit(spark):
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, mass double")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    got = dict(propagated(seeds, edges, tolerance=0.01).collect())
+    assert got == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.15 * 0.85 / (1 - 0.85**2)}, abs=0.01)
+
+
 # pipeline and oracles
 
 
