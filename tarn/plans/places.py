@@ -127,3 +127,18 @@ def shore_ring(spark, pixels):
     """Pixels within two of the lake's, here those of a dark band."""
     some = pixels.where("lake_id <= 20").withColumn("in_lake", F.col("b8") < 300)
     return spatial.shore_pixels(some, 2).select("lake_id", "year", "r", "c", "in_shore")
+
+
+@query(
+    """SELECT p.lake_id, p.year, p.r, p.c, q.lake_id IS NOT NULL AND NOT p.b8 < 300 AS in_shore
+       FROM v_pixels p LEFT JOIN (
+           SELECT DISTINCT lake_id, year, r + dy AS r, c + dx AS c
+           FROM v_pixels, (VALUES (-2, 0), (-1, -1), (-1, 0), (-1, 1), (0, -2), (0, -1), (0, 0), (0, 1), (0, 2), (1, -1), (1, 0), (1, 1), (2, 0)) d(dy, dx)
+           WHERE b8 < 300) q
+       ON q.lake_id = p.lake_id AND q.year = p.year AND q.r = p.r AND q.c = p.c""",
+    "v_pixels",
+)
+def shore_ring_all_sites(spark, pixels):
+    """Pixels of every site within two of its lake's, here those of a dark band."""
+    lake = pixels.withColumn("in_lake", F.col("b8") < 300)
+    return spatial.shore_pixels(lake, 2).select("lake_id", "year", "r", "c", "in_shore")

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from tarn.plans.registry import ORACLES, QUERIES
+from tarn.plans.views import load
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -39,3 +40,11 @@ def test_oracle(spark, db, name):
 
 def test_every_query_has_an_oracle():
     assert sorted(QUERIES) == sorted(ORACLES)
+
+
+def test_shore_ring_covers_every_site(spark):
+    found, part = (QUERIES[name](spark, SF) for name in ("shore_ring_all_sites", "shore_ring"))
+    pixels = load(spark, SF, "v_pixels")
+    assert found.count() == pixels.count() > 2 * part.count()
+    assert found.select("lake_id").distinct().count() == 100
+    assert part.exceptAll(found).count() == 0
