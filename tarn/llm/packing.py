@@ -40,7 +40,8 @@ class Encoder:
     The vocabulary splits a text before each space that precedes a visible
     character, so the units between such spaces can be encoded one by one and
     joined.  ``ranks`` names the same vocabulary as ``vocabulary``; it is quicker
-    and serves units of Latin letters, the other serves the rest.
+    and serves units of Latin letters, the other serves the rest, and texts that
+    hold one of its special tokens, as a whole.
     """
 
     GAP = re.compile(r" (?:\s|\Z)")
@@ -54,7 +55,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.full = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.full.encode_special_tokens = True
+        marks = [re.escape(token.content) for token in self.full.get_added_tokens_decoder().values()]
+        self.marked = re.compile("|".join(marks) or r"(?!)")
         with open(public_tokenizers.path(ranks), "rb") as lines:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.quick = tiktoken.Encoding(
@@ -68,10 +70,15 @@ class Encoder:
         if text.isascii() or max(text) < "ɐ":
             ids = self.quick.encode_ordinary(text)
         else:
-            ids = self.full.encode(text, add_special_tokens=False).ids
+            return self.whole(text)
         return np.array(ids, "<u4").tobytes() if len(ids) > 64 else array("I", ids).tobytes()
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if self.marked.search(text):
+            return self.whole(text)
         if self.GAP.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")

@@ -116,6 +116,20 @@ def test_packing(docs, none):
     assert pack(none, 64).count() == 0
 
 
+def test_packing_of_special_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "one.<|endoftext|>\n two  <|endoftext|>", "<|endoftext|", "中文 <|endoftext|>ß, end."]
+    want = [untouched.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert [50256 in ids for ids in want] == [True, True, False, True]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 64).collect()
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in rows} == {
+        i: (len(ids), crc32(np.array(ids, "<u4").tobytes())) for i, ids in enumerate(want)
+    }
+
+
 def test_packing_real(spark, documents):
     rows = QUERIES["op1_packing"](spark, SF).collect()
     texts = [(r.doc_id, r.text) for r in documents.collect()]
