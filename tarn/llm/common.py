@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,17 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that a Python task holds at once; one row may be more.
+BATCH_BYTES = 4 << 20
+#: Rows of keys up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_KEYS = 200_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is used.  What led to ``df``
-    is garbage then: the driver collects it at once, so that executors let go of
-    its shuffle files, which would else pile up over many rounds.
+    The folder is the cluster's ``spark.checkpoint.dir``.  Where that is unset, a
+    local session takes a temporary folder; on a cluster that is an error, as
+    executors do not share such a folder and a lost one would take it along.
+    What led to ``df`` is garbage then: the driver collects it at once, so that
+    executors let go of its shuffle files, which would else pile up over many
+    rounds.  ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark
+    delete the files of cuts that are no longer referred to.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
     out = df.checkpoint()
     gc.collect()
@@ -34,6 +46,46 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session held to ``BATCH_BYTES``.
+
+    A batch is rows or bytes, whichever fills first; long texts would else make
+    batches of many times the size that a task needs.  A smaller setting stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "64MB", "67108864"):
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
+def among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is one of the distinct ``keys``, a cut table.
+
+    Few keys are broadcast, so that ``df`` stays where it is read; more shuffle.
+    """
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, column, "left_semi")
+
+
+def chosen(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each distinct (doc_id, mark) of ``keys``.
+
+    ``mark`` is the hash of the text as it stands, so rows of one id are told
+    apart, and of rows equal in both one is returned.
+    """
+    own_id, own_mark, mark, place = unused(docs, "_chosen_id", "_chosen_mark", "_mark", "_place")
+    wanted = keys.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_mark))
+    first = F.row_number().over(Window.partitionBy(own_id, own_mark).orderBy(own_id))
+    return (
+        docs.withColumn(mark, F.xxhash64(text_col))
+        .join(wanted, same)
+        .withColumn(place, first)
+        .where(F.col(place) == 1)
+        .select(*docs.columns)
+    )
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

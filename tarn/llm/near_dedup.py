@@ -6,13 +6,14 @@ shingles; nodes that agree in a band of the signature are candidates, and a
 candidate pair links if its signatures agree often enough and then the full sets
 do.
 
-The pairs of a band are not listed.  Each member is first tried against one
-leader of its band, in two rounds with different leaders; bands whose members
-then lie in one component are settled.  In what is left, pairs of different
-components in a band of up to ``CROWD`` members are tried one by one.  Members of
-larger bands gather in blocks by the most crowded band they are in; blocks that
-share a band meet, and a task that holds two blocks counts what their full sets
-have in common and returns the links only.  No candidate link is lost.
+The pairs of a band are not listed.  In rounds, each member is tried against one
+leader of its band, and the leader leaves the band, as it has met all others;
+bands whose members lie in one component are settled.  When a further round would
+settle little, the members still open gather in blocks by the most crowded band
+they are in; blocks that share a band meet, and a task that holds two blocks
+counts what their full sets have in common and returns the links only.  So every
+candidate of every band meets the same test of full sets, whatever the band's
+size.
 
 Defined cases: null and blank texts have no shingles, link with nothing and are
 their own component; shorter texts are one shingle of all their words; rows with
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, unused
+from tarn.llm.common import among, chosen, cut, in_batches
 from tarn.llm.components import components
 from tarn.llm.text_bytes import mix, shingle_sets, slices, texts
 
@@ -41,10 +42,11 @@ HASHES, BAND = 128, 4
 #: Share of equal minima below which a pair's full sets are not compared; at a
 #: similarity of 0.75 that is over six standard deviations off.
 LEAST_AGREEING = 0.5
-#: Members of a band up to which its pairs are listed.
-CROWD = 32
+#: Share of the open places in bands that a further round of leaders must settle
+#: for another round to follow.
+WORTHWHILE = 0.2
 #: Nodes and shingles of a block, and shingles that a task counts at once.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 19, 4096
 
 _RANDOM = np.random.default_rng(7)
 MULTIPLIERS = _RANDOM.integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -77,7 +79,7 @@ def signatures(sets: list[np.ndarray]) -> list[bytes | None]:
 
 
 def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """Per row of (row_key, doc_id, text): its set's size, key and signature."""
+    """Per row of (row_key, doc_id, text, mark): its set's size, key and signature."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,11 +92,12 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
                 minima += signatures(sets)
             arrays = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *arrays], ["row_key", "doc_id", "n_shingles", "node", "signature"]
+                [*batch.columns[:2], batch.column(3), *arrays],
+                ["row_key", "doc_id", "mark", "n_shingles", "node", "signature"],
             )
 
     return rows.mapInArrow(
-        read, "row_key long, doc_id long, n_shingles long, node binary, signature binary"
+        read, "row_key long, doc_id long, mark long, n_shingles long, node binary, signature binary"
     )
 
 
@@ -203,32 +206,35 @@ def links_of_blocks(percent: int):
     return read
 
 
-def crowded_links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) in bands too crowded to list their pairs.
+def block_links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of bands, found block by block.
 
-    ``members`` has (node, band, label).  A node's home is the most crowded band
-    of those it shares a band with, and homes are cut into blocks.  Homes that share a band meet, whole and once,
-    however many bands they share; that is more than the candidates, never less.
+    ``members``, a cut table, has (node, band, label, n), n the members of a band.
+    A node's home is the most crowded band that it or one it shares a band with is
+    in, so that a group of near copies has few homes; homes are cut into blocks.
+    Homes that share a band meet, whole and once, however many bands they share;
+    that is more than the candidates, never less.
     """
-    in_band = members.groupBy("band").agg(F.count("*").alias("n"))
-    home = members.join(in_band, "band").groupBy("node").agg(F.max(F.struct("n", "band")).alias("most"))
-    best = members.join(home, "node").groupBy("band").agg(F.max("most").alias("most"))
-    home = members.join(best, "band").groupBy("node").agg(F.max("most").alias("most"))
-    home = cut(home.select("node", F.col("most.band").alias("home")))
+    own = members.groupBy("node").agg(F.max(F.struct("n", "band")).alias("most"))
+    best = cut(members.select("node", "band").join(own, "node").groupBy("band").agg(F.max("most").alias("most")))
+    home = cut(
+        members.join(best, "band")
+        .groupBy("node", "label")
+        .agg(F.max("most").alias("most"))
+        .select("node", "label", F.col("most.band").alias("home"))
+    )
     weight = F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)
     blocks = cut(
         home.join(nodes.select("node", (F.octet_length("shingles") / 8).alias("shingles")), "node")
         .groupBy("home")
         .agg(F.ceil(weight).cast("int").alias("blocks"))
     )
-    in_homes = members.join(home, "node").select("band", "home").distinct()
+    in_homes = cut(members.select("node", "band").join(home, "node").select("band", "home").distinct())
     other = in_homes.select("band", F.col("home").alias("other"))
     met = in_homes.join(other, "band").select("home", "other").distinct()
-    meets = members.select("node", "label").distinct().join(home, "node").join(met, "home")
     theirs = blocks.select(F.col("home").alias("other"), F.col("blocks").alias("others"))
     dealt = (
-        meets.join(blocks, "home")
-        .join(theirs, "other")
+        home.join(met.join(blocks, "home").join(theirs, "other"), "home")
         .withColumn("mine", F.struct("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
         .withColumn("theirs", F.struct(F.col("other").alias("home"), "block"))
@@ -243,7 +249,7 @@ def crowded_links(members: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     )
 
 
-def node_links(rows: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
+def node_links(rows: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, label) of every node with a link; the label names its component."""
     nodes = (
         sketched.where("node IS NOT NULL")
@@ -255,53 +261,47 @@ def node_links(rows: DataFrame, sketched: DataFrame, width: int, percent: int) -
         nodes.select("node", "signature", band.alias("i"))
         .select("node", F.xxhash64("i", F.substring("signature", F.col("i") * BAND * 4 + 1, F.lit(BAND * 4))).alias("band"))
     )
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    bands = cut(banded.join(shared, "band"))
-    near = bands.select("node").distinct()
-    texts_of = nodes.join(near, "node", "left_semi").select("row_key").distinct()
-    sets = full_sets(rows.join(texts_of, "row_key", "left_semi").select("row_key", "text"), width)
-    candidates = cut(
-        nodes.select("node", "signature").join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
-    )
-
-    labelled = bands.withColumn("label", F.col("node"))
-    links = labels = None
-    for seed in (1, 2, None):
-        if labels is not None:
-            known = bands.join(labels, "node", "left").select(
-                "node", "band", F.coalesce("label", "node").alias("label")
-            )
-            open_bands = (
-                known.groupBy("band")
-                .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                .where("low <> high")
-                .select("band")
-            )
-            labelled = cut(known.join(open_bands, "band"))
-            if labelled.isEmpty():
-                break
-        if seed is None:
-            crowd = labelled.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("band")
-            few = labelled.join(crowd, "band", "left_anti")
-            other = few.select(F.col("node").alias("node2"), "band", F.col("label").alias("label2"))
-            tried = few.join(other, "band").where("label < label2")
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    members = cut(banded.join(shared, "band"))
+    near = cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "row_key", "signature"))
+    read = full_sets(among(rows.select("row_key", "text"), cut(near.select("row_key").distinct()), "row_key"), width)
+    candidates = cut(near.select("node", "signature").join(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "node"))
+
+    labels, seed, before = None, 0, None
+    while True:
+        seed += 1
+        if labels is None:
+            known = members.withColumn("label", F.col("node"))
         else:
-            leader = labelled.groupBy("band").agg(
-                F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node", "label")).alias("lead")
-            )
-            tried = (
-                labelled.join(leader, "band")
-                .select("node", "label", F.col("lead.node").alias("node2"), F.col("lead.label").alias("label2"))
-                .where("label <> label2")
+            known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_bands = cut(
+            known.groupBy("band")
+            .agg(
+                F.count("*").alias("n"),
+                F.min("label").alias("low"),
+                F.max("label").alias("high"),
+                F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node", "label")).alias("lead"),
             )
-        pairs = tried.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        found = similar(pairs, candidates, percent)
-        if seed is None:
-            found = found.union(crowded_links(labelled.join(crowd, "band", "left_semi"), candidates, percent))
-        found = cut(found)
-        links = found if links is None else links.union(found)
+            .where("low <> high")
+            .select("band", "n", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label"))
+        )
+        held = cut(known.join(open_bands, "band"))
+        left = held.count()
+        if not left:
+            return labels
+        last = seed > 2 and left > (1 - WORTHWHILE) * before
+        before = left
+        if last:
+            found = block_links(held.select("node", "band", "label", "n"), candidates, percent)
+        else:
+            tried = held.where("label <> leader_label")
+            pairs = tried.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            found = similar(pairs, candidates, percent)
+        links = found if labels is None else found.union(labels.where("node <> label").toDF("a", "b"))
         labels = components(links)
-    return labels
+        if last:
+            return labels
+        members = held.where("node <> leader").select("node", "band")
 
 
 def near_groups(
@@ -316,23 +316,31 @@ def near_groups(
     Documents are linked where their sets of ``width``-word shingles are
     ``percent`` per cent alike or more; a component's smallest id is kept.
     """
+    groups = marked_groups(docs, width, percent, id_col, text_col)
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("mark")
+
+
+def marked_groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: doc_id, mark (a hash of the text), n_shingles, component_id."""
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
-    rows = docs.select(
-        F.coalesce(doc_id, F.xxhash64(text)).alias("row_key"), doc_id.alias("doc_id"), text.alias("text")
+    rows = in_batches(docs).select(
+        F.xxhash64(doc_id, text).alias("row_key"), doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")
     )
     sketched = cut(sketches(rows, width))
     labels = node_links(rows, sketched, width, percent)
     by_node = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"))
+    if labels is None:
+        labels = by_node.select("node", F.col("node").alias("label")).limit(0)
     named = by_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    component = named.join(least, "label").select("node", "component_id")
+    component = cut(named.join(least, "label").select("node", "component_id"))
     found = (
         sketched.where("node IS NOT NULL")
         .join(component, "node")
-        .select("doc_id", "n_shingles", "component_id")
+        .select("doc_id", "mark", "n_shingles", "component_id")
     )
-    alone = sketched.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = sketched.where("node IS NULL").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(alone)
 
 
 def one_of_each_group(
@@ -340,21 +348,12 @@ def one_of_each_group(
 ) -> DataFrame:
     """``docs`` with one row of each near-duplicate group.
 
-    Rows that share the kept id are told apart by their text: the least stays.
-    Texts without words are in no group and all stay.
+    Rows that share the kept id are told apart by a hash of their text: the least
+    stays.  Texts without words are in no group; rows of them stay, one of those
+    equal in id and text.
     """
-    groups = cut(near_groups(docs, width, percent, id_col, text_col))
-    keep, n, own_id, least = unused(docs, "_keep", "_n", "_id", "_text")
-    kept = groups.where("kept").select(F.col("doc_id").alias(keep), F.col("n_shingles").alias(n))
-    out = docs.join(kept.select(keep).distinct(), F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
-    if kept.where(F.col(n) > 0).groupBy(keep).count().where("count > 1").isEmpty():
-        return out
-    words = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", ""))
-    with_words = out.where(words > 0)
-    first = with_words.groupBy(F.col(id_col).alias(own_id)).agg(F.min(text_col).alias(least))
-    return (
-        with_words.join(first, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(text_col) == F.col(least)))
-        .dropDuplicates([id_col])
-        .select(*docs.columns)
-        .union(out.where(words == 0))
-    )
+    groups = cut(marked_groups(docs, width, percent, id_col, text_col))
+    grouped = groups.where("n_shingles > 0 AND doc_id <=> component_id")
+    kept = grouped.groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    alone = groups.where("n_shingles = 0").select("doc_id", "mark").distinct()
+    return chosen(docs, kept.union(alone), id_col, text_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,25 +65,65 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def gear_hits(data: bytes, bits: int) -> np.ndarray:
+    """Places behind the bytes where the gear hash has ``bits`` leading zeros."""
+    every, out = np.frombuffer(data, np.uint8), []
+    for first in range(0, len(every), SLICE):
+        before = max(0, first - GEAR_WINDOW + 1)
+        hashes = gear(every[before : first + SLICE])[first - before :]
+        out.append(np.flatnonzero(hashes >> np.uint32(32 - bits) == 0) + first + 1)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 _powers: dict[str, np.ndarray] = {}
+BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of FACTOR and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * SLICE)
-        for name, base in (("up", FACTOR), ("down", INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
+    """The first n powers of FACTOR and of its inverse, modulo 2**64.
+
+    Those that a slice needs stay in the worker; more, for a single word longer
+    than that, are only lent.
+    """
+
+    def built(base: int, size: int) -> np.ndarray:
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps)
+
+    if n > 2 * SLICE + 2:
+        return built(FACTOR, n), built(INVERSE, n)
+    if not _powers:
+        _powers["up"], _powers["down"] = built(FACTOR, 2 * SLICE + 2), built(INVERSE, 2 * SLICE + 2)
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def parts(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut at blanks only."""
+    at = 0
+    while len(text) - at > size:
+        blank = BLANK.search(text, at + size)
+        if not blank:
+            break
+        yield text[at : blank.start()]
+        at = blank.end()
+    yield text[at:]
+
+
 def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some texts, and each text's word count.
 
-    A-Z count as a-z.  A word's hash is a polynomial in FACTOR over its bytes.
+    A-Z count as a-z.  A word's hash is a polynomial in FACTOR over its bytes.  A
+    text longer than a slice is hashed part by part.
     """
+    if len(data) == 1 and len(data[0]) > SLICE:
+        found = [hashed([part])[0] for part in parts(data[0])]
+        return np.concatenate(found), np.array([sum(map(len, found))])
+    return hashed(data)
+
+
+def hashed(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of texts that make up a slice."""
     joined = np.frombuffer(b" ".join(data) + b" ", np.uint8)
     blank = IS_BLANK[joined]
     starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))

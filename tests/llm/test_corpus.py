@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tarn.llm import toxicity as tox
 from tarn.llm.common import word_count
 from tarn.llm.components import components
-from tarn.llm.exact_dedup import distinct_documents, exact_groups, verified
+from tarn.llm.exact_dedup import distinct_documents, exact_groups
 from tarn.llm.knn import top_k
 from tarn.llm.language import identified
 from tarn.llm.mixing import mix, mixed_documents
@@ -233,17 +233,17 @@ def test_near_dedup_real(spark, documents):
     assert found == near_brute(documents.collect())
 
 
-@pytest.mark.parametrize("crowd, block", [(2, 3), (1, 256)])
-def test_near_dedup_in_blocks(spark, documents, docs, monkeypatch, crowd, block):
+@pytest.mark.parametrize("worthwhile, block", [(1.0, 3), (1.0, 1024), (0.2, 16)])
+def test_near_dedup_in_blocks(spark, monkeypatch, worthwhile, block):
     from tarn.llm import near_dedup
 
-    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "WORTHWHILE", worthwhile)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     r = random.Random(8)
     rows = []
-    for g in range(3):  # groups whose members are about as alike as the bound
+    for g in range(4):  # groups whose members are about as alike as the bound
         base = [r.choice(VOCABULARY) for _ in range(120)]
-        for k in range(25):
+        for k in range((5, 25, 40, 70)[g]):
             own = list(base)
             for _ in range(r.randint(1, 5)):
                 own[r.randrange(120)] = f"x{r.randrange(10**6)}"
@@ -269,6 +269,28 @@ def test_one_of_each_group(documents):
     assert sorted(r.doc_id for r in out.collect()) == sorted(keep)
 
 
+def test_one_of_each_group_of_odd_rows(docs, none):
+    rows = docs.collect()
+    want = near_brute(rows)
+    groups = {(i, n) for (i, n, c, kept) in want if n and (kept or (i is None and c is None))}
+    out = one_of_each_group(docs).collect()
+    assert len({r.doc_id for r in out if shingles(r.text)}) == len({i for i, _ in groups})
+    assert Counter((r.doc_id, r.text) for r in out if not shingles(r.text)) == Counter(
+        {(r.doc_id, r.text) for r in rows if not shingles(r.text)}
+    )
+    assert one_of_each_group(none).count() == 0 and distinct_documents(none).count() == 0
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    from tarn.llm import text_bytes
+
+    long = (prose(3000) + "  " + "x" * 700 + "\n" + prose(50)).encode()
+    whole, hits = text_bytes.shingle_sets([long], 5)[0], text_bytes.gear_hits(long, 5)
+    monkeypatch.setattr(text_bytes, "SLICE", 512)
+    assert (text_bytes.shingle_sets([long], 5)[0] == whole).all()
+    assert (text_bytes.gear_hits(long, 5) == hits).all()
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]
