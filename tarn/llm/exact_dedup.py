@@ -10,7 +10,8 @@ verified whatever the digest's length.
 Defined cases: a null text is an empty one; texts of blanks only equal the
 empty text; a null id is the smallest; of rows with the same id, length and
 normalised text, all carry ``kept`` and ``distinct_documents`` returns one; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored.  A long text is read whole;
+its hashes are found a slice at a time, and its recipe grows with it.
 """
 
 from __future__ import annotations
@@ -23,120 +24,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, unused
-from tarn.llm.text_bytes import BLANKS, gear, slices, texts
+from tarn.llm.common import among, chosen, cut, in_batches
+from tarn.llm.text_bytes import BLANKS, gear_hits, slices, texts
 
 #: Bytes of a chunk: least, about the mean above it (a power of two), and most.
 LEAST, MEAN, MOST = 512, 2048, 16384
 
 
 def chunk_ends(data: list[bytes]) -> list[list[int]]:
-    """Where the chunks of each text end."""
+    """Where the chunks of each text of a slice end."""
+    hits = gear_hits(b"".join(data), MEAN.bit_length() - 1)
     out: list[list[int]] = []
-    for first, last in slices(data):
-        part = data[first:last]
-        hashes = gear(np.frombuffer(b"".join(part), np.uint8))
-        hits = np.flatnonzero((hashes >> np.uint32(32 - MEAN.bit_length() + 1)) == 0) + 1
-        begin = 0
-        for text in part:
-            n = len(text)
-            ends, at = [], 0
-            own = hits[np.searchsorted(hits, begin) : np.searchsorted(hits, begin + n)] - begin
-            while n - at > LEAST:
-                i = np.searchsorted(own, at + LEAST)
-                end = min(int(own[i]) if i < len(own) else n, at + MOST, n)
-                ends.append(end)
-                at = end
-            if at < n:
-                ends.append(n)
-            out.append(ends)
-            begin += n
+    begin = 0
+    for text in data:
+        n = len(text)
+        ends, at = [], 0
+        own = hits[np.searchsorted(hits, begin) : np.searchsorted(hits, begin + n)] - begin
+        while n - at > LEAST:
+            i = np.searchsorted(own, at + LEAST)
+            end = min(int(own[i]) if i < len(own) else n, at + MOST, n)
+            ends.append(end)
+            at = end
+        if at < n:
+            ends.append(n)
+        out.append(ends)
+        begin += n
     return out
 
 
+def bare_slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, last, texts without blanks) of runs of rows of bounded size."""
+    data = texts(column)
+    for first, last in slices(data):
+        yield first, last, [x.translate(None, BLANKS) for x in data[first:last]]
+
+
 def digest(chunk: bytes, size: int) -> bytes:
     return hashlib.blake2b(chunk, digest_size=size).digest()
 
 
 def recipes(rows: DataFrame, digest_bytes: int) -> DataFrame:
-    """Per row of (row_key, doc_id, n_chars, text): its recipe and SHA-256."""
+    """Per row of (row_key, doc_id, n_chars, mark, text): its recipe and SHA-256."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [x.translate(None, BLANKS) for x in texts(batch.column(3))]
-            lists = []
-            for text, ends in zip(data, chunk_ends(data)):
-                starts = [0, *ends[:-1]]
-                lists.append([digest(text[a:b], digest_bytes) for a, b in zip(starts, ends)])
-            hashes = [hashlib.sha256(x).hexdigest() for x in data]
+            lists, hashes = [], []
+            for _, _, data in bare_slices(batch.column(4)):
+                for text, ends in zip(data, chunk_ends(data)):
+                    lists.append([digest(text[a:b], digest_bytes) for a, b in zip([0, *ends[:-1]], ends)])
+                hashes += [hashlib.sha256(x).hexdigest() for x in data]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(lists, pa.list_(pa.binary())), pa.array(hashes)],
-                ["row_key", "doc_id", "n_chars", "recipe", "text_sha256"],
+                [*batch.columns[:4], pa.array(lists, pa.list_(pa.binary())), pa.array(hashes, pa.string())],
+                ["row_key", "doc_id", "n_chars", "mark", "recipe", "text_sha256"],
             )
 
     return rows.mapInArrow(
         read,
-        "row_key long, doc_id long, n_chars long, recipe array<binary>, text_sha256 string",
+        "row_key long, doc_id long, n_chars long, mark long, recipe array<binary>, text_sha256 string",
     )
 
 
 def contents(rows: DataFrame, digest_bytes: int) -> DataFrame:
-    """The chunks themselves: (row_key, sha, position, digest, content)."""
+    """The chunks themselves: (row_key, position, digest, content)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [x.translate(None, BLANKS) for x in texts(batch.column(1))]
             keys = batch.column(0).to_pylist()
-            for first, last in slices(data):
+            for first, last, data in bare_slices(batch.column(1)):
                 out = []
-                part = data[first:last]
-                for key, text, ends in zip(keys[first:last], part, chunk_ends(part)):
-                    sha = hashlib.sha256(text).hexdigest()
+                for key, text, ends in zip(keys[first:last], data, chunk_ends(data)):
                     for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
-                        out.append((key, sha, i, digest(text[a:b], digest_bytes), text[a:b]))
-                types = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
-                columns = list(zip(*out)) or [()] * 5
+                        out.append((key, i, digest(text[a:b], digest_bytes), text[a:b]))
+                types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                columns = list(zip(*out)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)],
-                    ["row_key", "sha", "position", "digest", "content"],
+                    [pa.array(c, t) for c, t in zip(columns, types)], ["row_key", "position", "digest", "content"]
                 )
 
-    return rows.mapInArrow(
-        read, "row_key long, sha string, position int, digest binary, content binary"
+    return rows.mapInArrow(read, "row_key long, position int, digest binary, content binary")
+
+
+def by_recipe(listed: DataFrame) -> DataFrame:
+    """Per recipe: group_size, and the row that stays.
+
+    Written once, so that joins with it are of two shuffled sides: a recipe that a
+    third of all rows share is then split by adaptive execution.
+    """
+    best = F.min(F.struct((-F.col("n_chars")).alias("short"), "doc_id", "mark")).alias("best")
+    return cut(
+        listed.groupBy("recipe")
+        .agg(F.count("*").alias("group_size"), best)
+        .select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.mark").alias("keep_mark"))
     )
 
 
-def verified(rows: DataFrame, listed: DataFrame, digest_bytes: int) -> DataFrame:
-    """``listed`` with recipes whose identifiers each stand for one content.
+def verified(rows: DataFrame, listed: DataFrame, digest_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(listed, groups) with recipes whose identifiers each stand for one content.
 
     Only texts whose recipe another row shares need their chunks compared.  The
     distinct (digest, content) pairs are found by a partial aggregation, so a
     chunk that half of all rows share costs one row a task.
     """
-    shared = listed.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1").select("recipe")
-    suspects = listed.join(shared, "recipe", "left_semi").select("row_key").distinct()
-    chunks = contents(
-        rows.join(suspects, "row_key", "left_semi").select("row_key", "text"), digest_bytes
-    )
+    groups = by_recipe(listed)
+    shared = groups.where("group_size > 1").select("recipe")
+    suspects = cut(listed.join(shared, "recipe", "left_semi").select("row_key").distinct())
+    chunks = contents(among(rows.select("row_key", "text"), suspects, "row_key"), digest_bytes)
     variants = chunks.select("digest", "content").distinct()
     clashes = cut(variants.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     if clashes.isEmpty():
-        return listed
+        return listed, groups
     rank = Window.partitionBy("digest").orderBy("content")
     ranked = variants.join(clashes, "digest").withColumn("rank", F.row_number().over(rank))
     marks = (
         chunks.join(ranked, ["digest", "content"])
-        .select("row_key", "sha", "position", "rank")
+        .select("row_key", "position", "rank")
         .distinct()
-        .groupBy("row_key", F.col("sha").alias("text_sha256"))
+        .groupBy("row_key")
         .agg(F.array_sort(F.collect_list(F.struct("position", "rank"))).alias("marks"))
     )
     tail = F.transform("marks", lambda m: F.encode(F.concat_ws(":", m["position"], m["rank"]), "UTF-8"))
-    return (
-        listed.join(marks, ["row_key", "text_sha256"], "left")
+    extended = cut(
+        listed.join(marks, "row_key", "left")
         .withColumn("recipe", F.when(F.col("marks").isNull(), F.col("recipe")).otherwise(F.concat("recipe", tail)))
         .select(*listed.columns)
     )
+    return extended, by_recipe(extended)
+
+
+def recipe_groups(
+    docs: DataFrame, id_col: str, text_col: str, digest_bytes: int = 16
+) -> tuple[DataFrame, DataFrame]:
+    """(listed, groups): every row with its recipe, and every recipe."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    rows = in_batches(docs).select(
+        F.xxhash64(doc_id, text).alias("row_key"),
+        doc_id.alias("doc_id"),
+        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"),
+        F.xxhash64(text).alias("mark"),
+        text.alias("text"),
+    )
+    return verified(rows, cut(recipes(rows, digest_bytes)), digest_bytes)
 
 
 def exact_groups(
@@ -146,22 +173,7 @@ def exact_groups(
 
     Of equal texts, the longest original stays, then the smallest id.
     """
-    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
-    rows = docs.select(
-        F.coalesce(doc_id, F.xxhash64(text)).alias("row_key"),
-        doc_id.alias("doc_id"),
-        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"),
-        text.alias("text"),
-    )
-    listed = verified(rows, cut(recipes(rows, digest_bytes)), digest_bytes)
-    groups = (
-        listed.groupBy("recipe")
-        .agg(
-            F.count("*").alias("group_size"),
-            F.min(F.struct((-F.col("n_chars")).alias("short"), "doc_id")).alias("best"),
-        )
-        .select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"))
-    )
+    listed, groups = recipe_groups(docs, id_col, text_col, digest_bytes)
     return listed.join(groups, "recipe").select(
         "doc_id",
         "keep_id",
@@ -174,23 +186,6 @@ def exact_groups(
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one row of each group of equal texts."""
-    groups = cut(exact_groups(docs, id_col, text_col))
-    keep, sha, n, own_sha, own_n = unused(docs, "_keep", "_sha", "_n", "_own_sha", "_own_n")
-    kept = (
-        groups.where("kept")
-        .groupBy(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha))
-        .agg(F.max("n_chars").alias(n))
-    )
-    same_id = F.col(id_col).eqNullSafe(F.col(keep))
-    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(kept, same_id, "left_semi")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256)
-    same_text = (F.col(own_sha) == F.col(sha)) & (F.col(own_n) == F.col(n))
-    return (
-        docs.withColumn(own_sha, bare)
-        .withColumn(own_n, F.length(text))
-        .join(kept, same_id & same_text, "left_semi")
-        .dropDuplicates([id_col, own_sha])
-        .select(*docs.columns)
-    )
+    _, groups = recipe_groups(docs, id_col, text_col)
+    keys = groups.select(F.col("keep_id").alias("doc_id"), F.col("keep_mark").alias("mark"))
+    return chosen(docs, keys, id_col, text_col)
