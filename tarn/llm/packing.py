@@ -9,7 +9,8 @@ only ever sees the histogram; documents meet the plan by a join on length.
 
 Defined cases: a null text is an empty one, and an empty text is the single end
 id; a null id is packed as any other; rows with the same id are packed as
-separate documents; an empty table gives no rows; other columns are ignored.
+separate documents; an empty table gives no rows; other columns are ignored; a
+long text is encoded whole, as its ids depend on the whole, and cut after that.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, numbered
+from tarn.llm.common import cut, in_batches, numbered
 
 #: Shortest fill of a window, as its share, that a combination may have.
 FILL = 0.99
+#: Pieces of one length that a task numbers, about.
+PART_ROWS = 1 << 20
 #: Units of text whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 
 class Encoder:
@@ -157,7 +160,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(split, schema + (", ids array<int>" if with_ids else ""))
 
 
@@ -283,12 +286,13 @@ def pack(
     spark = docs.sparkSession
     rows = cut(pieces(docs, window, id_col, text_col, vocabulary, ranks))
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = 256 + max(counts.values(), default=0) // PART_ROWS
     places = spark.createDataFrame(
         allotments(plan(counts, window)),
         "p_length long, first long, last long, sequence long, place long",
     )
     return (
-        numbered(rows, "length", ["doc_id", "start"], "piece")
+        numbered(rows, "length", ["doc_id", "start"], "piece", parts)
         .join(
             F.broadcast(places),
             (F.col("length") == F.col("p_length"))
@@ -320,14 +324,17 @@ def sequences(
     """(sequence_id, n_ids, ids): the packed windows themselves, padded.
 
     ``packed`` is what ``pack`` gave for the same documents.  A sequence whose
-    length is a power of two stays unpadded.  Ids of documents must be unique.
+    length is a power of two stays unpadded.  Ids of documents may repeat, as in a
+    mix, and be null: pieces with equal ids of tokens stand for each other.
     """
+    same = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     ids = pieces(docs, window, id_col, text_col, vocabulary, ranks, with_ids=True)
+    ids = ids.groupBy(*same).agg(F.first("ids").alias("ids"))
+    joined = [packed[c].eqNullSafe(ids[c]) for c in same]
     n = F.col("n_ids")
     power = F.col("n_ids").bitwiseAND(n - 1) == 0
     return (
-        packed.select("doc_id", "start", "sequence_id", "offset")
-        .join(ids.select("doc_id", "start", "ids"), ["doc_id", "start"])
+        packed.join(ids, joined[0] & joined[1] & joined[2] & joined[3] & joined[4])
         .groupBy("sequence_id")
         .agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
         .select("sequence_id", F.flatten("parts.ids").alias("ids"))

@@ -83,7 +83,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = ids_of.t = getattr(ids_of, "t", None) or Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -147,6 +146,37 @@ def test_packed_sequences_round_trip(documents):
         assert part == texts[r.doc_id][r.start : r.start + r.length]
 
 
+def test_packed_sequences_of_odd_rows(docs, none):
+    some = docs.union(docs.where("doc_id % 2 = 0"))
+    packed = pack(some, 64).cache()
+    found = {r.sequence_id: r.ids for r in sequences(some, packed, 64).collect()}
+    assert set(found) == {r.sequence_id for r in packed.select("sequence_id").distinct().collect()}
+    for r in packed.collect():
+        part = found[r.sequence_id][r.offset : r.offset + r.length]
+        assert len(part) == r.length and crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+    assert sequences(none, pack(none, 64), 64).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_solve_comes_close_to_the_least_squares(seed):
+    from tarn.llm.packing import solve
+
+    r = random.Random(seed)
+    combos = [(40, 24), (30, 20, 14), (32, 32), (50, 14), (24, 20, 20)]
+    counts = {x: r.randint(5, 200) for x in (14, 20, 24, 30, 32, 40, 50)}
+    lengths = sorted(counts)
+    a = np.array([[c.count(x) for c in combos] for x in lengths], float)
+    b = np.array([counts[x] for x in lengths], float)
+    best = np.inf  # brute force: the least squares of every set of combinations that comes out non-negative
+    for mask in range(1, 1 << len(combos)):
+        own = [j for j in range(len(combos)) if mask >> j & 1]
+        x = np.linalg.lstsq(a[:, own], b, rcond=None)[0]
+        if (x >= -1e-9).all():
+            best = min(best, float(((a[:, own] @ x - b) ** 2).sum()))
+    x = solve(combos, counts)
+    assert (x >= 0).all() and float(((a @ x - b) ** 2).sum()) <= 1.01 * best + 5
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once(seed):
     r = random.Random(seed)
@@ -486,30 +516,74 @@ def test_ranked_grams(monkeypatch):
 
 
 def kernel_brute(s, t):
+    """``s`` and ``t``: letters in their places, a blank for a gap."""
+
     def subsequences(w):
         out = Counter()
         n = len(w)
         for i in range(n):
             for j in range(i + 1, n):
                 for k in range(j + 1, min(n, i + tox.SPAN)):
-                    out[w[i] + w[j] + w[k]] += tox.DECAY ** (k - i + 1)
+                    if " " not in (w[i], w[j], w[k]):
+                        out[w[i] + w[j] + w[k]] += tox.DECAY ** (k - i + 1)
         return out
 
-    def norm(n):
-        total = sum(tox.DECAY ** (2 * (k - i + 1)) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + tox.SPAN)))
-        return total**0.5 or 1.0
-
     a, b = subsequences(s), subsequences(t)
-    return sum(a[u] * b[u] for u in a) / norm(len(s)) / norm(len(t))
+    return sum(a[u] * b[u] for u in a)
+
+
+def strings_brute(text):
+    """Windows from each word's start, by a plain reading of the rule."""
+    out = []
+    for sentence in re.split(r"\n|[.!?](?=\s)", text.lower() + "\n"):
+        row = []
+        for word in ("".join(c for c in w if c.isalpha()) for w in sentence.split()):
+            if word:
+                row += [word] if not (row and len(word) == 1 and row[-1][-1:].isalpha() and alone) else []
+                if row[-1] is not word:
+                    row[-1] += word
+                alone = len(word) == 1
+        line = " ".join(row)
+        at = 0
+        for word in row:
+            out.append(line[at : at + tox.WIDTH].ljust(tox.WIDTH))
+            at += len(word) + 1
+    return out
 
 
-def test_string_kernel():
-    strings = ["idiot", "id-i.ot", "stupid", "xstxupxidx", "ab", "", "mississippi"]
-    got = tox.kernel(strings, ["idiot", "stupid", "missing"])
-    clean = [re.sub(r"[\W\d_]+", "", s) for s in strings]
-    for i, s in enumerate(clean):
-        for j, t in enumerate(["idiot", "stupid", "missing"]):
-            assert abs(got[i, j] - kernel_brute(s, t)) < 1e-4
+def test_string_kernel(monkeypatch):
+    texts = ["You id-i.ot and a w o r t h l e s s x.  Next one! b c\nÄb ß", "", "... 12", "mississippi is long. a"]
+    letters, starts, owners = tox.spelled(texts)
+    rows = tox.strings(letters, starts)
+    spell = lambda row: "".join(" " if not c else chr(96 + c) if c < 27 else "?" for c in row)
+    want = [(i, re.sub(r"[^a-z ]", "?", s)) for i, t in enumerate(texts) for s in strings_brute(t)]
+    assert list(zip(owners.tolist(), map(spell, rows))) == want
+    plain = [spell(r).replace("?", "#") for r in rows]
+    keep = [i for i, s in enumerate(plain) if "#" not in s]
+    got = tox.kernel(rows[keep], rows[keep[:4]])
+    for i, a in enumerate(keep):
+        for j, b in enumerate(keep[:4]):
+            assert got[i, j] == pytest.approx(kernel_brute(plain[a], plain[b]), abs=1e-4)
+    vector = np.random.default_rng(1).normal(size=tox.CODES).astype(np.float32)
+    vector[[c for c in range(tox.CODES) if not (c & 63 and c >> 6 & 63 and c >> 12)]] = 0
+    brute = [sum(d * vector[codes[k]] for d, codes in tox.subsequences(rows)) for k in range(len(rows))]
+    assert tox.margins(letters, starts, vector) == pytest.approx(brute, abs=1e-3)
+    # A document's margin is its highest string's; long texts are scored in portions.
+    long = prose(2000)
+    best = [max((b for b, o in zip(brute, owners) if o == i), default=0.0) + 0.5 for i in range(4)]
+    best.append(tox.document_margins([long], vector, 0.5)[0])
+    monkeypatch.setattr(tox, "SLICE", 3000)
+    assert tox.document_margins([*texts, long], vector, 0.5) == pytest.approx(best, abs=1e-3)
+    owner, top = tox.hardest_strings(texts, vector, 1)
+    assert [bytes(t) for t in top] == [max((b, bytes(r)) for b, r, o in zip(brute, rows, owners) if o == i)[1] for i in owner]
+
+
+def test_toxicity_learns_in_spite_of_wrong_labels(spark):
+    docs, labels = insulted(spark)
+    wrong = labels.withColumn("toxic", F.when(F.col("doc_id").isin(1, 2, 3), 1).when(F.col("doc_id").isin(4, 8, 12), 0).otherwise(F.col("toxic")))
+    found = {r.doc_id: r.predicted for r in scored(docs, wrong).collect()}
+    held = [i for i in range(500) if crc32(str(i).encode()) % 5 == 0]
+    assert sum(found[i] == int(i % 4 == 0) for i in held) >= 0.95 * len(held)
 
 
 def insulted(spark):
@@ -541,7 +615,12 @@ def test_toxicity_finds_disguised_insults(spark, none):
     left = without_toxic(docs, labels)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {i for i, r in found.items() if not r.predicted}
-    assert scored(none, labels).count() == 0
+    assert scored(none, labels).count() == 0 and without_toxic(none, labels).columns == none.columns
+    odd = labels.selectExpr("doc_id", "toxic", "'x' AS text", "1 AS score").union(
+        spark.createDataFrame([(1, None, "", 1), (2, 7, "", 1), (None, 1, "", 1)], "doc_id long, toxic int, text string, score int")
+    )
+    again = {r.doc_id: r.score for r in scored(docs, odd).collect()}
+    assert again == pytest.approx({i: r.score for i, r in found.items()})
 
 
 def test_toxicity_without_labels(docs, spark):
