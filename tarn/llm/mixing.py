@@ -1,21 +1,25 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target is its share of the mix by weight, at most ``most`` times its
-own size.  A document is due target / size copies of itself: the whole part is
-certain, the rest is its inclusion probability for one more copy.  Documents are
-ranked by random odds over inclusion odds, U / (1 - U) over p / (1 - p), and the
-first ones are taken until the source's rest is filled; then ``CLOSING`` times the
-document whose size is nearest to what is still missing, or too much, is taken or
-left.
-
-The rank is cut without sorting a source: sizes are summed in ``BUCKETS`` equal
+A source's target, in words, is its share of the mix by weight, at most ``most``
+times its own size.  A document is due copies in proportion to a weight of its own,
+by default the root of its size, at most ``most``, so that the due copies of a
+source make up its target.  The whole part of what a document is due is certain; the
+rest p is its inclusion probability for one more copy.  Documents are ranked by
+random odds over inclusion odds, U / (1 - U) over p / (1 - p), and taken in that
+order until the source's words are used up: the sample's size is fixed in words, as
+the targets are.  A document that no longer fits is passed over, and the order is
+gone down again, ``PASSES`` times in all, so what stays open is a few words.
+
+The order is cut without sorting a source: sizes are summed in ``BUCKETS`` equal
 steps of the rank, the step where the running sum passes the rest is found, and
 only that step's documents are put in order.
 
 All of it is DataFrame operations.  Defined cases: a null text has size 0 and
 takes 0; a null source is a source, last in order; documents of size 0 are taken
-0 times; rows equal in id and text are separate documents whose order is free;
-an empty table gives no rows; other columns are ignored.
+0 times; rows equal in id, source and text are separate documents with one rank,
+and ``mixed_documents`` spreads their copies evenly over them; a long text counts
+whole; an empty table gives no rows; other columns are ignored, or kept by
+``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from tarn.llm.common import cut, unused, word_count
 
 #: Steps in which a source's ranks are summed.
 BUCKETS = 1 << 16
-#: Documents that may be taken or left to close a source's gap, one after the other.
-CLOSING = 3
+#: Times that the order is gone down; after the first, for what still fits.
+PASSES = 4
+#: Classes of the documents' weights a doubling, for the level at which they are due.
+CLASSES = 16
 
 
 def targets(
@@ -67,90 +73,122 @@ def uniform(seed: int, *columns: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
+def levels(sized: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """Per source of (source, size, weight): ``level``, copies due a unit of weight.
+
+    A document is due min(most, level * weight); the level is null where all are due
+    ``most``.  Weights count by classes, heaviest first: those before the level's
+    class are due ``most``, the others in proportion.
+    """
+    classes = (
+        sized.where("size > 0 AND weight > 0")
+        .groupBy("source", F.floor(F.log2("weight") * CLASSES).alias("class"))
+        .agg(
+            F.sum("size").alias("words"),
+            F.sum(F.col("size") * F.col("weight")).alias("weighed"),
+            F.max("weight").alias("heaviest"),
+        )
+    )
+    down = Window.partitionBy("source").orderBy(F.col("class").desc())
+    heavier = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lighter = F.sum("weighed").over(down.rowsBetween(0, Window.unboundedFollowing))
+    joined = classes.join(goals, F.col("source").eqNullSafe(F.col("goal_source")))
+    return (
+        joined.withColumn("level", (F.col("target") - most * heavier) / lighter)
+        .where(F.col("level") * F.col("heaviest") <= most)
+        .groupBy(F.col("source").alias("level_source"))
+        .agg(F.max_by("level", "class").alias("level"))
+    )
+
+
+def filled(ranked: DataFrame) -> DataFrame:
+    """``ranked`` with ``more`` set where the order, gone down once, takes a document.
+
+    Open are documents not yet taken that fit in what their source still lacks.
+    """
+    used = F.sum(F.col("size") * (F.col("whole") + F.col("more")))
+    gaps = cut(
+        ranked.groupBy(F.col("source").alias("gap_source"))
+        .agg((F.max("target") - used).alias("gap"))
+        .where("gap >= 1")
+    )
+    at_hand = ranked.join(gaps, F.col("source").eqNullSafe(F.col("gap_source")), "left").withColumn(
+        "open", F.coalesce((F.col("more") == 0) & F.col("rank").isNotNull() & (F.col("size") <= F.col("gap")), F.lit(False))
+    )
+    so_far = Window.partitionBy("source").orderBy("step")
+    border = cut(
+        at_hand.where("open")
+        .groupBy("source", "step")
+        .agg(F.sum("size").alias("words"), F.max("gap").alias("gap"))
+        .withColumn("before", F.sum("words").over(so_far) - F.col("words"))
+        .where("before <= gap")
+        .groupBy(F.col("source").alias("border_source"))
+        .agg(F.max(F.struct("step", "before")).alias("last"))
+        .select("border_source", F.col("last.step").alias("border"), F.col("last.before").alias("before"))
+    )
+    placed = at_hand.join(border, F.col("source").eqNullSafe(F.col("border_source")), "left")
+    in_order = Window.partitionBy("source").orderBy("rank", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.where("open AND step = border").withColumn(
+        "more", (F.col("before") + F.sum("size").over(in_order) <= F.col("gap")).cast("long")
+    )
+    outside = placed.where("NOT open OR step <> border").withColumn(
+        "more", F.when(F.col("open") & (F.col("step") < F.col("border")), 1).otherwise(F.col("more")).cast("long")
+    )
+    return cut(outside.select(ranked.columns).union(inside.select(ranked.columns)))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
     percent: int = 150,
     most: int = 2,
     seed: int = 20240229,
+    favour: float = 0.5,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    odds_col: str | None = None,
+    weight_col: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken,
-    copies, and mark, a hash of the text.
+    copies, due (expected copies), and mark, a hash of the text.
 
-    ``odds_col`` may name a positive column by which documents of a source are
-    favoured: a document's due copies are then in proportion to it.
+    A document's weight is its size to the power of ``favour``, or ``weight_col``,
+    of which null and less than 0 count as 0, and 0 is due nothing.
     """
-    favour = F.greatest(F.coalesce(F.col(odds_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if odds_col else F.lit(1.0)
+    text = F.col(text_col)
+    size = word_count(text)
+    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.pow(size, F.lit(favour))
     sized = cut(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(text_col).alias("mark"),
-            favour.alias("favour"),
+            size.alias("size"),
+            F.xxhash64(text).alias("mark"),
+            weight.alias("weight"),
         )
     )
-    goals = targets(sized, weights, percent, most)
-    if odds_col:
-        scale = sized.groupBy("source").agg((F.sum("size") / F.sum(F.col("size") * F.col("favour"))).alias("scale"))
-        goals = goals.join(scale, goals["source"].eqNullSafe(scale["source"])).drop(scale["source"])
-    else:
-        goals = goals.withColumn("scale", F.lit(1.0))
-    goals = cut(goals.withColumnRenamed("source", "goal_source"))
-
-    due = F.when(
-        F.col("source_size") > 0,
-        F.least(F.lit(float(most)), F.col("target") / F.col("source_size") * F.col("favour") * F.coalesce("scale", F.lit(1.0))),
-    ).otherwise(0.0)
+    goals = cut(targets(sized, weights, percent, most).withColumnRenamed("source", "goal_source"))
+    known = cut(
+        goals.join(levels(sized, goals, most), F.col("goal_source").eqNullSafe(F.col("level_source")), "left")
+        .select("goal_source", "source_size", "target", "level")
+    )
+    due = F.when((F.col("size") > 0) & (F.col("weight") > 0), F.least(F.lit(float(most)), F.coalesce(F.col("level") * F.col("weight"), F.lit(float(most)))))
     u = uniform(seed, F.col("doc_id"), F.col("mark"))
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    ranked = (
-        sized.join(goals, F.col("source").eqNullSafe(F.col("goal_source")))
-        .withColumn("due", due)
+    ranked = cut(
+        sized.join(known, F.col("source").eqNullSafe(F.col("goal_source")))
+        .withColumn("due", F.coalesce(due, F.lit(0.0)))
         .withColumn("whole", F.floor("due"))
         .withColumn("p", F.col("due") - F.col("whole"))
-        .withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
+        .withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)))
         .withColumn("step", F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)))
+        .withColumn("more", F.lit(0).cast("long"))
+        .select("doc_id", "mark", "source", "size", "source_size", "target", "due", "whole", "rank", "step", "more")
     )
-    so_far = Window.partitionBy("goal_source").orderBy("step")
-    per_step = (
-        ranked.groupBy("goal_source", "step")
-        .agg(
-            F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("words"),
-            F.sum(F.col("size") * F.col("whole")).alias("certain"),
-            F.first("target").alias("target"),
-        )
-        .withColumn("rest", F.col("target") - F.sum("certain").over(Window.partitionBy("goal_source")))
-        .withColumn("before", F.sum("words").over(so_far) - F.col("words"))
-        .where(F.col("step").isNotNull() & (F.col("before") <= F.col("rest")))
-        .withColumn("last", F.col("step") == F.max("step").over(Window.partitionBy("goal_source")))
-    )
-    border = cut(
-        per_step.where("last").select(
-            F.col("goal_source").alias("border_source"), F.col("step").alias("border"), "before", "rest"
-        )
-    )
-    in_order = Window.partitionBy("goal_source").orderBy("rank", "doc_id", "mark")
-    above = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = ranked.join(border, F.col("goal_source").eqNullSafe(F.col("border_source")), "left")
-    inside = placed.where("step = border").withColumn("above", F.col("before") + above)
-    fits = F.col("above") + F.col("size") <= F.col("rest")
-    columns = ["doc_id", "mark", "source", "size", "source_size", "target", "whole", "rank", "rest", "more"]
-    taken = cut(
-        placed.where("step IS NULL OR border IS NULL OR step <> border")
-        .withColumn("more", F.coalesce((F.col("step") < F.col("border")).cast("long"), F.lit(0)))
-        .select(columns)
-        .union(inside.withColumn("more", fits.cast("long")).select(columns))
-    )
-    out = taken
-    for _ in range(CLOSING):
-        out = cut(closed(out))
+    for _ in range(PASSES):
+        ranked = filled(ranked)
     copies = F.col("whole") + F.col("more")
-    return out.select(
+    return ranked.select(
         "doc_id",
         "source",
         "size",
@@ -158,58 +196,34 @@ def mix(
         "target",
         (F.col("size") * copies).cast("long").alias("taken"),
         copies.cast("int").alias("copies"),
+        "due",
         "mark",
     )
 
 
-def closed(taken: DataFrame) -> DataFrame:
-    """``taken`` with one document a source taken or left where that closes its gap.
-
-    The gap is what the ranked copies lack of the rest, or exceed it by; the
-    document whose size is nearest to it is the one.
-    """
-    same_source = F.col("source").eqNullSafe(F.col("gap_source"))
-    gaps = (
-        taken.groupBy(F.col("source").alias("gap_source"))
-        .agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
-        .where("gap <> 0")
-    )
-    off = F.abs(F.col("gap") - F.col("size") * (1 - 2 * F.col("more")))
-    nearest = (
-        taken.where("rank IS NOT NULL")
-        .join(gaps, same_source)
-        .where(off < F.abs("gap"))
-        .groupBy("gap_source")
-        .agg(F.min(F.struct(off.alias("off"), "rank", "doc_id", "mark")).alias("best"))
-        .select("gap_source", F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark"))
-    )
-    nearest = cut(nearest)
-    this = same_source & F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
-    first = F.row_number().over(Window.partitionBy("source").orderBy("more", "rank"))
-    hit = taken.join(nearest, this).withColumn("more", F.when(first == 1, 1 - F.col("more")).otherwise(F.col("more")))
-    return taken.join(nearest, this, "left_anti").union(hit.select(taken.columns))
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: a document taken twice is there twice.
-
-    Rows equal in id, source and text are taken alike.
-    """
+    """``docs`` as the mix takes them: a document taken twice is there twice."""
     id_col, text_col, source_col = (options.get(f"{x}_col", y) for x, y in (("id", "doc_id"), ("text", "text"), ("source", "source")))
-    own_id, own_source, mark, copies, copy = unused(docs, "_id", "_source", "_mark", "_copies", "_copy")
+    own_id, own_source, own_mark, mark, total, n, place, copy = unused(
+        docs, "_id", "_source", "_own_mark", "_mark", "_total", "_n", "_place", "_copy"
+    )
     taken = (
         mix(docs, **options)
-        .where("copies > 0 AND size > 0")
-        .groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("mark").alias(mark))
-        .agg(F.max("copies").alias(copies))
+        .groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("mark").alias(own_mark))
+        .agg(F.sum("copies").alias(total), F.count("*").alias(n))
+        .where(F.col(total) > 0)
     )
+    same = (
+        F.col(id_col).cast("long").eqNullSafe(F.col(own_id))
+        & F.col(source_col).eqNullSafe(F.col(own_source))
+        & (F.col(mark) == F.col(own_mark))
+    )
+    row = F.row_number().over(Window.partitionBy(own_id, own_source, own_mark).orderBy(own_id))
+    copies = F.floor((F.col(total) + F.col(n) - F.col(place)) / F.col(n)).cast("int")
     return (
-        docs.join(
-            taken,
-            F.col(id_col).eqNullSafe(F.col(own_id))
-            & F.col(source_col).eqNullSafe(F.col(own_source))
-            & (F.xxhash64(text_col) == F.col(mark)),
-        )
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+        docs.withColumn(mark, F.xxhash64(text_col))
+        .join(taken, same)
+        .withColumn(place, row)
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies)))
         .select(*docs.columns)
     )

@@ -465,9 +465,48 @@ def test_mixing_real(spark):
     mixing_holds(rows, own, lambda s: 0.01 * sizes[s])
     assert sorted(rows) == sorted(QUERIES["op5_pareto_mixing"](spark, sf).collect())
     taken = {r.doc_id: r.copies for r in rows if r.taken}
+    for s in sizes:  # what is due makes up the target, by the classes of the weights
+        assert sum(r.due * r.size for r in rows if r.source == s) == pytest.approx(next(r.target for r in rows if r.source == s), rel=0.02)
+    assert all(int(r.due) <= r.copies <= min(2, int(r.due) + 1) for r in rows if r.size)
     assert Counter(r.doc_id for r in mixed_documents(documents).collect()) == taken
 
 
+def due_brute(sizes, target, most=2.0):
+    """Copies due, in proportion to the root of the size, by bisection."""
+    low, high = 0.0, most
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(s * min(most, level * s**0.5) for s in sizes) < target:
+            low = level
+        else:
+            high = level
+    return [min(most, low * s**0.5) for s in sizes]
+
+
+def test_inclusion_follows_what_is_due(spark):
+    r = random.Random(12)
+    sizes = [r.choice((4, 25, 100, 400)) for _ in range(6000)]
+    df = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    for percent in (60, 150):
+        rows = {x.doc_id: x for x in mix(df, percent=percent).collect()}
+        due = due_brute(sizes, sum(sizes) * percent / 100)
+        assert [rows[i].due for i in range(6000)] == pytest.approx(due, rel=0.02)
+        for size in set(sizes):
+            own = [i for i, s in enumerate(sizes) if s == size]
+            p = due[own[0]] % 1
+            spread = 4 * (p * (1 - p) / len(own)) ** 0.5 + 0.02
+            assert sum(rows[i].copies for i in own) / len(own) == pytest.approx(due[own[0]], abs=spread)
+        assert abs(sum(x.taken for x in rows.values()) - sum(sizes) * percent / 100) < 4
+
+
+def test_mixed_copies_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", i) for i in range(7)] + [(2, None, "s", 7)], "doc_id long, text string, source string, mark int")
+    for percent in (50, 150):
+        taken = sum(x.copies for x in mix(df, percent=percent).where("size > 0").collect())
+        out = Counter(x.mark for x in mixed_documents(df, percent=percent).collect())
+        assert sum(out.values()) == taken and all(n <= 2 for n in out.values()) and max(out.values()) - min(out[i] for i in range(7)) <= 1
+
+
 def test_word_count(spark):
     texts = [None, "", " ", "a", " a b\u2003c\td ", "\x0b\x0cx\r\ny"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", word_count(F.col("t")).alias("n")).collect()
