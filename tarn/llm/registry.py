@@ -83,7 +83,7 @@ def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages of documents that repeat in another document."""
-    return repeated_passages(table(spark, sf_dir, "documents"), least_words=30)
+    return repeated_passages(table(spark, sf_dir, "documents"), least_words=25, chunk_words=20)
 
 
 @query(

@@ -1,21 +1,25 @@
 """Passages that repeat across documents, by content-defined chunks.
 
-A chunk is ``least_words`` words on end, with the bytes between them.  Of every
-``WINDOW`` consecutive chunks the one with the least digest stays, so where chunks
-start follows the content alone, and equal passages keep equal chunks whatever
-stands around them.  Chunks are deduplicated by digest: a digest in more than one
-document is a repeat.  A document's repeated chunks that touch are merged into
-spans, which are returned.
-
-Every passage of ``least_words + WINDOW - 1`` whole words holds a chunk that stays,
-so all such repeats are found, whatever their words.  A span falls short of the
-passage around it by up to ``WINDOW - 1`` words at either end; it never reaches
-over it.  A text of a short period keeps one chunk over and over, as one long row.
-
-Defined cases: null and empty texts and those of fewer words hold no chunk; rows of one id count
-as one document, so a text that repeats under one id does not repeat; rows with
-a null id and equal text too; an empty table gives no rows; other columns are
-ignored, or kept by ``without_repeats``.
+A gear hash rolls over the bytes and forgets what is ``GEAR_BYTES`` back.  A word is
+a cut point where its hash is the least of some ``WINDOW`` words on end, so the
+cut points follow the content alone: inside an equal passage they are the same
+whatever stands around it, and an insertion moves those next to it only.  A chunk
+reaches from a cut point to the first one ``chunk_words`` words on or more; chunks
+start at every cut point, so they vary in length and overlap.  Chunks are
+deduplicated by a digest of 128 bits: one in more than one document is a repeat.  A
+document's repeated chunks that touch are merged into spans, which are returned.
+
+Cut points are nowhere more than ``WINDOW`` words apart.  With 20 words a chunk, a
+passage of 38 words holds a whole chunk, and of one of 51 words at least 28 lie in
+a span, whatever its words; a span never reaches over the passage.
+
+Defined cases: null and empty texts and those of fewer words hold no chunk; rows of
+one id count as one document, so a text that repeats under one id does not repeat;
+rows with a null id are told apart by text, come after all ids, and keep a null
+id; ids are taken to lie within 2**62; words with equal hashes, as in a text of a
+short period, are told apart by place; a long text is read in parts that overlap;
+an empty table gives no rows; other columns are ignored, or kept by
+``without_repeats``.
 """
 
 from __future__ import annotations
@@ -24,79 +28,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import unused
-from tarn.llm.text_bytes import BYTE, IS_BLANK, mix, powers, slices, texts
+from tarn.llm.common import cut, in_batches, unused
+from tarn.llm.text_bytes import BLANK, BYTE, GEAR, IS_BLANK, SLICE, mix, powers, slices, texts
 
-#: Consecutive chunks of which the one with the least digest stays.
-WINDOW = 8
+#: Words on end of which the one with the least hash is a cut point.
+WINDOW = 7
+#: Bytes that the rolling hash remembers, a power of two.
+GEAR_BYTES = 8
+#: Words by which the parts of a long text overlap: more than a chunk and two windows.
+OVERLAP = 128
+#: Keys from here on are of rows without an id.
+NO_ID = 1 << 62
 
 
-def chunks(data: list[bytes], n_words: int) -> tuple[np.ndarray, ...]:
-    """(text, digest, start, end, first word, last word) of the chunks of texts."""
-    joined = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of the words of a text; a blank is put behind it."""
+    joined = np.frombuffer(data + b" ", np.uint8)
     blank = IS_BLANK[joined]
     starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     ends = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
-    n = len(starts) - n_words + 1
-    if n <= 0:
-        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64))
-    begins = np.cumsum([0, *(len(x) + 1 for x in data)])
-    bounds = np.searchsorted(starts, begins)
-    up, down = powers(len(joined) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[joined] * up[:-1], dtype=np.uint64)))
-    heads, tails = starts[:n], ends[n_words - 1 :]
-    digests = mix((sums[tails] - sums[heads]) * down[heads] + (tails - heads).astype(np.uint64))
-    # Chunks with equal digests compete by place, else each would stay in its window.
-    ranks = digests & ~np.uint64(255) | mix(np.arange(n, dtype=np.uint64)) & np.uint64(255)
-    width = min(WINDOW, n_words)
+    return joined, starts, ends
+
+
+def cut_points(joined: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Words of texts, each of the words bounds[i] to bounds[i + 1], that are cut points."""
+    rolling = GEAR[joined]
+    width = 1
+    while width < GEAR_BYTES:
+        rolling[width:] = rolling[width:] + (rolling[:-width] << np.uint32(width))
+        width *= 2
+    n = len(ends)
+    # Words with equal hashes compete by place, else each would be least in its window.
+    place = mix(np.arange(n, dtype=np.uint64)) & np.uint64(255)
+    ranks = mix(rolling[ends - 1].astype(np.uint64)) & ~np.uint64(255) | place
     least = np.arange(n)
-    for ahead in range(1, width):
+    for ahead in range(1, WINDOW):
         rival = np.arange(ahead, n)
         less = ranks[rival] < ranks[least[: n - ahead]]
         least[: n - ahead][less] = rival[less]
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)
     stays = np.zeros(n, bool)
-    first = bounds[:-1]
-    own = np.diff(bounds) - n_words + 1
-    ahead_in_text = np.repeat(first + own, np.diff(bounds))[:n] - np.arange(n)
-    stays[least[ahead_in_text >= width]] = True
-    for at, count in zip(first[(own > 0) & (own < width)], own[(own > 0) & (own < width)]):
-        stays[at + ranks[at : at + count].argmin()] = True
-    picked = np.flatnonzero(stays)
-    which = np.searchsorted(bounds, picked, "right") - 1
-    same = (np.diff(which) == 0) & (np.diff(picked) <= n_words) & (digests[picked[1:]] == digests[picked[:-1]])
-    opens, closes = np.append(True, ~same)[: len(picked)], np.append(~same, True)[: len(picked)]
-    lead, rear, which = picked[opens], picked[closes], which[opens]
+    stays[least[left >= WINDOW]] = True
+    return np.flatnonzero(stays)
+
+
+def digests(joined: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each run of bytes from a head to a tail, as two numbers."""
+    up, down = powers(len(joined) + 1)
+    length = (tails - heads).astype(np.uint64)
+    out = []
+    for values in (BYTE, mix(BYTE)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[joined] * up[:-1], dtype=np.uint64)))
+        out.append(mix((sums[tails] - sums[heads]) * down[heads] + length).view(np.int64))
+    return out[0], out[1]
+
+
+def chunks(data: list[bytes], n_words: int) -> tuple[np.ndarray, ...]:
+    """(text, digest, digest, start, end, first word, last word) of the chunks of texts."""
+    joined, starts, ends = word_bounds(b" ".join(data))
+    begins = np.cumsum([0, *(len(x) + 1 for x in data)])
+    bounds = np.searchsorted(starts, begins)
+    points = cut_points(joined, ends, bounds) if len(ends) else np.empty(0, np.int64)
+    which = np.searchsorted(bounds, points, "right") - 1
+    until = np.searchsorted(points, points + n_words)
+    whole = until < len(points)
+    whole[whole] = which[until[whole]] == which[whole]
+    first, last, which = points[whole], points[until[whole]] - 1, which[whole]
+    one, two = digests(joined, starts[first], ends[last])
+    same = (np.diff(which) == 0) & (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (first[1:] <= last[:-1] + 1)
+    opens, closes = np.append(True, ~same)[: len(first)], np.append(~same, True)[: len(first)]
+    first, last, which = first[opens], last[closes], which[opens]
     offset = begins[which]
-    return (
-        which, digests[lead], starts[lead] - offset, ends[rear + n_words - 1] - offset,
-        lead - bounds[which], rear + n_words - 1 - bounds[which],
-    )
+    return which, one[opens], two[opens], starts[first] - offset, ends[last] - offset, first - bounds[which], last - bounds[which]
+
+
+def overlapping(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(byte, word, part) of a long text: where each of its parts begins."""
+    at, word = 0, 0
+    while True:
+        blank = BLANK.search(text, at + SLICE)
+        end = blank.start() if blank else len(text)
+        yield at, word, text[at:end]
+        if end == len(text):
+            return
+        _, starts, _ = word_bounds(text[at:end])
+        back = max(len(starts) - OVERLAP, 1)
+        word += min(back, len(starts))
+        at = at + int(starts[back]) if back < len(starts) else end
 
 
 def occurrences(rows: DataFrame, n_words: int, with_places: bool) -> DataFrame:
     """Per chunk of (row_key, text): row_key and digest, and its place if asked."""
 
+    def found(data: list[bytes]) -> tuple[np.ndarray, ...]:
+        if len(data) > 1 or len(data[0]) <= SLICE:
+            return chunks(data, n_words)
+        every = []
+        for byte, word, part in overlapping(data[0]):
+            which, one, two, start, end, first, last = chunks([part], n_words)
+            every.append((which, one, two, start + byte, end + byte, first + word, last + word))
+        return tuple(map(np.concatenate, zip(*every)))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             data = texts(batch.column(1))
             for first, last in slices(data):
-                which, digests, *places = chunks(data[first:last], n_words)
-                arrays = [pa.array(keys[first + which], pa.int64()), pa.array(digests.view(np.int64))]
+                which, one, two, *places = found(data[first:last])
+                arrays = [pa.array(keys[first + which], pa.int64()), pa.array(one), pa.array(two)]
                 if with_places:
-                    arrays += [pa.array(x.astype(np.int32)) for x in places]
+                    arrays += [pa.array(x.astype(np.int64)) for x in places]
                 yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
-    names = ["row_key", "digest", "start", "end", "first_word", "last_word"]
-    places = ", start int, end int, first_word int, last_word int" if with_places else ""
-    return rows.mapInArrow(read, "row_key long, digest long" + places)
+    names = ["row_key", "digest", "digest2", "start", "end", "first_word", "last_word"]
+    places = ", start long, end long, first_word long, last_word long" if with_places else ""
+    return rows.mapInArrow(read, "row_key long, digest long, digest2 long" + places)
+
+
+def key_of(doc_id: Column, text: Column) -> Column:
+    """The id, or a number above all ids that the text decides."""
+    return F.coalesce(doc_id, F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
+def id_of(row_key: Column) -> Column:
+    return F.when(row_key < NO_ID, row_key)
 
 
 def repeated_passages(
-    docs: DataFrame, least_words: int = 30, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    least_words: int = 25,
+    chunk_words: int = 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """One row per repeated span: doc_id, start, length, n_words, first_doc_id, kept.
 
@@ -104,16 +170,30 @@ def repeated_passages(
     that no document with a smaller id holds; they end where a span that one
     holds begins.  Of the first ids of a span's chunks the largest is given.
     """
-    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
-    rows = docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("row_key"), text.alias("text"))
-    repeated = (
-        occurrences(rows, least_words, False)
-        .groupBy("digest")
+    spans = keyed_passages(docs, least_words, chunk_words, id_col, text_col)
+    return spans.select(
+        id_of(F.col("row_key")).alias("doc_id"),
+        "start",
+        "length",
+        "n_words",
+        id_of(F.col("first_key")).alias("first_doc_id"),
+        "kept",
+    )
+
+
+def keyed_passages(docs: DataFrame, least_words: int, chunk_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``repeated_passages`` with row_key and first_key, which are never null."""
+    text = F.col(text_col)
+    rows = in_batches(docs).select(key_of(F.col(id_col).cast("long"), text).alias("row_key"), text.alias("text"))
+    digest = ["digest", "digest2"]
+    repeated = cut(
+        occurrences(rows, chunk_words, False)
+        .groupBy(*digest)
         .agg(F.min("row_key").alias("first_key"), F.max("row_key").alias("last_key"))
         .where("first_key < last_key")
-        .select("digest", "first_key")
+        .select(*digest, "first_key")
     )
-    found = occurrences(rows, least_words, True).join(repeated, "digest")
+    found = occurrences(rows, chunk_words, True).join(repeated, digest)
     found = found.withColumn("kept", F.col("row_key") == F.col("first_key"))
     # What an earlier document holds is taken off the chunks that it holds in part.
     before = Window.partitionBy("row_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,29 +223,26 @@ def repeated_passages(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
             (F.max("last_word") - F.min("first_word") + 1).cast("long").alias("n_words"),
-            F.max("first_key").alias("first_doc_id"),
+            F.max("first_key").alias("first_key"),
         )
         .where(F.col("n_words") >= least_words)
-        .select(
-            F.col("row_key").alias("doc_id"),
-            F.col("start").cast("long").alias("start"),
-            (F.col("end") - F.col("start")).cast("long").alias("length"),
-            "n_words",
-            "first_doc_id",
-            "kept",
-        )
+        .select("row_key", "start", (F.col("end") - F.col("start")).alias("length"), "n_words", "first_key", "kept")
     )
 
 
 def without_repeats(
-    docs: DataFrame, least_words: int = 30, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    least_words: int = 25,
+    chunk_words: int = 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with repeated spans cut out of all texts but the first's."""
     row_key, key, spans = unused(docs, "_row_key", "_key", "_spans")
     repeats = (
-        repeated_passages(docs, least_words, id_col, text_col)
+        keyed_passages(docs, least_words, chunk_words, id_col, text_col)
         .where("NOT kept")
-        .groupBy(F.col("doc_id").alias(key))
+        .groupBy(F.col("row_key").alias(key))
         .agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(spans))
     )
     utf8 = F.encode(text_col, "UTF-8")
@@ -185,7 +262,7 @@ def without_repeats(
     joined = F.array_join(F.transform(F.array_append(kept, tail), F.hex), "")
     whole = F.col(text_col)
     return (
-        docs.withColumn(row_key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+        docs.withColumn(row_key, key_of(F.col(id_col).cast("long"), F.col(text_col)))
         .join(repeats, F.col(row_key) == F.col(key), "left")
         .withColumn(text_col, F.when(F.col(spans).isNull(), whole).otherwise(F.decode(F.unhex(joined), "UTF-8")))
         .select(*docs.columns)

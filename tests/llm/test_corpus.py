@@ -344,12 +344,12 @@ def test_repeated_passages(spark, none):
     assert {r.doc_id for r in rows} == {0, 1, 3}
     for r in rows:
         span = texts[r.doc_id].encode()[r.start : r.start + r.length].decode()
-        assert span in shared and len(words(span)) >= 30 and r.n_words >= 30
+        assert span in shared and len(words(span)) == r.n_words >= 25
         assert r.kept == (r.doc_id == 0) and r.first_doc_id == 0
     assert repeated_passages(none).count() == 0
     cleaned = {r.doc_id: r.text for r in without_repeats(docs).collect()}
     assert cleaned[0] == texts[0] and cleaned[2] == texts[2] and cleaned[4] is None
-    assert len(words(cleaned[1])) <= 25
+    assert len(words(cleaned[1])) <= 23
     out = without_repeats(none)
     assert out.columns == none.columns and out.count() == 0
 
@@ -358,13 +358,61 @@ def test_repeated_passages_of_odd_rows(docs):
     texts = defaultdict(set)
     for r in docs.collect():
         texts[r.doc_id].add(r.text)
-    for r in repeated_passages(docs).where("doc_id >= 0 AND doc_id <> 30").collect():
-        if r.doc_id in texts:
-            span = next(iter(texts[r.doc_id])).encode()[r.start : r.start + r.length].decode()
-            assert sum(any(span in (t or "") for t in own) for own in texts.values()) > 1
+    rows = repeated_passages(docs).collect()
+    assert any(r.doc_id is None for r in rows) and all(r.first_doc_id in texts for r in rows)
+    for r in rows:
+        spans = {(t or "").encode()[r.start : r.start + r.length].decode("utf-8", "ignore") for t in texts[r.doc_id]}
+        assert any(s and sum(any(s in (t or "") for t in own) for own in texts.values()) > 1 for s in spans) or r.doc_id is None
+        assert r.doc_id is not None or not r.kept
     assert without_repeats(docs).count() == docs.count()
 
 
+def repeats_brute(texts, least):
+    """Places (doc, word) in a run of ``least`` words that another document holds."""
+    where = defaultdict(set)
+    for i, t in texts.items():
+        w = words(t)
+        for k in range(len(w) - least + 1):
+            where[tuple(w[k : k + least])].add((i, k))
+    out = set()
+    for places in where.values():
+        if len({i for i, _ in places}) > 1:
+            out |= {(i, k) for i, k in places}
+    return out
+
+
+def test_repeated_passages_against_brute_force(spark, documents):
+    texts = {r.doc_id: " ".join(words(r.text)) for r in documents.collect()}
+    plain = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    covered = defaultdict(list)
+    for r in repeated_passages(plain).collect():
+        data = texts[r.doc_id].encode()
+        first = len(words(data[: r.start].decode()))
+        covered[r.doc_id].append((first, first + r.n_words))
+        assert r.first_doc_id <= r.doc_id and (r.first_doc_id == r.doc_id) == r.kept
+    for i, k in repeats_brute(texts, 51):  # of every repeat of 51 words, 28 or more are in spans
+        held = {w for a, b in covered[i] for w in range(max(a, k), min(b, k + 51))}
+        assert len(held) >= 25, (i, k)
+    repeated = repeats_brute(texts, 20)
+    for i, spans in covered.items():  # and no word is in a span that no repeat of a chunk's length holds
+        words_in = {k + j for d, k in repeated if d == i for j in range(20)}
+        assert all(w in words_in for a, b in spans for w in range(a, b))
+
+
+def test_long_texts_are_chunked_in_parts(spark, monkeypatch):
+    from tarn.llm import substring_dedup
+
+    text = prose(3000).encode()
+    every = lambda found: set(zip(*(x.tolist() for x in found[1:])))
+    whole = every(substring_dedup.chunks([text], 20))
+    monkeypatch.setattr(substring_dedup, "SLICE", 4000)
+    some = set()
+    for byte, word, part in substring_dedup.overlapping(text):
+        _, one, two, start, end, first, last = substring_dedup.chunks([part], 20)
+        some |= every((one, one, two, start + byte, end + byte, first + word, last + word))
+    assert whole <= some
+
+
 def test_passages_of_just_over_50_words_are_found_in_any_context(spark):
     own = random.Random(11)
     plain = lambda n, most: " ".join("".join(own.choice("abdegiklmnoprstu") for _ in range(own.randint(1, most))) for _ in range(n))
@@ -378,7 +426,7 @@ def test_passages_of_just_over_50_words_are_found_in_any_context(spark):
     found = Counter()
     for r in repeated_passages(df.select("doc_id", "text")).collect():
         span = rows[r.doc_id][1].encode()[r.start : r.start + r.length].decode()
-        assert span in rows[r.doc_id][2] and len(words(span)) == r.n_words >= len(words(rows[r.doc_id][2])) - 14
+        assert span in rows[r.doc_id][2] and len(words(span)) == r.n_words >= 25
         found[r.doc_id] += 1
     assert found == Counter(range(4000))
 
@@ -394,11 +442,11 @@ def test_passages_in_the_first_of_a_group_of_copies_are_cut(spark):
     ]
     for r in rows[1:4]:
         span = texts[5].encode()[r.start : r.start + r.length].decode()
-        assert len(words(span)) == r.n_words and (r.kept or (span in shared and r.n_words >= 46))
+        assert len(words(span)) == r.n_words and (r.kept or (span in shared and r.n_words >= 37))
     assert rows[1].start + rows[1].length <= rows[2].start and rows[2].start + rows[2].length <= rows[3].start
     cleaned = {r.doc_id: r.text for r in without_repeats(docs).collect()}
     assert cleaned[2] == texts[2] and own in cleaned[5] and other in cleaned[5]
-    assert len(words(cleaned[5])) <= 80 + 70 + 14 and len(words(cleaned[9])) <= 14
+    assert len(words(cleaned[5])) <= 80 + 70 + 23 and len(words(cleaned[9])) <= 23
 
 
 def test_texts_of_a_short_period_repeat(spark):
