@@ -10,7 +10,7 @@ deduplicated by a digest of 128 bits: one in more than one document is a repeat.
 document's repeated chunks that touch are merged into spans, which are returned.
 
 Cut points are nowhere more than ``WINDOW`` words apart.  With 20 words a chunk, a
-passage of 38 words holds a whole chunk, and of one of 51 words at least 28 lie in
+passage of 40 words holds a whole chunk, and of one of 51 words at least 25 lie in
 a span, whatever its words; a span never reaches over the passage.
 
 Defined cases: null and empty texts and those of fewer words hold no chunk; rows of
@@ -35,7 +35,7 @@ from tarn.llm.common import cut, in_batches, unused
 from tarn.llm.text_bytes import BLANK, BYTE, GEAR, IS_BLANK, SLICE, mix, powers, slices, texts
 
 #: Words on end of which the one with the least hash is a cut point.
-WINDOW = 7
+WINDOW = 8
 #: Bytes that the rolling hash remembers, a power of two.
 GEAR_BYTES = 8
 #: Words by which the parts of a long text overlap: more than a chunk and two windows.
@@ -140,14 +140,28 @@ def occurrences(rows: DataFrame, n_words: int, with_places: bool) -> DataFrame:
                 which, one, two, *places = found(data[first:last])
                 arrays = [pa.array(keys[first + which], pa.int64()), pa.array(one), pa.array(two)]
                 if with_places:
-                    arrays += [pa.array(x.astype(np.int64)) for x in places]
+                    start, end, first_word, last_word = (x.astype(np.int64) for x in places)
+                    arrays += [pa.array(start << 32 | first_word), pa.array((end - start) << 32 | (last_word - first_word))]
                 yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
-    names = ["row_key", "digest", "digest2", "start", "end", "first_word", "last_word"]
-    places = ", start long, end long, first_word long, last_word long" if with_places else ""
+    names = ["row_key", "digest", "digest2", "where", "reach"]
+    places = ", where long, reach long" if with_places else ""
     return rows.mapInArrow(read, "row_key long, digest long, digest2 long" + places)
 
 
+def unpacked(found: DataFrame) -> DataFrame:
+    """Places of chunks, which travel as two numbers of 32 bits in one."""
+    high, low = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    return found.withColumns(
+        {
+            "start": high("where"),
+            "end": high("where") + high("reach"),
+            "first_word": low("where"),
+            "last_word": low("where") + low("reach"),
+        }
+    ).drop("where", "reach")
+
+
 def key_of(doc_id: Column, text: Column) -> Column:
     """The id, or a number above all ids that the text decides."""
     return F.coalesce(doc_id, F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
@@ -193,7 +207,7 @@ def keyed_passages(docs: DataFrame, least_words: int, chunk_words: int, id_col:
         .where("first_key < last_key")
         .select(*digest, "first_key")
     )
-    found = occurrences(rows, chunk_words, True).join(repeated, digest)
+    found = unpacked(occurrences(rows, chunk_words, True).join(repeated, digest))
     found = found.withColumn("kept", F.col("row_key") == F.col("first_key"))
     # What an earlier document holds is taken off the chunks that it holds in part.
     before = Window.partitionBy("row_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
