@@ -20,7 +20,8 @@ many links is a skewed join key, which adaptive execution splits.
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 fits no rule and takes no part in the graph, and is allowed; a null page text
 links nowhere; a link to its own host is no edge; repeated rows count again; a
-null page id stays null; an empty table gives no rows; other columns are
+null page id stays null; equal trust and distrust allow; rules of one length are
+taken as they stand; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -95,11 +96,15 @@ def propagated(
 ) -> DataFrame:
     """(host, score): personalised PageRank from seeds (host, mass) of total 1.
 
+    What comes to hosts without links goes back to the seeds.  That only adds to
+    what the seeds give out, so the scores are those of lost mass, divided by
+    their sum.
+
     Scores only grow from step to step, and each step's growth is at most
     ``damping`` times the last one's, so where ``CHECKED`` steps add no more than
     ``tolerance`` in all, all later steps add less than that.
     """
-    base = rank = seeds.select("host", (F.col("mass") * (1 - damping)).alias("score"))
+    base = rank = cut(seeds.select("host", (F.col("mass") * (1 - damping)).alias("score")))
     last = reached(rank)
     while True:
         for _ in range(CHECKED):
@@ -111,7 +116,7 @@ def propagated(
             rank = cut(base.union(spread).groupBy("host").agg(F.sum("score").alias("score")))
         now = reached(rank)
         if now.hosts == last.hosts and now.total - last.total <= tolerance:
-            return rank
+            return rank.select("host", (F.col("score") / (now.total or 1.0)).alias("score"))
         last = now
 
 

@@ -740,6 +740,8 @@ def test_sharding(docs, none):
     rows = shard(docs, 16).collect()
     want = Counter((r.doc_id, len((r.text or "").encode()) + 1, crc32((r.text or "").encode())) for r in docs.collect())
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    tokens = Counter((r.doc_id, len(ids_of(r.text)) - 1) for r in docs.collect())
+    assert Counter((r.doc_id, r.tokens) for r in rows) == tokens
     slots = defaultdict(list)
     for r in rows:
         assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 16
@@ -749,10 +751,27 @@ def test_sharding(docs, none):
 
 
 def test_sharding_real(spark):
-    sizes = Counter()
+    sizes, tokens, rows = Counter(), Counter(), Counter()
     for r in QUERIES["op9_vector_sharding"](spark, "/root/testdata/sf0.01").collect():
         sizes[r.shard] += r.size
+        tokens[r.shard] += r.tokens
+        rows[r.shard] += 1
     assert len(sizes) == 16 and max(sizes.values()) <= 1.02 * min(sizes.values())
+    for other in (tokens, rows):
+        assert max(other.values()) <= 1.1 * min(other.values())
+
+
+def test_placing_takes_the_shard_with_the_best_product():
+    from tarn.llm.sharding import EMPHASIS, place
+
+    items = np.random.default_rng(3).integers(1, 50, (60, 3)).astype(float)
+    found = place(items, 4)
+    shares = items / items.sum(0)
+    residual = np.full((4, 3), 0.25)
+    for i in sorted(range(60), key=lambda i: (-items[i, 0], -shares[i].sum(), i)):
+        products = [sum(EMPHASIS[d] * residual[s, d] * shares[i, d] for d in range(3)) for s in range(4)]
+        assert products[found[i]] == pytest.approx(max(products))
+        residual[found[i]] -= shares[i]
 
 
 # urls
@@ -799,7 +818,7 @@ def test_distrust_reaches_the_end_of_a_chain(spark):
     rows = [(i, f"http://{h}/es/", link(i)) for i, h in enumerate(hosts)]
     got = {r.page_id: r for r in judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(17):
-        assert got[i].verdict == "block" and got[i].distrust == pytest.approx(0.15 * 0.85**i)
+        assert got[i].verdict == "block" and got[i].distrust == pytest.approx(0.15 * 0.85**i / (1 - 0.85**17))
 
 
 def test_trust_in_a_circle_comes_close_to_the_limit(spark):
@@ -809,6 +828,24 @@ def test_trust_in_a_circle_comes_close_to_the_limit(spark):
     assert got == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.15 * 0.85 / (1 - 0.85**2)}, abs=0.01)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_trust_against_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    n = 14
+    links = (r.random((n, n)) < 0.15) & ~np.eye(n, dtype=bool)
+    links[3] = links[7] = False  # hosts without links
+    mass = np.zeros(n)
+    mass[[1, 5]] = 0.25, 0.75
+    step = np.where(links.any(1)[:, None], links / np.maximum(1, links.sum(1))[:, None], mass)
+    want = mass.copy()
+    for _ in range(400):
+        want = 0.15 * mass + 0.85 * want @ step
+    edges = [(f"h{i}", f"h{j}", float(1.0 / links[i].sum())) for i in range(n) for j in range(n) if links[i, j]]
+    seeds = spark.createDataFrame([("h1", 0.25), ("h5", 0.75)], "host string, mass double")
+    got = dict(propagated(seeds, spark.createDataFrame(edges, "src string, dst string, weight double")).collect())
+    assert [got.get(f"h{i}", 0.0) for i in range(n)] == pytest.approx(want.tolist(), abs=1e-5)
+
+
 # pipeline and oracles
 
 
