@@ -56,3 +56,13 @@ EARTH_RADIUS_KM = 6371.0
 WGS84_A, WGS84_E2 = 6378137.0, 0.0066943799901413165
 TILE_M, BUFFER_M = 25000.0, 3500.0
 ACTIVE_KM2 = 2.0
+
+# Wording of forecasts.
+INDEX_LABELS = {
+    "ndci": "NDCI (Chlorophyll-a)",
+    "ndvi": "NDVI (Vegetation Vigor)",
+    "ndwi": "NDWI (Water Mask)",
+    "turbidity_ratio": "Turbidity",
+    "red_edge_slope": "Red Edge Slope (Pigment Trend)",
+}
+ARROWS = {"up": "↑", "down": "↓", "stable": "→", "uncertain": "?"}

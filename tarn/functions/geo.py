@@ -59,6 +59,42 @@ def bounds(ring: Column) -> Column:
     )
 
 
+def centroid(polygons: Column) -> Column:
+    """Struct lon, lat: the centroid by area of polygons, each a list of rings.
+
+    The first ring of a polygon is its border, the others are holes.  Shapes
+    without an area have the mean of their points.
+    """
+
+    def moments(ring: Column, sign: Column) -> Column:
+        sides = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))),
+            lambda i: F.struct(F.get(ring, i - 1).alias("a"), F.get(ring, i).alias("b")),
+        )
+        cross = lambda s: s["a"]["lon"] * s["b"]["lat"] - s["b"]["lon"] * s["a"]["lat"]
+        total = lambda f: F.aggregate(sides, F.lit(0.0), lambda held, s: held + F.coalesce(f(s), F.lit(0.0)))
+        area = total(cross) / 2
+        turn = sign * F.signum(area)
+        return F.struct(
+            (turn * area).alias("area"),
+            (turn * total(lambda s: (s["a"]["lon"] + s["b"]["lon"]) * cross(s)) / 6).alias("x"),
+            (turn * total(lambda s: (s["a"]["lat"] + s["b"]["lat"]) * cross(s)) / 6).alias("y"),
+        )
+
+    each = F.flatten(
+        F.transform(polygons, lambda rings: F.transform(rings, lambda ring, i: moments(ring, F.when(i == 0, 1.0).otherwise(-1.0))))
+    )
+    sum_of = lambda part: F.aggregate(each, F.lit(0.0), lambda held, m: held + m[part])
+    points = F.flatten(F.flatten(polygons))
+    mean = lambda axis: F.aggregate(points, F.lit(0.0), lambda held, q: held + q[axis]) / F.size(points)
+    area = F.when(sum_of("area") > 0, sum_of("area"))
+    there = F.size(points) > 0
+    return F.when(
+        there,
+        F.struct(F.coalesce(sum_of("x") / area, mean("lon")).alias("lon"), F.coalesce(sum_of("y") / area, mean("lat")).alias("lat")),
+    )
+
+
 def covers(ring: Column, lon: Column, lat: Column) -> Column:
     """Whether a closed ring covers a point; points on its border count.
 

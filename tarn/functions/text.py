@@ -75,20 +75,36 @@ def similarity_color(score: Column) -> Column:
 
 def slug(name: Column) -> Column:
     """A file name's part: other characters than letters and digits become ``_``."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    bare = F.regexp_replace(F.regexp_replace(name, r"[^0-9A-Za-z]+", "_"), r"^_+|_+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit("lake"))
 
 
 def image_path(root: Column, year: Column, site_id: Column) -> Column:
     return F.format_string("%s/%d/lake_%06d.tif", root, year.cast("int"), site_id.cast("long"))
 
 
-def path_root(path: Column) -> Column:
-    """What stands before ``/<year>/`` in a stored path."""
-    return F.nullif(F.regexp_extract(path, r"^(.*)/\d{4}/[^/]*$", 1), F.lit(""))
+#: A year's folder right above a file, or one folder higher.
+_LAYOUTS = (r"^(.*)/(\d{4})/[^/]+$", r"^(.*)/(\d{4})/[^/]+/[^/]+$")
+
+
+def path_root(path: Column, year: Column | None = None) -> Column:
+    """What stands before the folder of the year, or of any year if none is given.
+
+    The folder is the file's own or the one above; null if neither is the year's.
+    """
+
+    def root(layout: str) -> Column:
+        found = F.regexp_extract(path, layout, 2)
+        right = found != "" if year is None else found == F.format_string("%04d", year.cast("int"))
+        before = F.regexp_extract(path, layout, 1)
+        return F.when(right, F.when(before == "", "/").otherwise(before))
+
+    return F.coalesce(*map(root, _LAYOUTS))
 
 
 def path_year(path: Column) -> Column:
-    return F.nullif(F.regexp_extract(path, r"/(\d{4})/[^/]*$", 1), F.lit("")).cast("int")
+    """The year of the folder that ``path_root`` stands before."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(path, layout, 2), F.lit("")) for layout in _LAYOUTS)).cast("int")
 
 
 def trend(first: Column, last: Column, rising: str = "increasing", falling: str = "declining") -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.constants import (
+    ARROWS,
     FALLBACK_HORIZON,
     FALLBACK_THRESHOLDS,
     FEATURE_VERSION,
     HORIZON,
+    INDEX_LABELS,
     MIN_SAMPLES,
     MIN_TWINS,
     NOISE_SHARE,
@@ -189,15 +191,40 @@ def nested_forecast(forecast: DataFrame) -> DataFrame:
     )
 
 
-def forecast_audit(forecast: DataFrame) -> DataFrame:
-    """``forecast`` with a sentence for each row."""
-    return forecast.withColumn(
-        "audit",
+def worded(column: Column, words: dict[str, str]) -> Column:
+    """The words for a column's values; other values as they are."""
+    pairs = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    return F.coalesce(F.element_at(pairs, column), column)
+
+
+def forecast_audit(forecast: DataFrame, contributed: DataFrame | None = None) -> DataFrame:
+    """``forecast`` with a sentence for each row.
+
+    ``contributed``, from ``contributions``, adds what each twin adds, by rank.
+    """
+    twins = F.lit("")
+    if contributed is not None:
+        one = F.format_string(
+            "Twin#%d(Δ=%+.4f, w=%.2f [fixed %.2f])", F.col("rank").cast("int"), "delta", "normalized_weight", "fixed_weight"
+        )
+        lists = contributed.groupBy("index_name", "h").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("said")))).alias("_twins"))
+        forecast = forecast.join(lists, ["index_name", "h"], "left")
+        twins = F.coalesce(F.concat(F.lit(" ["), F.array_join("_twins.said", ", "), F.lit("]")), F.lit(""))
+    audit = F.concat(
         F.format_string(
-            "%s @ %d: %s, weighted score = %.6f (threshold ±%.6f), %d twin(s) contributing.",
-            "index_name", F.col("forecast_year").cast("int"), "direction", "weighted_score", "threshold", "twins_contributing",
+            "%s @ %d: %s (%s) — weighted score = %+.6f (threshold ±%.6f), %d twin(s) contributing",
+            worded(F.col("index_name"), INDEX_LABELS),
+            F.col("forecast_year").cast("int"),
+            worded(F.col("direction"), ARROWS),
+            "direction",
+            "weighted_score",
+            "threshold",
+            "twins_contributing",
         ),
-    )
+        twins,
+        F.lit("."),
+    )
+    return forecast.withColumn("audit", audit).drop("_twins")
 
 
 def analog_weights(analogs: DataFrame, method: str) -> DataFrame:

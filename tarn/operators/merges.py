@@ -11,8 +11,17 @@ KEYS = ["lake_id", "year"]
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of the same key."""
-    return old.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    """``old`` with the columns of ``new`` in its rows of the same key, and new rows.
+
+    Columns that ``new`` lacks keep their values, and are null in new rows.  Of rows
+    of ``new`` that repeat a key the largest counts.
+    """
+    others = [c for c in new.columns if c not in keys]
+    fresh = new.groupBy(*keys).agg(F.max(F.struct(*others) if others else F.lit(0)).alias("_new"), F.lit(True).alias("_hit"))
+    value = lambda c: F.when(F.col("_hit"), F.col(f"_new.{c}")).otherwise(F.col(c) if c in old.columns else None)
+    out = [F.col(c) if c not in others else value(c).alias(c) for c in old.columns]
+    out += [value(c).alias(c) for c in others if c not in old.columns]
+    return old.join(fresh, keys, "full_outer").select(*out)
 
 
 def inserted_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,23 +74,29 @@ def marked_failed(regions: DataFrame, failed: DataFrame, message: str) -> DataFr
 
 
 def tiles_after_plan(tiles: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows of planned tiles: a tile whose box is unchanged keeps path and status.
+    """Rows of planned tiles: one whose box is unchanged keeps its status.
 
-    Boxes are compared null-safe; a changed or new one is PENDING again.
+    Boxes are compared null-safe; a changed or new one is PENDING.  A completed
+    tile of the same box keeps its path too; all others take the planned one.
     """
     keys = [*KEYS, "tile_index"]
-    had = tiles.select(*keys, F.col("bbox").alias("had"), "status", "image_path", F.lit(True).alias("known"))
-    same = F.col("known") & F.col("bbox").eqNullSafe(F.col("had"))
+    had = tiles.select(
+        *keys, F.col("bbox").alias("_box"), F.col("status").alias("_status"), F.col("image_path").alias("_path"), F.lit(True).alias("_known")
+    )
+    same = F.coalesce(F.col("_known"), F.lit(False)) & F.col("bbox").eqNullSafe(F.col("_box"))
+    planned = F.col("image_path") if "image_path" in plan.columns else F.lit(None).cast("string")
     return plan.join(had, keys, "left").select(
         *keys,
         "bbox",
-        F.when(same, F.col("status")).otherwise("PENDING").alias("status"),
-        F.when(same, F.col("image_path")).alias("image_path"),
+        F.when(same, F.col("_status")).otherwise("PENDING").alias("status"),
+        F.when(same & (F.col("_status") == "COMPLETED"), F.col("_path")).otherwise(planned).alias("image_path"),
     )
 
 
-def pending_tiles(tiles: DataFrame, max_retries: int = 3) -> DataFrame:
-    return tiles.where(~F.col("status").isin("COMPLETED") & (F.coalesce("retry_count", F.lit(0)) < max_retries))
+def pending_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles that are not completed, or have no path."""
+    done = (F.col("status") == "COMPLETED") & (F.coalesce("image_path", F.lit("")) != "")
+    return tiles.where(~F.coalesce(done, F.lit(False)))
 
 
 def rolled_up(tiles: DataFrame) -> DataFrame:

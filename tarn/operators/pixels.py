@@ -94,21 +94,27 @@ def index_statistics(pixels: DataFrame, names: tuple[str, ...] = tuple(INDICES))
     )
 
 
-def water_statistics(pixels: DataFrame, pixel_area_m2: float = 900.0) -> DataFrame:
-    """Pixels, shares and areas of water, vegetation and soil."""
-    kind = pixel_class(reflectances())
-    counted = (
-        pixels.where(all_bands())
-        .groupBy(KEYS)
-        .agg(*(F.count_if(kind == k).alias(f"{k}_count") for k in ("water", "vegetation", "soil")))
+def water_statistics(pixels: DataFrame, pixel_area_m2: float | Column = 900.0) -> DataFrame:
+    """Pixels, shares and areas of water, vegetation and soil; zeros without valid pixels.
+
+    ``pixel_area_m2`` may be a column, as ``geo.pixel_area_m2`` gives for degrees.
+    """
+    kind = F.when(all_bands(), pixel_class(reflectances()))
+    area = pixel_area_m2 if isinstance(pixel_area_m2, Column) else F.lit(float(pixel_area_m2))
+    over = lambda *kinds: F.coalesce(F.sum(F.when(kind.isin(*kinds), area)), F.lit(0.0))
+    counted = pixels.groupBy(KEYS).agg(
+        *(F.count_if(kind == k).alias(f"{k}_count") for k in ("water", "vegetation", "soil")),
+        over("water").alias("_water"),
+        over("vegetation", "soil").alias("_land"),
     )
     land = F.col("vegetation_count") + F.col("soil_count")
     whole = F.col("water_count") + land
     return (
         counted.withColumns({f"{k}_pct": share(F.col(f"{k}_count"), whole, 4, 100.0) for k in ("water", "vegetation", "soil")})
-        .withColumn("water_km2", F.round(F.col("water_count") * pixel_area_m2 / 1e6, 6))
-        .withColumn("land_km2", F.round(land * pixel_area_m2 / 1e6, 6))
+        .withColumn("water_km2", F.round(F.col("_water") / 1e6, 6))
+        .withColumn("land_km2", F.round(F.col("_land") / 1e6, 6))
         .withColumn("water_land_ratio", share(F.col("water_count"), land, 6))
+        .drop("_water", "_land")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.constants import BUFFER_M, TILE_M
@@ -91,22 +91,28 @@ def tile_grid(sites: DataFrame, tile_m: float = TILE_M, buffer_m: float = BUFFER
 
 
 def covered_tiles(tiles: DataFrame, rings: DataFrame) -> DataFrame:
-    """Tiles that a site's polygon, in the same metres, reaches into.
+    """Tiles that a site's polygon, in the same metres, reaches into or touches.
 
-    Either a corner or the middle of the tile is inside the polygon, or one of
-    its points is inside the tile.
+    Either a side of the polygon runs through the tile, which clipping the side at
+    the tile's edges tells, or the tile lies inside the polygon as a whole.
     """
-    ring = F.col("ring")
-    x = {"min_x": F.col("min_x"), "max_x": F.col("max_x")}
-    y = {"min_y": F.col("min_y"), "max_y": F.col("max_y")}
-    spots = [(a, b) for a in x.values() for b in y.values()]
-    spots.append(((x["min_x"] + x["max_x"]) / 2, (y["min_y"] + y["max_y"]) / 2))
-    inside = F.exists(
-        ring, lambda p: p["lon"].between(x["min_x"], x["max_x"]) & p["lat"].between(y["min_y"], y["max_y"])
-    )
-    for a, b in spots:
-        inside = inside | covers(ring, a, b)
-    return tiles.join(rings, "lake_id").where(inside).drop("ring")
+    ring, low, high = F.col("ring"), {"lon": "min_x", "lat": "min_y"}, {"lon": "max_x", "lat": "max_y"}
+
+    def through(i: Column) -> Column:
+        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+        enters, leaves, level = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
+        for axis in ("lon", "lat"):
+            step = b[axis] - a[axis]
+            moves = F.when(step != 0, step)
+            one, two = (F.col(low[axis]) - a[axis]) / moves, (F.col(high[axis]) - a[axis]) / moves
+            enters.append(F.coalesce(F.least(one, two), F.lit(0.0)))
+            leaves.append(F.coalesce(F.greatest(one, two), F.lit(1.0)))
+            level = level & ((step != 0) | a[axis].between(F.col(low[axis]), F.col(high[axis])))
+        return level & (F.greatest(*enters) <= F.least(*leaves))
+
+    sides = F.sequence(F.lit(1), F.size(ring) - 1)
+    reached = F.exists(sides, through) | covers(ring, F.col("min_x"), F.col("min_y"))
+    return tiles.join(rings, "lake_id").where(reached).drop("ring")
 
 
 def shore_pixels(pixels: DataFrame, ring_px: int) -> DataFrame:

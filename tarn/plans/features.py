@@ -68,7 +68,7 @@ def pixel_statistics(spark, pixels):
     return px.pixel_statistics(pixels)
 
 
-_WATER_SQL = f"""
+_VALID_WATER_SQL = f"""
     SELECT lake_id, year, water AS water_count, vegetation AS vegetation_count, soil AS soil_count,
            round(water / CAST(n AS double) * 100, 4) AS water_pct, round(vegetation / CAST(n AS double) * 100, 4) AS vegetation_pct,
            round(soil / CAST(n AS double) * 100, 4) AS soil_pct, round(water * 900.0 / 1e6, 6) AS water_km2,
@@ -82,6 +82,12 @@ _WATER_SQL = f"""
           GROUP BY lake_id, year) t"""
 
 
+_WATER_SQL = "SELECT k.lake_id, k.year, " + ", ".join(
+    f"coalesce(t.{c}, 0) AS {c}"
+    for c in "water_count vegetation_count soil_count water_pct vegetation_pct soil_pct water_km2 land_km2 water_land_ratio".split()
+) + f" FROM (SELECT DISTINCT lake_id, year FROM v_bands) k LEFT JOIN ({_VALID_WATER_SQL}) t ON k.lake_id = t.lake_id AND k.year = t.year"
+
+
 @query(_WATER_SQL, "v_bands")
 def water_statistics(spark, pixels):
     return px.water_statistics(pixels)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarn.constants import ARROWS, INDEX_LABELS
 from tarn.operators import forecasts as fc
 from tarn.operators.trajectories import analogs
 from tarn.plans.base import query, rounded
@@ -216,13 +217,17 @@ def fallback_confidence(spark, records):
     return fc.forecast_confidence(fc.analog_weights(picked, METHOD), 1990, METHOD)
 
 
+_LABEL = "CASE index_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in INDEX_LABELS.items()) + " END"
+_ARROW = "CASE direction " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ARROWS.items()) + " END"
+
+
 @query(
-    f"""SELECT index_name, h, concat(index_name, ' @ ', forecast_year, ': ', direction, ', ', twins_contributing) AS audit
+    f"""SELECT index_name, h, concat({_LABEL}, ' @ ', forecast_year, ': ', {_ARROW}, ' (', direction, ') — weighted score = ',
+              printf('%+.6f', weighted_score), ' (threshold ±', printf('%.6f', threshold), '), ', twins_contributing, ' twin(s) contributing.') AS audit
         FROM ({_FORECAST}) f""",
     "v_embed_shifted",
     "v_features",
 )
 def forecast_audit_text(spark, records, features):
     full = fc.forecast_audit(fc.ecological_forecast(_analogs(records), features, SITE, ANCHOR))
-    short = F.regexp_replace("audit", r", weighted score = .*\), (\d+) twin.*$", ", $1")
-    return full.select("index_name", "h", short.alias("audit"))
+    return full.select("index_name", "h", "audit")

@@ -142,3 +142,27 @@ def shore_ring_all_sites(spark, pixels):
     """Pixels of every site within two of its lake's, here those of a dark band."""
     lake = pixels.withColumn("in_lake", F.col("b8") < 300)
     return spatial.shore_pixels(lake, 2).select("lake_id", "year", "r", "c", "in_shore")
+
+
+@query(
+    """SELECT lake_id, concat(i, '_', j) AS tile_index
+       FROM (SELECT lake_id, center_lon AS x, center_lat AS y, 1 + lake_id % 4 AS reach, i, j, floor(center_lon) - 6 + i * 3 AS w, floor(center_lat) - 6 + j * 3 AS s
+             FROM v_lakes, (VALUES (0), (1), (2), (3)) a(i), (VALUES (0), (1), (2), (3)) b(j) WHERE center_lon IS NOT NULL) t
+       WHERE greatest(w - x, 0, x - w - 3) + greatest(s - y, 0, y - s - 3) <= reach""",
+    "v_lakes",
+)
+def polygon_tiles(spark, sites):
+    """Tiles of a grid that a diamond around each site reaches; its SQL measures the way to the tile."""
+    known = sites.where("center_lon IS NOT NULL").withColumn("reach", 1 + F.col("lake_id") % 4)
+    corner = lambda dx, dy: F.struct(
+        (F.col("center_lon") + dx * F.col("reach")).alias("lon"), (F.col("center_lat") + dy * F.col("reach")).alias("lat")
+    )
+    rings = known.select("lake_id", F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1), corner(1, 0)).alias("ring"))
+    four = F.sequence(F.lit(0), F.lit(3))
+    low = {"min_x": F.floor("center_lon") - 6 + F.col("i") * 3, "min_y": F.floor("center_lat") - 6 + F.col("j") * 3}
+    tiles = (
+        known.withColumn("i", F.explode(four)).withColumn("j", F.explode(four)).withColumns(low)
+        .select("lake_id", F.concat_ws("_", "i", "j").alias("tile_index"), "min_x", "min_y",
+                (F.col("min_x") + 3).alias("max_x"), (F.col("min_y") + 3).alias("max_y"))
+    )
+    return spatial.covered_tiles(tiles, rings).select("lake_id", "tile_index")

@@ -41,12 +41,14 @@ def merge_upsert_counts(spark, images):
 
 
 @query(
-    f"""SELECT lake_id, year, status FROM v_images o WHERE NOT EXISTS (SELECT 1 FROM ({_NEW}) n WHERE n.lake_id = o.lake_id AND n.year = o.year)
-        UNION ALL SELECT lake_id, year, status FROM ({_NEW}) n""",
+    f"""SELECT lake_id, year, status, file_size_bytes FROM v_images o
+               WHERE NOT EXISTS (SELECT 1 FROM ({_NEW}) n WHERE n.lake_id = o.lake_id AND n.year = o.year)
+        UNION ALL SELECT n.lake_id, n.year, n.status, o.file_size_bytes FROM ({_NEW}) n LEFT JOIN v_images o ON n.lake_id = o.lake_id AND n.year = o.year""",
     "v_images",
 )
 def merged_table(spark, images):
-    return merges.merged(images.select(*KEYS, "status"), _new(images), KEYS)
+    """An upsert sets the columns it has; the file size stays."""
+    return merges.merged(images.select(*KEYS, "status", "file_size_bytes"), _new(images), KEYS)
 
 
 @query(
@@ -77,7 +79,8 @@ def prune_stale_tiles(spark, tiles):
 
 
 @query(
-    """SELECT lake_id, year, tile_index, bbox, CASE WHEN same THEN status ELSE 'PENDING' END AS status, CASE WHEN same THEN image_path END AS image_path
+    """SELECT lake_id, year, tile_index, bbox, CASE WHEN same THEN status ELSE 'PENDING' END AS status,
+              CASE WHEN same AND status = 'COMPLETED' THEN image_path ELSE concat('/new/', tile_index) END AS image_path
        FROM (SELECT *, CASE WHEN lake_id % 3 <> 0 THEN concat('box', lake_id % 3) END AS bbox, lake_id % 3 <> 1 AS same FROM v_tiles) t""",
     "v_tiles",
 )
@@ -86,16 +89,18 @@ def tile_plan_merge(spark, tiles):
     third = F.col("lake_id") % 3
     box = F.when(third != 0, F.concat(F.lit("box"), third.cast("string")))
     had = tiles.withColumn("bbox", F.when(third == 1, "other").otherwise(box))
-    return merges.tiles_after_plan(had, tiles.select(*KEYS, "tile_index", box.alias("bbox")))
+    plan = tiles.select(*KEYS, "tile_index", box.alias("bbox"), F.concat(F.lit("/new/"), "tile_index").alias("image_path"))
+    return merges.tiles_after_plan(had, plan)
 
 
 @query(
-    """SELECT lake_id, year, tile_index FROM v_tiles WHERE status <> 'COMPLETED' AND lake_id % 5 < 3""",
+    """SELECT lake_id, year, tile_index FROM v_tiles WHERE status <> 'COMPLETED' OR lake_id % 5 < 2""",
     "v_tiles",
 )
 def pending_tiles(spark, tiles):
-    retried = tiles.withColumn("retry_count", F.when(F.col("lake_id") % 5 != 0, F.col("lake_id") % 5))
-    return merges.pending_tiles(retried, 3).select(*KEYS, "tile_index")
+    fifth = F.col("lake_id") % 5
+    path = F.when(fifth == 1, "").when(fifth != 0, F.col("image_path"))
+    return merges.pending_tiles(tiles.withColumn("image_path", path)).select(*KEYS, "tile_index")
 
 
 @query(
@@ -206,7 +211,7 @@ def mergeable_years(spark, tiles):
 )
 def year_root_summary(spark, tiles):
     per_site = tiles.where("status = 'COMPLETED'").groupBy(*KEYS).agg(F.min("image_path").alias("p"), F.max("updated_at").alias("updated_at"))
-    return audits.year_roots(per_site.withColumn("root", path_root(F.col("p"))))
+    return audits.year_roots(per_site.withColumn("root", path_root(F.col("p"), F.col("year"))))
 
 
 @query(
@@ -214,7 +219,7 @@ def year_root_summary(spark, tiles):
     "v_tiles",
 )
 def common_root(spark, tiles):
-    return audits.common_path(tiles.select(path_root(F.col("image_path")).alias("root"), path_year(F.col("image_path")).alias("y")), "root")
+    return audits.common_path(tiles.select(path_root(F.col("image_path"), F.col("year")).alias("root"), path_year(F.col("image_path")).alias("y")), "root")
 
 
 @query(

@@ -51,8 +51,9 @@ VIEWS = {
                CASE min(CASE WHEN o_orderkey % 29 = 0 THEN 1 WHEN o_orderkey % 31 = 0 THEN 2 ELSE 3 END)
                     WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PENDING' ELSE 'COMPLETED' END AS status,
                CAST(max(floor(o_totalprice)) AS bigint) AS file_size_bytes, max(o_orderdate) AS updated_at,
-               concat('/data', CAST(min(o_orderkey % 2) AS string), '/', CAST(year(o_orderdate) AS string), '/t_',
-                      CAST(o_custkey % 60 AS string), '.tif') AS image_path
+               concat('/data', CAST(min(o_orderkey % 2) AS string), '/', CAST(year(o_orderdate) AS string), '/lake_',
+                      lpad(CAST(o_custkey % 60 AS string), 6, '0'), '/tile_', CAST(o_orderkey % 3 AS string), '_',
+                      CAST(o_orderkey % 2 AS string), '.tif') AS image_path
         FROM {orders}
         GROUP BY o_custkey % 60, year(o_orderdate), o_orderkey % 3, o_orderkey % 2""",
     "v_images": """

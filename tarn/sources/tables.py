@@ -5,41 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions.text import first_number
+from tarn.functions.geo import bounds, centroid
+from tarn.functions.text import first_number, without_accents
 
 
 def geojson_features(spark: SparkSession, path: str, country: str | None = None) -> DataFrame:
-    """Sites of a GeoJSON collection: id, name, country, numbers, ring, centroid.
+    """Sites of a GeoJSON collection: id, name, country, area, pour point, centre, box, polygons.
 
-    Attributes go by the names that such files use; the first one present wins.
+    Attributes go by the names that such files use; the first one present wins, and
+    a site without a name goes by its id.  Names lose their accents.  The centre is
+    the centroid by area of all polygons, holes taken off, or ``lat`` and ``lon``
+    where a site has no geometry.  ``ring`` is the outer ring of the first polygon.
     """
     shape_type = "struct<type:string,coordinates:string>"
     schema = f"type string, features array<struct<type:string,properties:string,geometry:{shape_type}>>"
     rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
     field = lambda name: F.get_json_object("f.properties", f"$.{name}")
     p = lambda *names: F.coalesce(*(F.nullif(F.trim(field(n)), F.lit("")) for n in names))
-    shape = F.col("f.geometry.coordinates")
-    ring = F.coalesce(
-        F.get(F.from_json(F.when(F.col("f.geometry.type") == "Polygon", shape), "array<array<array<double>>>"), F.lit(0)),
-        F.get(
-            F.get(F.from_json(F.when(F.col("f.geometry.type") == "MultiPolygon", shape), "array<array<array<array<double>>>>"), F.lit(0)),
-            F.lit(0),
-        ),
+    kind, shape = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    rings = "array<array<array<double>>>"
+    polygons = F.when(kind == "Polygon", F.array(F.from_json(shape, rings))).when(
+        kind == "MultiPolygon", F.from_json(shape, f"array<{rings}>")
     )
-    points = F.transform(ring, lambda x: F.struct(x[0].alias("lon"), x[1].alias("lat")))
+    as_points = lambda ring: F.transform(ring, lambda x: F.struct(x[0].alias("lon"), x[1].alias("lat")))
+    site = p("Hylak_id", "HYLAK_ID", "hydrolake_id", "lake_id", "id")
     out = rows.select(
-        p("Hylak_id", "lake_id", "id").cast("long").alias("lake_id"),
-        p("Lake_name", "name").alias("lake_name"),
-        p("Country", "country").alias("country"),
-        first_number(field("Lake_area"), field("area")).alias("area_sqkm"),
+        site.cast("long").alias("lake_id"),
+        without_accents(F.coalesce(p("Lake_name", "name"), site)).alias("lake_name"),
+        p("country", "COUNTRY", "Country").alias("country"),
+        first_number(field("Lake_area"), field("area_sqkm"), field("area")).alias("area_sqkm"),
         first_number(field("Pour_lat")).alias("pour_lat"),
         first_number(field("Pour_long")).alias("pour_lon"),
-        points.alias("ring"),
+        field("lat").try_cast("double").alias("_lat"),
+        field("lon").try_cast("double").alias("_lon"),
+        F.transform(polygons, lambda rings: F.transform(rings, as_points)).alias("polygons"),
     )
-    middle = lambda k: F.aggregate(
-        F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.lit(0.0), lambda s, q: s + q[k]
-    ) / F.greatest(F.size("ring") - 1, F.lit(1))
-    out = out.withColumns({"center_lon": middle("lon"), "center_lat": middle("lat")})
+    every = F.flatten(F.flatten("polygons"))
+    box = bounds(every)
+    middle = centroid(F.col("polygons"))
+    out = out.withColumns(
+        {
+            "ring": F.get(F.get("polygons", F.lit(0)), F.lit(0)),
+            "center_lon": F.coalesce(middle["lon"], "_lon", F.lit(0.0)),
+            "center_lat": F.coalesce(middle["lat"], "_lat", F.lit(0.0)),
+            **{side: box[side] for side in ("west", "south", "east", "north")},
+        }
+    ).drop("_lat", "_lon")
     return out if country is None else out.where(F.lower("country") == country.lower())
 
 
@@ -77,9 +88,3 @@ def write_version(df: DataFrame, root: str, version: int, partition_by: str | No
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return path
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int) -> DataFrame:
-    """A database table in ``parts`` ranges of a numeric key."""
-    options = {"url": url, "dbtable": table, "partitionColumn": key, "lowerBound": low, "upperBound": high}
-    return spark.read.format("jdbc").options(**options, numPartitions=parts).load()

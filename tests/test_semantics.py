@@ -235,7 +235,8 @@ def test_pixels_without_a_value(spark):
     row = px.pixel_statistics(none).first()
     assert (row.pixel_count, row.valid_count, row.coverage_pct, row.cloud_pct) == (2, 0, 0.0, 100.0)
     assert px.band_statistics(none).first().b1_mean is None
-    assert px.index_statistics(none).count() == px.water_statistics(none).count() == px.spectral_summary(none).count() == 0
+    assert px.index_statistics(none).count() == px.spectral_summary(none).count() == 0
+    assert px.water_statistics(none).select("water_count", "land_km2").collect() == [(0, 0.0)]
 
 
 def test_classes_part_the_valid_pixels(spark):
@@ -383,3 +384,76 @@ def test_nothing_else_imports_the_corpus_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "tarn.llm" not in path.read_text(), path
+
+
+def test_upsert_keeps_what_the_new_rows_lack(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, status string, size int")
+    new = spark.createDataFrame([(2, "c", True), (3, "d", None), (2, "b", True)], "k int, status string, extra boolean")
+    rows = {r.k: tuple(r) for r in merged(old, new, ["k"]).collect()}
+    assert rows == {1: (1, "a", 5, None), 2: (2, "c", 6, True), 3: (3, "d", None, None)}
+
+
+def test_roots_of_stored_paths(spark):
+    paths = ["/d/2020/lake_000001.tif", "/d/2020/lake_000001/tile_0_0.tif", "/d/2021/lake_000001/tile_0_0.tif", "/2020/x.tif", "x.tif", "/d/2020/2020/x.tif", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    rows = df.select("i", text.path_root(F.col("p"), F.lit(2020)).alias("r"), text.path_year(F.col("p")).alias("y")).orderBy("i").collect()
+    assert [r.r for r in rows] == ["/d", "/d", None, "/", None, "/d/2020", None]
+    assert [r.y for r in rows] == [2020, 2020, 2021, 2020, None, 2020, None]
+    assert spark.range(1).select(text.slug(F.lit(" Wular Lake! ")), text.slug(F.lit("--"))).first()[:] == ("Wular_Lake", "lake")
+
+
+def test_centroid_by_area(spark, tmp_path):
+    hole = "[[0,0],[6,0],[6,6],[0,6],[0,0]],[[4,4],[6,4],[6,6],[4,6],[4,4]]"
+    (tmp_path / "y.json").write_text(
+        '{"type":"FeatureCollection","features":[{"properties":{"HYLAK_ID":1,"COUNTRY":"X","area_sqkm":2},'
+        '"geometry":{"type":"MultiPolygon","coordinates":[[%s],[[[10,0],[12,0],[12,2],[10,2],[10,0]]]]}},'
+        '{"properties":{"hydrolake_id":"2","Lake_name":"Bih\u0101r","lat":5.5,"lon":6.5},"geometry":null},'
+        '{"properties":{"id":3},"geometry":{"type":"Polygon","coordinates":[[[1,1],[3,3],[1,1]]]}}]}' % hole
+    )
+    rows = {r.lake_id: r for r in geojson_features(spark, str(tmp_path / "y.json")).collect()}
+    area = 36 - 4 + 4
+    assert rows[1].center_lon == pytest.approx((36 * 3 - 4 * 5 + 4 * 11) / area)
+    assert rows[1].center_lat == pytest.approx((36 * 3 - 4 * 5 + 4 * 1) / area)
+    assert (rows[1].west, rows[1].east, rows[1].north, rows[1].area_sqkm, rows[1].lake_name) == (0, 12, 6, 2.0, "1")
+    assert (rows[2].center_lat, rows[2].center_lon, rows[2].lake_name, rows[2].polygons) == (5.5, 6.5, "Bihar", None)
+    assert rows[3].center_lon == pytest.approx(5 / 3)
+
+
+def test_water_without_valid_pixels_is_zero(spark):
+    from tarn.constants import BANDS
+    from tarn.operators import pixels as px
+
+    schema = "lake_id int, year int, " + ", ".join(f"{b} double" for b in BANDS) + ", area double"
+    rows = [(1, 2020, *[None] * len(BANDS), 10.0), (2, 2020, *[500.0 + 10 * i for i in range(len(BANDS))], 1e6)]
+    found = {r.lake_id: r for r in px.water_statistics(spark.createDataFrame(rows, schema), F.col("area")).collect()}
+    assert found[1].water_count == found[1].water_pct == found[1].land_km2 == 0
+    assert found[2].water_km2 + found[2].land_km2 == 1.0
+
+
+def test_a_side_that_crosses_a_tile_reaches_it(spark):
+    from tarn.operators.spatial import covered_tiles
+
+    tile = lambda x, y: (1, f"{x}_{y}", float(x), float(y), x + 1.0, y + 1.0)
+    tiles = spark.createDataFrame([tile(x, y) for x in range(6) for y in range(6)], "lake_id int, tile_index string, min_x double, min_y double, max_x double, max_y double")
+    ring = [(0.1, 0.5), (5.9, 3.3), (5.8, 3.4), (0.1, 0.5)]
+    rings = spark.createDataFrame([(1, ring)], "lake_id int, ring array<struct<lon:double,lat:double>>")
+    found = {r.tile_index for r in covered_tiles(tiles, rings).collect()}
+    want = set()
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        for k in range(20001):
+            want.add(f"{int(ax + (bx - ax) * k / 20000)}_{int(ay + (by - ay) * k / 20000)}")
+    assert found == want
+
+
+def test_audit_names_what_each_twin_adds(spark):
+    from tarn.operators.forecasts import forecast_audit
+
+    forecast = spark.createDataFrame([("ndvi", 1, 2021, "up", 0.25, 0.1, 2), ("ndwi", 1, 2021, "stable", -0.0125, 0.1, 0)],
+        "index_name string, h int, forecast_year int, direction string, weighted_score double, threshold double, twins_contributing int")
+    twins = spark.createDataFrame([("ndvi", 1, 2, 0.1, 0.25, 0.2), ("ndvi", 1, 1, 0.3, 0.75, 0.6)], "index_name string, h int, rank int, delta double, normalized_weight double, fixed_weight double")
+    said = {r.index_name: r.audit for r in forecast_audit(forecast, twins).collect()}
+    assert said["ndvi"] == (
+        "NDVI (Vegetation Vigor) @ 2021: ↑ (up) — weighted score = +0.250000 (threshold ±0.100000), 2 twin(s) contributing"
+        " [Twin#1(Δ=+0.3000, w=0.75 [fixed 0.60]), Twin#2(Δ=+0.1000, w=0.25 [fixed 0.20])]."
+    )
+    assert said["ndwi"].endswith("weighted score = -0.012500 (threshold ±0.100000), 0 twin(s) contributing.")
