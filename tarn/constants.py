@@ -62,7 +62,7 @@ INDEX_LABELS = {
     "ndci": "NDCI (Chlorophyll-a)",
     "ndvi": "NDVI (Vegetation Vigor)",
     "ndwi": "NDWI (Water Mask)",
-    "turbidity_ratio": "Turbidity",
+    "turbidity": "Turbidity",
     "red_edge_slope": "Red Edge Slope (Pigment Trend)",
 }
 ARROWS = {"up": "↑", "down": "↓", "stable": "→", "uncertain": "?"}

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +85,27 @@ def checked(a: Column, width: int) -> Column:
     finite = F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     fits = a.isNull() | ((F.size(a) == width) & finite)
     return F.when(F.assert_true(fits, f"a vector of {width} finite numbers is expected").isNull(), a)
+
+
+def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(usable, vectors): which rows of a list column hold ``width`` numbers, and those as doubles."""
+    usable = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    values = column.filter(usable).flatten()
+    rows = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    mask = usable.to_numpy(zero_copy_only=False).astype(bool)
+    if values.null_count:
+        whole = ~values.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
+        mask[mask] = whole
+        rows = rows[whole]
+    return mask, rows
+
+
+def pair_scores(rows: np.ndarray, query: np.ndarray, method: str) -> np.ndarray:
+    """Similarity of each row with one vector; equal rows have equal scores to the last bit."""
+    if method == "euclidean":
+        return 1 / (1 + np.sqrt(((rows - query) ** 2).sum(axis=1)))
+    dots = (rows * query).sum(axis=1)
+    if method == "knn":
+        return (dots + 1) / 2
+    size = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum())
+    return np.where(size == 0, 1.0, dots / np.where(size == 0, 1.0, size))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.constants import MAX_TOP_K, SIMILARITY_FLOOR, TOP_K, WINDOW
-from tarn.functions.vectors import PAIR, cosine, distance, dot, rescaled
+from tarn.functions.vectors import cosine, distance, dot, matrix, pair_scores, rescaled
+
+#: Sites of a block that meet a block of queries, and places that scores count to.
+BLOCK, DIGITS = 256, 12
 
 
 def query_trajectory(records: DataFrame, site: int, anchor_year: int, window: int = WINDOW) -> DataFrame:
@@ -29,17 +36,43 @@ def query_trajectory(records: DataFrame, site: int, anchor_year: int, window: in
     )
 
 
+def record_scores(records: DataFrame, trajectory: list[list[float]], method: str) -> DataFrame:
+    """(lake_id, year, scores): each record's similarity with the trajectory's vectors.
+
+    One matrix step a batch; a record without a vector of that width has no scores.
+    """
+    queries = np.array(trajectory, np.float64)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask, rows = matrix(batch.column(2), queries.shape[1])
+            found = np.stack([pair_scores(rows, q, method) for q in queries], axis=1) if len(rows) else np.empty((0, len(queries)))
+            sizes = np.where(mask, len(queries), 0)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            scores = pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], scores], ["lake_id", "year", "scores"])
+
+    kinds = {c: records.schema[c].dataType.simpleString() for c in ("lake_id", "year")}
+    schema = ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", scores array<double>"
+    return records.select("lake_id", "year", "embedding").mapInArrow(read, schema)
+
+
 def scored_windows(records: DataFrame, trajectory: DataFrame, method: str, window: int = WINDOW) -> DataFrame:
     """(lake_id, start_year, end_year, raw_score) of all windows of all sites.
 
     Each record meets the trajectory's vectors in one pass; a window adds its
     records' entries up by ``lead``, so a site is shuffled once.  A trajectory of
-    another length than ``window`` scores 0.  ``trajectory`` is one row.
+    another length than ``window`` scores 0.  ``trajectory`` is at most one row of
+    ``window`` vectors, which the driver hands to the tasks.
     """
     in_order = Window.partitionBy("lake_id").orderBy("year")
-    each = records.join(F.broadcast(trajectory)).withColumn(
-        "scores", F.transform("trajectory", lambda q: PAIR[method](F.col("embedding"), q))
-    )
+    asked = trajectory.first()
+    if asked is None:
+        years = records.schema["year"].dataType.simpleString()
+        return records.limit(0).selectExpr(
+            "lake_id", "year AS start_year", f"CAST(year AS {years}) AS end_year", "CAST(0 AS double) AS raw_score"
+        )
+    each = record_scores(records, asked["trajectory"], method)
     entry = lambda k: F.lead(F.try_element_at("scores", F.lit(k + 1)), k).over(in_order)
     score = sum((entry(k) for k in range(1, window)), F.try_element_at("scores", F.lit(1))) / window
     return (
@@ -47,7 +80,7 @@ def scored_windows(records: DataFrame, trajectory: DataFrame, method: str, windo
             "lake_id",
             F.col("year").alias("start_year"),
             F.lead("year", window - 1).over(in_order).alias("end_year"),
-            F.when(F.col("n") == window, score).otherwise(0.0).alias("raw_score"),
+            (score if asked["n"] == window else F.lit(0.0)).alias("raw_score"),
         )
         .where(F.col("end_year").isNotNull())
     )
@@ -80,56 +113,94 @@ def analogs(
     )
 
 
+def block_scores(records: np.ndarray, queries: np.ndarray, method: str) -> np.ndarray:
+    """Similarity of each record with each query vector, to ``DIGITS`` places.
+
+    So equal vectors tie, in whatever order a product was summed.
+    """
+    if method == "euclidean":
+        out = np.stack([pair_scores(records, q, method) for q in queries], axis=1)
+    elif method == "knn":
+        out = (records @ queries.T + 1) / 2
+    else:
+        size = np.sqrt((records**2).sum(axis=1))[:, None] * np.sqrt((queries**2).sum(axis=1))[None, :]
+        out = np.where(size == 0, 1.0, records @ queries.T / np.where(size == 0, 1.0, size))
+    return np.round(out, DIGITS)
+
+
+def best_of_block(method: str, top_k: int):
+    """Of one block of queries, the best sites of one block of sites."""
+
+    def search(sites: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ("query_id", "lake_id", "start_year", "end_year", "raw_score")
+        out: list[tuple] = []
+        if len(sites) and len(queries):
+            sites = sites.sort_by([("lake_id", "ascending"), ("year", "ascending")])
+            queries = queries.sort_by([("query_id", "ascending"), ("asked_year", "ascending")])
+            width = len(queries.column("vector")[0])
+            mask, rows = matrix(sites.column("embedding").combine_chunks(), width)
+            asked, vectors = matrix(queries.column("vector").combine_chunks(), width)
+            scores = np.full((len(sites), len(queries)), np.nan)
+            scores[np.ix_(mask, asked)] = block_scores(rows, vectors, method)
+            site, year = sites.column("lake_id").to_numpy(), sites.column("year").to_numpy()
+            query = queries.column("query_id").to_numpy()[::WINDOW]
+            last = len(sites) - WINDOW + 1
+            added = sum(scores[k : last + k, k::WINDOW] for k in range(WINDOW)) / WINDOW
+            whole = np.flatnonzero(site[:last] == site[WINDOW - 1 :])
+            added = added[whole]
+            firsts = np.flatnonzero(np.concatenate(([True], np.diff(site[whole]) != 0))) if len(whole) else whole
+            if len(whole):
+                best = np.fmax.reduceat(added, firsts, axis=0)
+                which = np.repeat(np.arange(len(firsts)), np.diff(firsts, append=len(whole)))
+                place = np.where(added == best[which], np.arange(len(whole))[:, None], len(whole))
+                place = whole[np.minimum(np.minimum.reduceat(place, firsts, axis=0), len(whole) - 1)]
+                own = site[whole[firsts]]
+                floor = 0.0 if method == "euclidean" else SIMILARITY_FLOOR
+                shown = np.clip((best - floor) / (1 - floor), 0, 1)
+                for j, q in enumerate(query):
+                    order = np.lexsort((own, -shown[:, j]))
+                    for i in [i for i in order if own[i] != q and not np.isnan(best[i, j])][:top_k]:
+                        at = place[i, j]
+                        out.append((q, own[i], year[at], year[at + WINDOW - 1], best[i, j]))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds)})
+
+    return search
+
+
 def all_analogs(records: DataFrame, anchor_year: int, method: str = "cosine", top_k: int = TOP_K) -> DataFrame:
     """Analogs of every site at once: (query_id, rank, lake_id, ...).
 
-    The queries are a table of trajectories; each candidate record meets each
-    trajectory, which is the size of the answer asked for, and the ``top_k`` of a
-    query are kept by a window that Spark bounds per task.
+    Sites and queries are dealt into blocks of about ``BLOCK``; a block of sites
+    meets a block of queries in one matrix product, and only the ``top_k`` of each
+    query leave the task.
     """
+    top_k = min(top_k, MAX_TOP_K)
+    records = records.select(F.col("lake_id").cast("long"), F.col("year").cast("int"), "embedding")
     recent = Window.partitionBy("lake_id").orderBy(F.col("year").desc())
+    whole = Window.partitionBy("lake_id")
     queries = (
         records.where(F.col("year") <= anchor_year)
         .withColumn("back", F.row_number().over(recent))
         .where(F.col("back") <= WINDOW)
-        .groupBy(F.col("lake_id").alias("query_id"))
-        .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("year", "embedding"))), lambda r: r["embedding"]).alias(
-                "trajectory"
-            ),
-            F.max("year").alias("anchor"),
-            F.count(F.lit(1)).alias("n"),
-        )
+        .withColumns({"n": F.count(F.lit(1)).over(whole), "anchor": F.max("year").over(whole)})
         .where((F.col("anchor") == anchor_year) & (F.col("n") == WINDOW))
+        .select(F.col("lake_id").alias("query_id"), F.col("year").alias("asked_year"), F.col("embedding").alias("vector"))
     )
-    paths = (
-        records.groupBy("lake_id")
-        .agg(F.array_sort(F.collect_list(F.struct("year", "embedding"))).alias("records"))
-        .where(F.size("records") >= WINDOW)
-    )
-    starts = F.sequence(F.lit(0), F.size("records") - WINDOW)
-    pair = PAIR[method]
-
-    def window_at(i: Column) -> Column:
-        score = sum(
-            (pair(F.get("records", i + k)["embedding"], F.get("trajectory", F.lit(k))) for k in range(1, WINDOW)),
-            pair(F.get("records", i)["embedding"], F.get("trajectory", F.lit(0))),
-        )
-        return F.struct(
-            (score / WINDOW).alias("raw_score"),
-            (-i).alias("back"),
-            F.get("records", i)["year"].alias("start_year"),
-            F.get("records", i + WINDOW - 1)["year"].alias("end_year"),
-        )
-
+    blocks = max(1, -(-records.select("lake_id").distinct().count() // BLOCK))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    left = records.select("lake_id", "year", "embedding", dealt("lake_id").alias("sites"), every.alias("asked"))
+    right = queries.select("query_id", "asked_year", "vector", dealt("query_id").alias("asked"), every.alias("sites"))
     place = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(), "lake_id")
     return (
-        paths.join(queries, F.col("lake_id") != F.col("query_id"))
-        .select("query_id", "lake_id", F.array_max(F.transform(starts, window_at)).alias("best"))
-        .select("query_id", "lake_id", "best.start_year", "best.end_year", "best.raw_score")
+        left.groupBy("sites", "asked")
+        .cogroup(right.groupBy("sites", "asked"))
+        .applyInArrow(best_of_block(method, top_k), "query_id long, lake_id long, start_year int, end_year int, raw_score double")
         .withColumn("similarity_score", rescaled(F.col("raw_score"), method, SIMILARITY_FLOOR))
         .withColumn("rank", F.row_number().over(place))
-        .where(F.col("rank") <= min(top_k, MAX_TOP_K))
+        .where(F.col("rank") <= top_k)
     )
 
 
