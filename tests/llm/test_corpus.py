@@ -872,6 +872,29 @@ def test_pipeline(spark):
     assert kept.count() > 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, none):
+    import corpus_pipeline
+
+    state, empty = docs, none
+    for name, stage in corpus_pipeline.STAGES:
+        before = state.collect()
+        state, empty = stage(spark, state, SF).cache(), stage(spark, empty, SF)
+        assert empty.count() == 0
+        if name == "packing":
+            packing_holds(state.collect(), [(r.doc_id, r.text) for r in before], 1024)
+        else:
+            assert state.columns == empty.columns == docs.columns
+        if name == "toxicity":
+            assert {r.doc_id for r in before if not r.text} <= {r.doc_id for r in state.collect()}
+        if name == "exact_dedup":
+            assert Counter(bare(r.text) for r in state.collect()) == dict.fromkeys((bare(r.text) for r in before), 1)
+        if name == "near_dedup":
+            groups = {k[2] for k in near_brute(before) if k[1]}
+            assert len([r for r in state.collect() if shingles(r.text)]) == len(groups)
+        if name == "mixing":
+            assert all(words(r.text) for r in state.collect()) and state.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     import duckdb
