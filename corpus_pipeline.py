@@ -3,6 +3,13 @@
 Toxic documents go, then exact copies, then near copies; the sources of what is
 left are mixed to target weights, and the mix is packed into token windows.
 Every stage works on all rows that the one before kept.
+
+Defined cases, in the words of the operators' own docstrings: a null or empty text is
+not toxic, equals other empty texts, has no near copy, is taken 0 times by the mix, and
+packs as the single end id.  Rows with a null id or source are rows like others.  Rows
+equal in id and text are copies, of which one stays.  Long texts are read whole.  An
+empty table stays empty in every stage.  Other columns stay as they are up to packing,
+whatever their names; labels that are null or neither 0 nor 1 count nothing.
 """
 
 from tarn.llm.common import cut, table
