@@ -20,6 +20,7 @@ from tarn.constants import (
 )
 from tarn.functions.spectral import ECOLOGICAL, finite
 from tarn.functions.vectors import rescaled
+from tarn.operators.medians import exact_median
 
 KEYS = tuple(ECOLOGICAL)
 
@@ -45,22 +46,30 @@ def direction(score: Column, twins: Column, threshold: Column) -> Column:
     )
 
 
+def yearly_changes(indexed: DataFrame, horizon: int) -> DataFrame:
+    """(index_name, h, change): how far each index moves in 1 to ``horizon`` years.
+
+    A site's years stand side by side in one list, as long as the calendar has
+    years, so the table is shuffled once and not joined with itself.
+    """
+    years = indexed.groupBy("lake_id").agg(F.collect_list(F.struct("year", *KEYS)).alias("rows"))
+    ahead = lambda a: F.filter("rows", lambda b: (b["year"] - a["year"]).between(1, horizon))
+    moved = lambda a: F.transform(
+        ahead(a), lambda b: F.struct((b["year"] - a["year"]).alias("h"), *(F.abs(b[k] - a[k]).alias(k) for k in KEYS))
+    )
+    pairs = years.select(F.inline(F.flatten(F.transform("rows", moved))))
+    each = F.array(*(F.struct(F.lit(k).alias("index_name"), F.col(k).alias("change")) for k in KEYS))
+    return pairs.select("h", F.inline(each)).where("change IS NOT NULL").select("index_name", "h", "change")
+
+
 def noise_thresholds(features: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """(index_name, h, threshold, samples): half the median change in h years.
 
     Of current, completed rows; too few samples or no change give the fallback.
     """
-    now = long_form(
-        ecological_indices(features.where((F.col("status") == "completed") & (F.col("feature_version") == FEATURE_VERSION)))
-    ).where("value IS NOT NULL")
-    ahead = now.select(
-        "lake_id", "index_name", F.col("value").alias("base"),
-        F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "year",
-    ).withColumn("year", F.col("year") + F.col("h"))
-    changes = (
-        ahead.join(now, ["lake_id", "index_name", "year"])
-        .groupBy("index_name", "h")
-        .agg(F.median(F.abs(F.col("value") - F.col("base"))).alias("change"), F.count(F.lit(1)).alias("samples"))
+    current = features.where((F.col("status") == "completed") & (F.col("feature_version") == FEATURE_VERSION))
+    changes = exact_median(yearly_changes(ecological_indices(current), horizon), ["index_name", "h"], "change").select(
+        "index_name", "h", F.col("median").alias("change"), F.col("n").alias("samples")
     )
     fallback = F.create_map(*(F.lit(x) for pair in FALLBACK_THRESHOLDS.items() for x in pair))
     grid = features.sparkSession.range(1, horizon + 1).select(
@@ -117,15 +126,15 @@ def twin_deltas(
     picked = candidates(analogs, site, num_analogs).select(
         "place", "lake_id", F.col("end_year").alias("matched_year"), "similarity_score"
     )
-    values = long_form(ecological_indices(features)).where("value IS NOT NULL")
-    near = F.broadcast(picked)
-    base = values.join(near, "lake_id").where(F.col("year") == F.col("matched_year"))
+    near = features.join(F.broadcast(picked), "lake_id").withColumn("h", F.col("year") - F.col("matched_year"))
+    pairs = F.array(*(F.struct(F.lit(k).alias("index_name"), F.col(k).alias("value")) for k in KEYS))
+    own = Window.partitionBy("place", "index_name")
     deltas = (
-        base.select("place", "lake_id", "matched_year", "similarity_score", "index_name", F.col("value").alias("base"))
-        .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-        .withColumn("year", F.col("matched_year") + F.col("h"))
-        .join(values, ["lake_id", "index_name", "year"])
+        ecological_indices(near.where(F.col("h").between(0, horizon)))
+        .select("place", "lake_id", "matched_year", "similarity_score", "h", F.inline(pairs))
+        .withColumn("base", F.max(F.when(F.col("h") == 0, F.col("value"))).over(own))
         .withColumn("delta", F.col("value") - F.col("base"))
+        .where((F.col("h") > 0) & F.col("delta").isNotNull())
     )
     weights = F.array(*map(F.lit, RANK_WEIGHTS))
     return (

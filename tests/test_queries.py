@@ -43,8 +43,6 @@ def test_every_query_has_an_oracle():
 
 
 def test_shore_ring_covers_every_site(spark):
-    found, part = (QUERIES[name](spark, SF) for name in ("shore_ring_all_sites", "shore_ring"))
-    pixels = load(spark, SF, "v_pixels")
-    assert found.count() == pixels.count() > 2 * part.count()
+    found, pixels = QUERIES["shore_ring"](spark, SF), load(spark, SF, "v_pixels")
+    assert found.count() == pixels.count()
     assert found.select("lake_id").distinct().count() == 100
-    assert part.exceptAll(found).count() == 0

@@ -16,6 +16,7 @@ from tarn.functions.spectral import INDICES
 from tarn.functions.vectors import PAIR, blend, checked, parsed, unit
 from tarn.operators import forecasts as fc
 from tarn.operators import pixels as px
+from tarn.operators.medians import exact_median
 from tarn.operators.merges import merged
 from tarn.operators.pooling import encoded, pooled
 from tarn.operators.texture import texture
@@ -457,3 +458,16 @@ def test_audit_names_what_each_twin_adds(spark):
         " [Twin#1(Δ=+0.3000, w=0.75 [fixed 0.60]), Twin#2(Δ=+0.1000, w=0.25 [fixed 0.20])]."
     )
     assert said["ndwi"].endswith("weighted score = -0.012500 (threshold ±0.100000), 0 twin(s) contributing.")
+
+
+def test_exact_medians_of_ties_zeros_and_odd_sizes(spark):
+    rng = np.random.default_rng(5)
+    groups = {
+        "one": [3.5], "two": [0.0, 1e-9], "tied": [0.25] * 700 + list(rng.random(500)), "zeros": [0.0] * 9 + [5.0],
+        "wide": list(10.0 ** rng.uniform(-12, 6, 1001)), "even": list(rng.lognormal(size=1000)),
+    }
+    rows = [(name, float(v)) for name, values in groups.items() for v in values]
+    found = exact_median(spark.createDataFrame(rows, "g string, v double").repartition(7), ["g"], "v").collect()
+    assert {r.g: r.n for r in found} == {name: len(values) for name, values in groups.items()}
+    assert all(math.isclose(r.median, float(np.median(groups[r.g])), rel_tol=1e-15) for r in found)
+    assert exact_median(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0
