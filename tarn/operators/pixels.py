@@ -50,17 +50,23 @@ def share(part: Column, whole: Column, digits: int, scale: float = 1.0) -> Colum
     return F.when(whole > 0, F.round(part / F.when(whole > 0, whole) * scale, digits)).otherwise(0.0)
 
 
+def _pixel_parts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("pixel_count"), F.count_if(all_bands()).alias("valid_count")]
+
+
+def _pixel_shares() -> dict[str, Column]:
+    whole, valid = F.col("pixel_count"), F.col("valid_count")
+    return {
+        "nodata_count": whole - valid,
+        "coverage_pct": share(valid, whole, 4, 100.0),
+        "cloud_pct": share(whole - valid, whole, 4, 100.0),
+        "valid_ratio": share(valid, whole, 6),
+    }
+
+
 def pixel_statistics(pixels: DataFrame) -> DataFrame:
     """Counts of all, valid and missing pixels, and their shares."""
-    whole, valid = F.count(F.lit(1)), F.count_if(all_bands())
-    return (
-        pixels.groupBy(KEYS)
-        .agg(whole.alias("pixel_count"), valid.alias("valid_count"))
-        .withColumn("nodata_count", F.col("pixel_count") - F.col("valid_count"))
-        .withColumn("coverage_pct", share(F.col("valid_count"), F.col("pixel_count"), 4, 100.0))
-        .withColumn("cloud_pct", share(F.col("nodata_count"), F.col("pixel_count"), 4, 100.0))
-        .withColumn("valid_ratio", share(F.col("valid_count"), F.col("pixel_count"), 6))
-    )
+    return pixels.groupBy(KEYS).agg(*_pixel_parts()).withColumns(_pixel_shares())
 
 
 def reflectances() -> dict[str, Column]:
@@ -76,7 +82,7 @@ def index_pixels(pixels: DataFrame, names: tuple[str, ...] = tuple(INDICES)) ->
 def index_statistics(pixels: DataFrame, names: tuple[str, ...] = tuple(INDICES)) -> DataFrame:
     """One row per site, year and index, over its finite pixels."""
     pairs = F.array(*(F.struct(F.lit(n).alias("index_name"), finite(F.col(n)).alias("value")) for n in names))
-    quarter = lambda p, name: F.percentile("value", F.lit(p)).alias(name)
+    quarters = {"p25": 0.25, "median": 0.5, "p75": 0.75}
     return (
         index_pixels(pixels, names)
         .select(*KEYS, F.inline(pairs))
@@ -87,87 +93,113 @@ def index_statistics(pixels: DataFrame, names: tuple[str, ...] = tuple(INDICES))
             F.stddev_pop("value").alias("std"),
             F.min("value").alias("min"),
             F.max("value").alias("max"),
-            quarter(0.5, "median"),
-            quarter(0.25, "p25"),
-            quarter(0.75, "p75"),
+            F.percentile("value", F.array(*map(F.lit, quarters.values()))).alias("_quarters"),
         )
+        .withColumns({q: F.get("_quarters", F.lit(i)) for i, q in enumerate(quarters)})
+        .drop("_quarters")
     )
 
 
-def water_statistics(pixels: DataFrame, pixel_area_m2: float | Column = 900.0) -> DataFrame:
-    """Pixels, shares and areas of water, vegetation and soil; zeros without valid pixels.
-
-    ``pixel_area_m2`` may be a column, as ``geo.pixel_area_m2`` gives for degrees.
-    """
+def _water_parts(pixel_area_m2: float | Column) -> list[Column]:
     kind = F.when(all_bands(), pixel_class(reflectances()))
     area = pixel_area_m2 if isinstance(pixel_area_m2, Column) else F.lit(float(pixel_area_m2))
     over = lambda *kinds: F.coalesce(F.sum(F.when(kind.isin(*kinds), area)), F.lit(0.0))
-    counted = pixels.groupBy(KEYS).agg(
+    return [
         *(F.count_if(kind == k).alias(f"{k}_count") for k in ("water", "vegetation", "soil")),
         over("water").alias("_water"),
         over("vegetation", "soil").alias("_land"),
-    )
+    ]
+
+
+def _water_shares() -> dict[str, Column]:
     land = F.col("vegetation_count") + F.col("soil_count")
     whole = F.col("water_count") + land
-    return (
-        counted.withColumns({f"{k}_pct": share(F.col(f"{k}_count"), whole, 4, 100.0) for k in ("water", "vegetation", "soil")})
-        .withColumn("water_km2", F.round(F.col("_water") / 1e6, 6))
-        .withColumn("land_km2", F.round(F.col("_land") / 1e6, 6))
-        .withColumn("water_land_ratio", share(F.col("water_count"), land, 6))
-        .drop("_water", "_land")
-    )
+    return {
+        **{f"{k}_pct": share(F.col(f"{k}_count"), whole, 4, 100.0) for k in ("water", "vegetation", "soil")},
+        "water_km2": F.round(F.col("_water") / 1e6, 6),
+        "land_km2": F.round(F.col("_land") / 1e6, 6),
+        "water_land_ratio": share(F.col("water_count"), land, 6),
+    }
+
+
+def water_statistics(pixels: DataFrame, pixel_area_m2: float | Column = 900.0) -> DataFrame:
+    """Pixels, shares and areas of water, vegetation and soil; zeros without valid pixels.
+
+    ``pixel_area_m2`` may be a column, as ``geo.pixel_area_m2`` gives for degrees.
+    """
+    counted = pixels.groupBy(KEYS).agg(*_water_parts(pixel_area_m2))
+    return counted.withColumns(_water_shares()).drop("_water", "_land")
+
+
+def _summary_parts(x: dict[str, Column]) -> list[Column]:
+    """What ``_summarised`` reads, added up over pixels with the bands ``x``."""
+    mean = sum(x.values(), F.lit(0.0)) / len(x)
+    spread = sum(((v - mean) * (v - mean) for v in x.values()), F.lit(0.0))
+    return [
+        F.avg((x["b2"] + x["b3"] + x["b4"]) / 3).alias("_bright"),
+        F.avg(x["b8"] - x["b4"]).alias("_nir_red"),
+        F.avg(x["b3"] - x["b11"]).alias("_green_swir"),
+        F.avg(spread / len(x)).alias("_variance"),
+        *(F.avg(v).alias(f"_{b}") for b, v in x.items()),
+    ]
+
+
+def _summarised() -> list[Column]:
+    means = [F.col(f"_{b}") for b in BANDS]
+    whole = sum(means, F.lit(0.0))
+    parts = [m / F.when(whole > EPSILON, whole) for m in means]
+    entropy = -sum((F.when(p > 0, p * F.log2(p)).otherwise(0.0) for p in parts), F.lit(0.0)) / math.log2(len(BANDS))
+    seen = F.col("_bright").isNotNull()
+    return [
+        F.round("_bright", 6).alias("visible_brightness"),
+        F.round("_nir_red", 6).alias("nir_red_difference"),
+        F.round("_green_swir", 6).alias("green_swir_difference"),
+        F.round("_variance", 6).alias("spectral_variance"),
+        F.when(seen, F.round(F.when(whole > EPSILON, entropy).otherwise(0.0), 6)).alias("spectral_entropy"),
+    ]
 
 
 def spectral_summary(pixels: DataFrame) -> DataFrame:
     """Brightness, contrasts, mean variance over the bands and their entropy."""
-    every = F.array(*(F.col(b).cast("double") for b in BANDS))
-    add = lambda held, x: held + x
-    mean = F.aggregate(every, F.lit(0.0), add) / len(BANDS)
-    spread = F.aggregate(F.transform(every, lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))), F.lit(0.0), add)
-    means = F.array(*(F.col(f"_{b}") for b in BANDS))
-    sum_ = F.aggregate(means, F.lit(0.0), add)
-    parts = F.filter(F.transform(means, lambda m: m / F.when(F.col("_sum") > EPSILON, F.col("_sum"))), lambda p: p > 0)
-    entropy = -F.aggregate(F.transform(parts, lambda p: p * F.log2(p)), F.lit(0.0), add) / math.log2(len(BANDS))
-    return (
-        pixels.where(all_bands())
-        .withColumn("_mean", mean)
-        .groupBy(KEYS)
-        .agg(
-            F.avg((F.col("b2") + F.col("b3") + F.col("b4")) / 3).alias("_bright"),
-            F.avg(F.col("b8") - F.col("b4")).alias("_nir_red"),
-            F.avg(F.col("b3") - F.col("b11")).alias("_green_swir"),
-            F.avg(spread / len(BANDS)).alias("_variance"),
-            *(F.avg(b).alias(f"_{b}") for b in BANDS),
-        )
-        .withColumn("_sum", sum_)
-        .select(
-            *KEYS,
-            F.round("_bright", 6).alias("visible_brightness"),
-            F.round("_nir_red", 6).alias("nir_red_difference"),
-            F.round("_green_swir", 6).alias("green_swir_difference"),
-            F.round("_variance", 6).alias("spectral_variance"),
-            F.round(F.when(F.col("_sum") > EPSILON, entropy).otherwise(0.0), 6).alias("spectral_entropy"),
-        )
-    )
+    x = {b: F.col(b).cast("double") for b in BANDS}
+    return pixels.where(all_bands()).groupBy(KEYS).agg(*_summary_parts(x)).select(*KEYS, *_summarised())
 
 
-def site_year_features(pixels: DataFrame) -> DataFrame:
+#: Indices whose quartiles the wide row holds beside mean, deviation and range.
+QUARTILED = ("ndvi", "ndwi")
+
+
+def site_year_features(pixels: DataFrame, pixel_area_m2: float | Column = 900.0) -> DataFrame:
     """The wide row of a site and year: the statistics above side by side.
 
-    Each part is one aggregation by the same key, so the joins reuse its
-    partitioning.
+    Two aggregations by the same key, joined where they lie: one of sums, whose
+    partial results are small, and one of medians and quartiles, whose are not.
+    Without valid pixels the statistics are null, counts and shares 0.
     """
-    indices = (
-        index_statistics(pixels)
-        .groupBy(KEYS)
-        .pivot("index_name", list(INDICES))
-        .agg(F.first("mean").alias("mean"), F.first("std").alias("std"), F.first("min").alias("min"), F.first("max").alias("max"))
+    ok = all_bands()
+    seen = pixels.withColumns({f"_ok_{b}": F.when(ok, F.col(b).cast("double")) for b in BANDS})
+    x = {b: F.col(f"_ok_{b}") for b in BANDS}
+    scaled = {b: v / REFLECTANCE_SCALE for b, v in x.items()}
+    ready = seen.withColumns({f"_i_{n}": finite(index(scaled)) for n, index in INDICES.items()} | {"_clear": F.when(ok, F.col(CLEAR))})
+    stats = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    sums = ready.groupBy(KEYS).agg(
+        *_pixel_parts(),
+        *_water_parts(pixel_area_m2),
+        *_summary_parts(x),
+        F.round(F.avg("_clear"), 4).alias("clear_mean"),
+        F.min("_clear").alias("clear_min"),
+        *(f(b).alias(f"{b}_{s}") for b in BANDS for s, f in stats.items()),
+        *(f(f"_i_{n}").alias(f"{n}_{s}") for n in INDICES for s, f in stats.items()),
+    )
+    quarters = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    of_index = [F.percentile(f"_i_{n}", F.array(*map(F.lit, quarters.values()))).alias(f"_q_{n}") for n in QUARTILED]
+    middle = ready.groupBy(KEYS).agg(*(F.median(b).alias(f"{b}_median") for b in BANDS), F.median("_clear").alias("clear_median"), *of_index)
+    wide = sums.join(middle, KEYS).withColumns(
+        {f"{n}_{q}": F.get(f"_q_{n}", F.lit(i)) for n in QUARTILED for i, q in enumerate(quarters)}
     )
-    parts = (band_statistics, clear_statistics, water_statistics, spectral_summary)
-    out = pixel_statistics(pixels)
-    for part in (*(f(pixels) for f in parts), indices):
-        out = out.join(part, KEYS, "left")
-    return out
+    out = wide.select("*", *_summarised()).withColumns(_pixel_shares())
+    out = out.withColumns(_water_shares())
+    return out.drop(*(c for c in out.columns if c.startswith("_")))
 
 
 def mosaic(tiles: DataFrame, bands: tuple[str, ...] = BANDS) -> DataFrame:

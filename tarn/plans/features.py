@@ -156,26 +156,28 @@ def glcm_texture(spark, pixels):
     return rounded(texture(pixels))
 
 
+_WIDE_INDEX_SQL = "SELECT lake_id, year, " + ", ".join(
+    f"{_R12(f'{f}({sql})')} AS {n}_{s}"
+    for n, sql in _INDEX.items()
+    for f, s in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max"))
+) + ", " + ", ".join(
+    f"{_R12(f'quantile_cont({_INDEX[n]}, {p})')} AS {n}_{s}" for n in px.QUARTILED for p, s in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))
+) + f" FROM ({_X}) x GROUP BY lake_id, year"
+
+
 @query(
-    f"""SELECT p.*, c.clear_mean, c.clear_median, w.water_count, w.water_land_ratio, s.spectral_entropy, b.b8_median,
-               i.ndvi_mean, i.awei_max, g.glcm_contrast, g.glcm_correlation
-        FROM ({_PIXEL_SQL.replace("100.0", "CAST(100 AS double)").replace("1.0 /", "CAST(1 AS double) /")}) p
+    f"""SELECT * FROM ({_PIXEL_SQL.replace("100.0", "CAST(100 AS double)").replace("1.0 /", "CAST(1 AS double) /")}) p
         LEFT JOIN ({_CLEAR_SQL}) c USING (lake_id, year) LEFT JOIN ({_WATER_SQL}) w USING (lake_id, year)
         LEFT JOIN ({_SUMMARY_SQL}) s USING (lake_id, year) LEFT JOIN ({_BAND_SQL}) b USING (lake_id, year)
-        LEFT JOIN (SELECT lake_id, year, {_R(f"avg({_INDEX['ndvi']})")} AS ndvi_mean, {_R(f"max({_INDEX['awei']})")} AS awei_max
-                   FROM ({_X}) x GROUP BY lake_id, year) i USING (lake_id, year)
-        LEFT JOIN ({_GLCM_SQL}) g USING (lake_id, year)""",
+        LEFT JOIN ({_WIDE_INDEX_SQL}) i USING (lake_id, year) LEFT JOIN ({_GLCM_SQL}) g USING (lake_id, year)""",
     "v_bands",
 )
 def lake_features_row(spark, pixels):
+    """Every statistic of a site and year in one row."""
     wide = px.site_year_features(pixels).join(texture(pixels), ["lake_id", "year"], "left")
-    return rounded(
-        wide.select(
-            "lake_id", "year", "pixel_count", "valid_count", "nodata_count", "coverage_pct", "cloud_pct", "valid_ratio",
-            "clear_mean", "clear_median", "water_count", "water_land_ratio", "spectral_entropy", "b8_median",
-            "ndvi_mean", "awei_max", "glcm_contrast", "glcm_correlation",
-        )
-    )
+    of_index = [c for c in wide.columns if c.split("_")[0] in px.INDICES]
+    rest = [c for c, kind in wide.dtypes if kind == "double" and c not in of_index]
+    return rounded(rounded(wide, *of_index, digits=12), *rest)
 
 
 @query(

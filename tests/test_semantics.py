@@ -240,6 +240,25 @@ def test_pixels_without_a_value(spark):
     assert px.water_statistics(none).select("water_count", "land_km2").collect() == [(0, 0.0)]
 
 
+def test_the_wide_row_holds_what_its_parts_do(spark):
+    r = np.random.default_rng(4)
+    values = lambda: [float(v) if v > 150 else None for v in r.integers(0, 4000, len(BANDS))]
+    schema = grid(spark, [(0, 0, 1.0)]).schema
+    rows = [(site, 2020, 0, i, *values(), float(i % 5)) for site in (1, 2) for i in range(80)]
+    rows += [(3, 2020, 0, i, *[None] * len(BANDS), 1.0) for i in range(3)]
+    pixels = spark.createDataFrame(rows, schema)
+    wide = {row.lake_id: row.asDict() for row in px.site_year_features(pixels).collect()}
+    assert len(wide) == 3 and 0 < wide[1]["valid_count"] < 80 and wide[3]["valid_count"] == 0
+    near = lambda a, b: a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
+    for part in (px.pixel_statistics, px.band_statistics, px.clear_statistics, px.water_statistics, px.spectral_summary):
+        for row in part(pixels).collect():
+            assert all(near(v, wide[row.lake_id][c]) for c, v in row.asDict().items()), part
+    for row in px.index_statistics(pixels).collect():
+        for s in ("mean", "std", "min", "max") + (("median", "p25", "p75") if row.index_name in px.QUARTILED else ()):
+            assert near(row[s], wide[row.lake_id][f"{row.index_name}_{s}"])
+    assert wide[3]["ndvi_mean"] is wide[3]["clear_mean"] is wide[3]["spectral_entropy"] is None and wide[3]["water_pct"] == 0.0
+
+
 def test_classes_part_the_valid_pixels(spark):
     r = np.random.default_rng(3)
     rows = [(1, 2020, 0, i, *map(float, r.integers(0, 4000, len(BANDS))), 1.0) for i in range(300)]
