@@ -66,3 +66,14 @@ INDEX_LABELS = {
     "red_edge_slope": "Red Edge Slope (Pigment Trend)",
 }
 ARROWS = {"up": "↑", "down": "↓", "stable": "→", "uncertain": "?"}
+
+# What parameters may be.
+TOP_KS, HORIZONS, ANALOGS = (1, 50), (1, 10), (1, 20)
+LATITUDES, LONGITUDES, YEARS = (-90.0, 90.0), (-180.0, 180.0), (2015, 2025)
+
+# Attributes that name a state, in order; words, colours and zone of reports.
+STATE_NAMES = ("state_name", "state", "st_nm", "name_1", "name", "shapename")
+METHOD_LABELS = {"cosine": "Cosine", "euclidean": "Euclidean", "knn": "KNN"}
+MATCH_QUALITIES = ((0.90, "Excellent"), (0.80, "Strong"), (0.70, "Moderate"), (0.0, "Low"))
+SIMILARITY_COLORS = ((0.85, "#22c55e"), (0.70, "#84cc16"), (0.55, "#eab308"), (0.40, "#f97316"), (0.0, "#ef4444"))
+REPORT_ZONE = "Asia/Kolkata"

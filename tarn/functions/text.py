@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tarn.constants import MATCH_QUALITIES, METHOD_LABELS, REPORT_ZONE, SIMILARITY_COLORS
+
 
 def like_escaped(text: str) -> str:
     """``text`` for LIKE with a backslash before its wildcards."""
@@ -53,24 +55,49 @@ def percent(score: Column) -> Column:
     return F.when(score.isNull(), "—").otherwise(F.format_string("%.1f%%", score * 100))
 
 
+def _banded(score: Column, bands: tuple[tuple[float, str], ...]) -> Column:
+    """The word of the first band that the score reaches; the last one's below all."""
+    out = F.lit(bands[-1][1])
+    for least, word in reversed(bands[:-1]):
+        out = F.when(score >= least, word).otherwise(out)
+    return out
+
+
 def match_quality(score: Column) -> Column:
-    return (
-        F.when(score.isNull(), "—")
-        .when(score >= 0.90, "Excellent")
-        .when(score >= 0.80, "Strong")
-        .when(score >= 0.70, "Moderate")
-        .otherwise("Low")
-    )
+    return F.when(score.isNull(), "—").otherwise(_banded(score, MATCH_QUALITIES))
 
 
 def similarity_color(score: Column) -> Column:
-    return (
-        F.when(score >= 0.85, "#22c55e")
-        .when(score >= 0.70, "#84cc16")
-        .when(score >= 0.55, "#eab308")
-        .when(score >= 0.40, "#f97316")
-        .otherwise("#ef4444")
-    )
+    return _banded(score, SIMILARITY_COLORS)
+
+
+def _measure(value: Column, digits: int, unit: str) -> Column:
+    return F.when(value.isNull(), "—").otherwise(F.concat(F.format_number(value, digits), F.lit(f" {unit}")))
+
+
+def square_km(value: Column) -> Column:
+    return _measure(value, 2, "km²")
+
+
+def kilometres(value: Column) -> Column:
+    return _measure(value, 1, "km")
+
+
+def milliseconds(value: Column) -> Column:
+    """A duration; none, and 0, is a dash."""
+    return _measure(F.nullif(value, F.lit(0.0)), 0, "ms")
+
+
+def method_label(method: Column) -> Column:
+    """The name of a similarity method as shown; other names as they are."""
+    pairs = F.create_map(*(F.lit(x) for pair in METHOD_LABELS.items() for x in pair))
+    return F.coalesce(F.element_at(pairs, method), method)
+
+
+def report_time(moment: Column, zone: str = "UTC") -> Column:
+    """A wall-clock time of ``zone`` as a report shows it, in Indian time."""
+    there = F.convert_timezone(F.lit(zone), F.lit(REPORT_ZONE), moment)
+    return F.date_format(there, "MMMM dd, yyyy 'at' hh:mm a 'IST'")
 
 
 def slug(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.constants import EMBEDDING_VERSION, FEATURE_VERSION
+from tarn.functions.text import path_root
 
 KEYS = ["lake_id", "year"]
 
@@ -108,6 +109,23 @@ def year_roots(paths: DataFrame, root: str = "root") -> DataFrame:
     )
 
 
+def output_patterns(tiles: DataFrame, default_root: str) -> DataFrame:
+    """(year, output_path_pattern): where a year's merged images go, beside their tiles.
+
+    The roots of a year's completed tiles, the one used last first; ``default_root``
+    for years whose tiles lie elsewhere.
+    """
+    done = tiles.where(F.col("status") == "COMPLETED")
+    per_site = done.groupBy(KEYS).agg(F.min("image_path").alias("path"), F.max("updated_at").alias("updated_at"))
+    rooted = year_roots(per_site.withColumn("root", path_root(F.col("path"), F.col("year"))))
+    newest = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("last_used").cast("timestamp"))).alias("age"), "root")))
+    roots = rooted.groupBy("year").agg(newest["root"].alias("roots"))
+    pattern = lambda root: F.concat_ws("/", root, F.col("year").cast("string"), F.lit("lake_{lake_id:06d}.tif"))
+    known = F.coalesce("roots", F.array(F.lit(default_root)))
+    years = done.select("year").distinct()
+    return years.join(roots, "year", "left").select("year", F.array_join(F.transform(known, pattern), " · ").alias("output_path_pattern"))
+
+
 def common_path(paths: DataFrame, column: str) -> DataFrame:
     """One row: the most frequent path; the smallest on ties."""
     counted = paths.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

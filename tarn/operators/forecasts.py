@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.constants import (
+    ANALOGS,
     ARROWS,
     FALLBACK_HORIZON,
     FALLBACK_THRESHOLDS,
     FEATURE_VERSION,
     HORIZON,
+    HORIZONS,
     INDEX_LABELS,
     MIN_SAMPLES,
     MIN_TWINS,
@@ -18,6 +20,7 @@ from tarn.constants import (
     RANK_WEIGHTS,
     SIMILARITY_FLOOR,
 )
+from tarn.functions.checks import within
 from tarn.functions.spectral import ECOLOGICAL, finite
 from tarn.functions.vectors import rescaled
 from tarn.operators.medians import exact_median
@@ -163,6 +166,8 @@ def ecological_forecast(
     horizon: int = HORIZON,
 ) -> DataFrame:
     """One row per index and year ahead, with direction and expected value."""
+    within("num_analogs", num_analogs, ANALOGS)
+    within("horizon", horizon, HORIZONS)
     spark = features.sparkSession
     queries = spark.createDataFrame([(site, anchor_year)], "lake_id long, max_year int")
     current = long_form(ecological_indices(latest_before(features, queries))).select(
@@ -277,6 +282,8 @@ def embedding_forecast(
 
     The h-th year ahead takes each analog's h-th following record.
     """
+    within("num_analogs", num_analogs, ANALOGS)
+    within("horizon", horizon, HORIZONS)
     chosen = analog_weights(embedding_analogs(analogs, records, site, num_analogs, horizon), method)
     next_ = Window.partitionBy("place").orderBy("year")
     future = (

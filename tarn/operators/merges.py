@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.constants import EMBEDDING_VERSION
+from tarn.functions.checks import years_checked
 
 KEYS = ["lake_id", "year"]
 
@@ -131,9 +132,14 @@ def refreshed(regions: DataFrame, sites: DataFrame, country: str) -> DataFrame:
     )
 
 
+def without_country(rows: DataFrame, country: str) -> DataFrame:
+    """``rows`` less those of a country, whatever its case; rows of no country stay."""
+    return rows.where(~F.coalesce(F.lower("country") == country.lower(), F.lit(False)))
+
+
 def jobs(sites: DataFrame, years: list[int]) -> DataFrame:
     """(lake_id, year) to work on: every active site in every year asked for."""
-    return sites.where("is_active").select("lake_id", F.explode(F.array(*map(F.lit, sorted(set(years))))).alias("year"))
+    return sites.where("is_active").select("lake_id", F.explode(F.array(*map(F.lit, years_checked(years)))).alias("year"))
 
 
 def permitted(permissions: DataFrame, key: str, master: str = "master") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.constants import BANDS, CLEAR, EPSILON, INPUT_BANDS, INPUT_MEAN, INPUT_STD, NODATA, REFLECTANCE_SCALE, TOKEN_PX, WINDOW_PX
+from tarn.functions.checks import year_bounds
 from tarn.functions.spectral import INDICES, finite, pixel_class
 
 KEYS = ["lake_id", "year"]
@@ -225,19 +226,24 @@ def composite(
     method: str = "median",
     max_cloud: float = 20.0,
     clear_from: float = 0.6,
+    year: int | None = None,
 ) -> DataFrame:
     """Pixels of a year's scenes put together, and how many were clear.
 
     ``scenes`` has scene_id, taken_on, cloud_pct and pixels; ``quality`` has
     scene_id, r, c and clear, the probability that the pixel is clear.  A mosaic
-    takes the latest clear value, and a pixel without any is null.
+    takes the latest clear value, of one day that of the largest scene_id; a pixel
+    without any is null.  ``year`` takes the scenes of that year alone.
     """
+    if year is not None:
+        first, next_ = year_bounds(year)
+        scenes = scenes.where((F.col("taken_on") >= F.lit(first)) & (F.col("taken_on") < F.lit(next_)))
     seen = scenes.where(F.col("cloud_pct") < max_cloud).join(quality, ["scene_id", "r", "c"], "left")
     masked = {b: F.when(F.col("clear") >= clear_from, F.col(b)) for b in bands}
     how = {
         "median": F.median,
         "mean": F.avg,
-        "mosaic": lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("taken_on"))),
+        "mosaic": lambda v: F.max_by(v, F.when(v.isNotNull(), F.struct("taken_on", "scene_id"))),
     }[method]
     return seen.groupBy("lake_id", F.year("taken_on").alias("year"), "r", "c").agg(
         *(F.round(how(v)).cast("int").alias(b) for b, v in masked.items()),

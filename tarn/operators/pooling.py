@@ -137,6 +137,13 @@ def current_weight(regions: DataFrame) -> DataFrame:
     )
 
 
+def mixed_after(regions: DataFrame, years: list[int], lake_weight: float, tolerance: float = 1e-6) -> DataFrame:
+    """One row: whether blending ``years`` anew leaves other years with other weights."""
+    done = (F.col("status") == "completed") & F.col("shore_embedding").isNotNull() & ~F.col("year").isin(years)
+    other = F.bool_or(done & (F.abs(F.col("lake_weight") - lake_weight) > tolerance))
+    return regions.agg(F.coalesce(other, F.lit(False)).alias("mixed"))
+
+
 def available_years(regions: DataFrame) -> DataFrame:
     done = regions.where((F.col("status") == "completed") & F.col("embedding").isNotNull())
     return done.select("year").distinct().orderBy("year")

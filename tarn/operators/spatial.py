@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.constants import BUFFER_M, TILE_M
+from tarn.constants import BUFFER_M, LATITUDES, LONGITUDES, TILE_M
+from tarn.functions.checks import within
 from tarn.functions.geo import bounds, covers, haversine_km, mercator_6933
 from tarn.functions.text import display_name
 
@@ -49,6 +50,8 @@ def imported(new: DataFrame, areas: DataFrame) -> DataFrame:
 
 def nearest(sites: DataFrame, lat: float, lon: float) -> DataFrame:
     """The site nearest in degrees, with its distance in kilometres."""
+    within("lat", lat, LATITUDES)
+    within("lon", lon, LONGITUDES)
     y, x = F.col("center_lat") - lat, F.col("center_lon") - lon
     km = haversine_km(F.lit(lat), F.lit(lon), F.col("center_lat"), F.col("center_lon"))
     return (

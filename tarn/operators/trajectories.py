@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.constants import MAX_TOP_K, SIMILARITY_FLOOR, TOP_K, WINDOW
+from tarn.constants import MAX_TOP_K, SIMILARITY_FLOOR, TOP_K, TOP_KS, WINDOW
+from tarn.functions.checks import within
 from tarn.functions.vectors import cosine, distance, dot, matrix, pair_scores, rescaled
 
 #: Sites of a block that meet a block of queries, and places that scores count to.
@@ -102,6 +103,7 @@ def analogs(
     Ranked by the score as shown, so what lies below its floor ties, and ties go
     by site: columns lake_id, start_year, end_year, raw_score, similarity_score.
     """
+    within("top_k", top_k, (TOP_KS[0], float("inf")))
     windows = scored_windows(
         records.where(F.col("lake_id") != site), query_trajectory(records, site, anchor_year), method
     )

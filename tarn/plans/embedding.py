@@ -126,3 +126,13 @@ def available_years(spark, regions):
 )
 def group_shares(spark, tokens):
     return rounded(tokens.select("lake_id", "year", pooling.share_of_group("lake_frac", "lake_id", "year").alias("w")))
+
+
+@query(
+    """SELECT count(*) FILTER (status = 'completed' AND shore_embedding IS NOT NULL AND year NOT IN (1996, 1997) AND abs(lake_weight - 0.6) > 1e-6) > 0 AS mixed
+       FROM v_regions""",
+    "v_regions",
+)
+def mixed_weights(spark, regions):
+    """Whether years that are not blended anew keep weights of their own."""
+    return pooling.mixed_after(regions, [1996, 1997], 0.6)

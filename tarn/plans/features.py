@@ -214,15 +214,46 @@ def overview_blocks(spark, pixels):
 )
 def temporal_median_composite(spark, lineitem):
     """Scenes under a fifth of cloud, pixels that are clear, and their median."""
+    return px.composite(*_scenes(lineitem), ("b8",), "median", 20.0, 0.3)
+
+
+def _scenes(lineitem):
     rows = lineitem.select(
+        F.concat_ws(
+            "-", *("l_orderkey l_linenumber l_partkey l_suppkey".split()), F.col("l_quantity").cast("long"), F.round(F.col("l_tax") * 100).cast("long")
+        ).alias("scene_id"),
         F.col("l_suppkey").alias("lake_id"), F.col("l_shipdate").alias("taken_on"),
         (F.col("l_discount") * 400).alias("cloud_pct"), (F.col("l_orderkey") % 12).cast("int").alias("r"),
         (F.col("l_partkey") % 12).cast("int").alias("c"), (F.col("l_quantity") * 10).alias("b8"),
         (F.col("l_tax") * 10).alias("clear"),
     )
-    rows = rows.withColumn("scene_id", F.xxhash64(*rows.columns))
-    quality = rows.select("scene_id", "r", "c", "clear").distinct()
-    return px.composite(rows.drop("clear"), quality, ("b8",), "median", 20.0, 0.3)
+    return rows.drop("clear"), rows.select("scene_id", "r", "c", "clear").distinct()
+
+
+_CLEAR_SCENES = """
+    SELECT l_suppkey AS lake_id, l_shipdate AS taken_on, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS bigint), CAST(round(l_tax * 100) AS bigint)) AS scene_id,
+           CAST(l_orderkey % 12 AS int) AS r, CAST(l_partkey % 12 AS int) AS c, CASE WHEN l_tax * 10 >= 0.3 THEN l_quantity * 10 END AS v
+    FROM lineitem WHERE l_discount * 400 < 20"""
+
+
+@query(
+    f"""SELECT lake_id, CAST(year(taken_on) AS int) AS year, r, c, CAST(round(avg(v)) AS int) AS b8, count(v) AS clear_count
+        FROM ({_CLEAR_SCENES}) t GROUP BY lake_id, year(taken_on), r, c""",
+    "lineitem",
+)
+def temporal_mean_composite(spark, lineitem):
+    return px.composite(*_scenes(lineitem), ("b8",), "mean", 20.0, 0.3)
+
+
+@query(
+    f"""SELECT lake_id, CAST(1996 AS int) AS year, r, c, CAST(round(max(v) FILTER (place = 1)) AS int) AS b8, count(v) AS clear_count
+        FROM (SELECT *, row_number() OVER (PARTITION BY lake_id, r, c ORDER BY v IS NULL, taken_on DESC, scene_id DESC) AS place
+              FROM ({_CLEAR_SCENES}) t WHERE year(taken_on) = 1996) p GROUP BY lake_id, r, c""",
+    "lineitem",
+)
+def temporal_mosaic_composite(spark, lineitem):
+    """The latest clear value of each pixel in one year's scenes."""
+    return px.composite(*_scenes(lineitem), ("b8",), "mosaic", 20.0, 0.3, year=1996)
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.functions.text import image_path, slug, trend
+from tarn.functions.text import image_path, kilometres, method_label, milliseconds, report_time, similarity_color, slug, square_km, trend
 from tarn.operators import forecasts as fc
 from tarn.operators import reports
 from tarn.operators.trajectories import analogs
@@ -108,3 +108,32 @@ def run_progress(spark, images):
 )
 def file_names(spark, sites):
     return sites.select("lake_id", image_path(F.lit("/data"), F.lit(2020), F.col("lake_id")).alias("path"), slug(F.when(F.col("lake_id") % 10 == 0, " -- ").otherwise(F.col("state"))).alias("slug"))
+
+
+@query(
+    """SELECT lake_id, concat(format('{:,}', CAST(floor(round(area_sqkm * 100) / 100) AS bigint)), printf('.%02d', CAST(round(area_sqkm * 100) AS bigint) % 100), ' km²') AS area,
+              CASE WHEN center_lat IS NULL THEN '—' ELSE concat(printf('%.1f', abs(center_lat)), ' km') END AS distance,
+              CASE WHEN lake_id % 10 = 0 THEN '—' ELSE concat(lake_id % 10, ' ms') END AS took,
+              CASE lake_id % 4 WHEN 0 THEN 'Cosine' WHEN 1 THEN 'Euclidean' WHEN 2 THEN 'KNN' ELSE 'other' END AS method,
+              CASE WHEN lake_id % 20 >= 17 THEN '#22c55e' WHEN lake_id % 20 >= 14 THEN '#84cc16' WHEN lake_id % 20 >= 11 THEN '#eab308'
+                   WHEN lake_id % 20 >= 8 THEN '#f97316' ELSE '#ef4444' END AS color
+       FROM v_lakes""",
+    "v_lakes",
+)
+def report_units(spark, sites):
+    """Areas, distances, durations, methods and colours as a report shows them."""
+    methods = F.array(*map(F.lit, ("cosine", "euclidean", "knn", "other")))
+    place = F.col("lake_id")
+    return sites.select(
+        "lake_id",
+        square_km(F.col("area_sqkm")).alias("area"),
+        kilometres(F.abs("center_lat")).alias("distance"),
+        milliseconds((place % 10).cast("double")).alias("took"),
+        method_label(F.get(methods, (place % 4).cast("int"))).alias("method"),
+        similarity_color((place % 20).cast("double") / 20).alias("color"),
+    )
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%B %d, %Y at %I:%M %p IST') AS shown FROM events", "events")
+def report_times(spark, events):
+    return events.select("event_id", report_time(F.col("ts")).alias("shown"))

@@ -134,6 +134,11 @@ def country_refresh(spark, regions, sites):
     return merges.refreshed(regions, sites, "Asia").select(*KEYS, "status")
 
 
+@query("SELECT lake_id, country FROM v_lakes WHERE country IS NULL OR NOT country ILIKE 'asia'", "v_lakes")
+def country_delete(spark, sites):
+    return merges.without_country(sites, "Asia").select("lake_id", "country")
+
+
 @query("SELECT lake_id, CAST(y AS int) AS year FROM v_lakes, (VALUES (2019), (2020), (2021)) g(y) WHERE is_active", "v_lakes")
 def lake_year_jobs(spark, sites):
     return merges.jobs(sites, [2020, 2019, 2021, 2020])
@@ -214,6 +219,17 @@ def year_root_summary(spark, tiles):
     return audits.year_roots(per_site.withColumn("root", path_root(F.col("p"), F.col("year"))))
 
 
+@query(
+    """SELECT year, string_agg(concat(root, '/', year, '/lake_{lake_id:06d}.tif'), ' · ' ORDER BY last_used DESC, root) AS output_path_pattern FROM (
+           SELECT year, regexp_extract(path, '^(.*)/[0-9]{4}/', 1) AS root, max(updated_at) AS last_used FROM (
+               SELECT lake_id, year, min(image_path) AS path, max(updated_at) AS updated_at
+               FROM v_tiles WHERE status = 'COMPLETED' GROUP BY lake_id, year) p GROUP BY year, root) t GROUP BY year""",
+    "v_tiles",
+)
+def output_path_patterns(spark, tiles):
+    return audits.output_patterns(tiles, "/data")
+
+
 @query(
     "SELECT image_path AS root FROM (SELECT regexp_extract(image_path, '^(.*)/[0-9]{4}/', 1) AS image_path FROM v_tiles) t GROUP BY image_path ORDER BY count(*) DESC, image_path LIMIT 1",
     "v_tiles",
@@ -235,6 +251,6 @@ def image_totals(spark, images, sites):
 
 @query("SELECT lake_id, year FROM v_images", "v_images")
 def json_recordset(spark, images):
-    """Rows sent as JSON text and opened again."""
-    sent = images.groupBy("year").agg(F.to_json(F.collect_list(F.struct("lake_id", "year"))).alias("rows"))
+    """Rows sent as JSON text, some hundred sites to a text, and opened again."""
+    sent = images.groupBy("year", F.floor(F.col("lake_id") / 500).alias("part")).agg(F.to_json(F.collect_list(F.struct("lake_id", "year"))).alias("rows"))
     return recordset(sent, "rows", "lake_id:bigint,year:int")

@@ -1,5 +1,6 @@
 """Rules of the domain on small inputs, most of them odd ones."""
 
+import json
 import math
 import sys
 from pathlib import Path
@@ -11,17 +12,19 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn.constants import BANDS
-from tarn.functions import geo, text
+from tarn.functions import checks, geo, text
 from tarn.functions.spectral import INDICES
 from tarn.functions.vectors import PAIR, blend, checked, parsed, unit
 from tarn.operators import forecasts as fc
 from tarn.operators import pixels as px
+from tarn.operators.audits import output_patterns
 from tarn.operators.medians import exact_median
 from tarn.operators.merges import merged
 from tarn.operators.pooling import encoded, pooled
+from tarn.operators.spatial import attributed, nearest
 from tarn.operators.texture import texture
 from tarn.operators.trajectories import all_analogs, analogs, query_trajectory
-from tarn.sources.tables import as_geojson, band_stack_checked, geojson_features, write_version
+from tarn.sources.tables import as_geojson, band_stack_checked, geojson_features, state_boundaries, write_version
 from tarn.streaming.ingest import merge_stream, windowed_counts
 
 RECORDS = "lake_id long, year int, embedding array<float>"
@@ -490,3 +493,45 @@ def test_exact_medians_of_ties_zeros_and_odd_sizes(spark):
     assert {r.g: r.n for r in found} == {name: len(values) for name, values in groups.items()}
     assert all(math.isclose(r.median, float(np.median(groups[r.g])), rel_tol=1e-15) for r in found)
     assert exact_median(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0
+
+
+def test_parameters_stay_in_their_domains(spark):
+    assert checks.years_checked([2020, 2019, 2020]) == [2019, 2020] and checks.years_of(2021) == [2021]
+    assert checks.years_of(first=2024) == [2024, 2025] and checks.years_of()[0] == 2015
+    assert [str(d) for d in checks.year_bounds(2020)] == ["2020-01-01", "2021-01-01"]
+    records, sites = spark.createDataFrame([], RECORDS), spark.createDataFrame([], "lake_id long, center_lat double, center_lon double")
+    wrong = [
+        lambda: checks.years_checked([2014]), lambda: checks.years_of(first=2015, last=2026), lambda: checks.confirmed(False),
+        lambda: analogs(records, 1, 2020, top_k=0), lambda: nearest(sites, 91.0, 0.0), lambda: nearest(sites, 0.0, -181.0),
+        lambda: fc.embedding_forecast(records, records, 1, 2020, horizon=11), lambda: fc.embedding_forecast(records, records, 1, 2020, num_analogs=0),
+        lambda: fc.ecological_forecast(records, records, 1, 2020, num_analogs=21), lambda: fc.ecological_forecast(records, records, 1, 2020, horizon=0),
+    ]
+    for call in wrong:
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_state_boundaries(spark, tmp_path):
+    square = lambda x: [[[x, 0], [x + 1, 0], [x + 1, 1], [x, 1], [x, 0]]]
+    feature = lambda props, kind, at: {"type": "Feature", "properties": props, "geometry": {"type": kind, "coordinates": at}}
+    features = [
+        feature({"ST_NM": " Bihār ", "name": "other"}, "Polygon", square(0)),
+        feature({"state": " ", "shapeName": "Goa", "id": 7}, "MultiPolygon", [square(2), square(4)]),
+        feature({"id": 3}, "Polygon", square(6)),
+        {"type": "Feature", "properties": {"name": "Shapeless"}, "geometry": None},
+    ]
+    (tmp_path / "states.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    states = state_boundaries(spark, str(tmp_path / "states.geojson"))
+    assert sorted((r.area_name, r.ring[0].lon) for r in states.collect()) == [("Bihar", 0.0), ("Goa", 2.0), ("Goa", 4.0)]
+    sites = spark.createDataFrame([(1, 0.5, 0.5), (2, 4.5, 0.5), (3, 6.5, 0.5)], "lake_id long, center_lon double, center_lat double")
+    assert {r.lake_id: r.area_name for r in attributed(sites, states).collect()} == {1: "Bihar", 2: "Goa", 3: None}
+    (tmp_path / "none.json").write_text('{"features": []}')
+    for name in ("none.json", "states.shp"):
+        with pytest.raises(ValueError):
+            state_boundaries(spark, str(tmp_path / name))
+
+
+def test_output_patterns_without_a_root(spark):
+    rows = [(1, 2020, "COMPLETED", "gs/export.tif", None), (2, 2021, "FAILED", "/a/2021/x.tif", None), (3, 2022, "COMPLETED", "/a/2022/x.tif", None)]
+    found = output_patterns(spark.createDataFrame(rows, "lake_id long, year int, status string, image_path string, updated_at timestamp"), "/d")
+    assert {r.year: r.output_path_pattern for r in found.collect()} == {2020: "/d/2020/lake_{lake_id:06d}.tif", 2022: "/a/2022/lake_{lake_id:06d}.tif"}
