@@ -251,3 +251,64 @@ def nearest_vectors(
         .limit(min(top_k, MAX_TOP_K))
         .select(id_col, "score")
     )
+
+
+#: Vectors and queries of the blocks that meet.
+VECTORS, QUERIES = 4096, 1024
+
+
+def nearest_of_block(method: str, top_k: int):
+    """Of one block of vectors, the nearest to each of one block of queries."""
+
+    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(vectors) and len(queries):
+            width = len(queries.column("query")[0])
+            usable, rows = matrix(vectors.column("vector").combine_chunks(), width)
+            asked, wanted = matrix(queries.column("query").combine_chunks(), width)
+            ids = vectors.column("id").to_numpy()[usable]
+            scores = np.round(rows @ wanted.T, DIGITS) if method == "ip" else block_scores(rows, wanted, {"l2": "euclidean"}.get(method, method))
+            for q, column in zip(queries.column("query_id").to_numpy()[asked], scores.T):
+                able = np.flatnonzero((ids != q) & ~np.isnan(column))
+                if len(able) > top_k:
+                    kth = np.partition(-column[able], top_k - 1)[top_k - 1]
+                    able = able[-column[able] <= kth]
+                best = able[np.lexsort((ids[able], -column[able]))][:top_k]
+                found.append((np.full(len(best), q), ids[best], column[best]))
+        parts = [np.concatenate(p) for p in zip(*found)] if found else [[], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(p, t) for n, p, t in zip(("query_id", "id", "score"), parts, kinds)})
+
+    return search
+
+
+def nearest_to_each(
+    vectors: DataFrame, queries: DataFrame, method: str = "cosine", top_k: int = TOP_K, id_col: str = "vec_id"
+) -> DataFrame:
+    """(query_id, rank, id, score): the nearest of all vectors to each query's.
+
+    Both tables have ``id_col`` and embedding; a query does not find its own id, and
+    vectors of other widths, null or with NaN take no part.  Blocks of vectors meet
+    blocks of queries in one matrix product, and only ``top_k`` of each leave it.
+    Scores count to ``DIGITS`` places; ties go to the smaller id.
+    """
+    within("top_k", top_k, TOP_KS)
+    ready = lambda df, name, vector: df.where(F.col(id_col).isNotNull() & (F.size("embedding") > 0)).select(
+        F.col(id_col).cast("long").alias(name), F.col("embedding").alias(vector), F.size("embedding").alias("width")
+    )
+    rows, asked = ready(vectors, "id", "vector"), ready(queries, "query_id", "query")
+    many, few = (max(1, -(-df.count() // size)) for df, size in ((rows, VECTORS), (asked, QUERIES)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("*", dealt("id", many).alias("part"), every(few).alias("block"))
+    right = asked.select("*", dealt("query_id", few).alias("block"), every(many).alias("part"))
+    keys = ["part", "block", "width"]
+    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return (
+        left.groupBy(keys)
+        .cogroup(right.groupBy(keys))
+        .applyInArrow(nearest_of_block(method, top_k), "query_id long, id long, score double")
+        .withColumn("rank", F.row_number().over(place))
+        .where(F.col("rank") <= top_k)
+        .select("query_id", "rank", F.col("id").alias(id_col), "score")
+    )

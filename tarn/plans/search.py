@@ -8,7 +8,7 @@ from tarn.functions.text import display_name, first_number, without_accents
 from tarn.functions.vectors import parsed
 from tarn.operators import catalog
 from tarn.operators.spatial import nearest
-from tarn.operators.trajectories import all_analogs, analogs, centred, nearest_vectors
+from tarn.operators.trajectories import all_analogs, analogs, centred, nearest_to_each, nearest_vectors
 from tarn.plans.base import query, rounded
 
 _PAIR = {
@@ -60,8 +60,6 @@ def analog_search_knn(spark, records):
     return rounded(analogs(records, 0, 2024, "knn", 20))
 
 
-
-
 @query(
     """
     SELECT lake_id, CAST(min(year) AS int) AS start_year, CAST(min(year) + 4 AS int) AS end_year, CAST(0 AS double) AS raw_score, CAST(0 AS double) AS similarity_score
@@ -113,27 +111,42 @@ def mean_centred_search(spark, records):
     return rounded(analogs(centred(records), 3, 2025, "knn"))
 
 
-def _topk(method: str, order: str, score: str) -> str:
+def _topk(score: str) -> str:
     return f"""
-    SELECT vec_id, round(score, 6) AS score FROM (
-        SELECT c.vec_id, {order} AS far, {score} AS score
-        FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id <> 7) c,
-             (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 7) q) t
-    ORDER BY far, vec_id LIMIT 10"""
+    SELECT query_id, CAST(rank AS int) AS rank, vec_id, round(score, 6) + 0.0 AS score FROM (
+        SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM (
+            SELECT q.vec_id AS query_id, c.vec_id, {score} AS score
+            FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) c
+            JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0) q ON c.vec_id <> q.vec_id) p) t
+    WHERE rank <= 10"""
 
 
-def _topk_query(name: str, method: str, sql: str) -> None:
+def _topk_query(method: str, score: str) -> None:
     def run(spark, vectors):
-        one = vectors.where("vec_id = 7").first()["embedding"]
-        return rounded(nearest_vectors(vectors, [float(x) for x in one], method, 10, exclude=7))
+        """Every hundredth vector against all."""
+        return rounded(nearest_to_each(vectors, vectors.where("vec_id % 100 = 0"), method, 10))
+
+    run.__name__ = f"vector_topk_{method}"
+    query(_topk(score), "embeddings")(run)
+
 
-    run.__name__ = name
-    query(sql, "embeddings")(run)
+_topk_query("cosine", "list_cosine_similarity(c.e, q.e)")
+_topk_query("l2", "1 / (1 + list_distance(c.e, q.e))")
+_topk_query("ip", "list_inner_product(c.e, q.e)")
 
 
-_topk_query("vector_topk_cosine", "cosine", _topk("cosine", "1 - list_cosine_similarity(c.e, q.e)", "list_cosine_similarity(c.e, q.e)"))
-_topk_query("vector_topk_l2", "l2", _topk("l2", "list_distance(c.e, q.e)", "1 / (1 + list_distance(c.e, q.e))"))
-_topk_query("vector_topk_ip", "ip", _topk("ip", "-list_inner_product(c.e, q.e)", "list_inner_product(c.e, q.e)"))
+@query(
+    """
+    SELECT lake_id, round(list_cosine_similarity(e, one), 6) AS score FROM (
+        SELECT lake_id, CAST(embedding AS DOUBLE[]) AS e FROM v_embed WHERE year = 2020 AND lake_id <> 3) c,
+        (SELECT CAST(embedding AS DOUBLE[]) AS one FROM v_embed WHERE year = 2021 AND lake_id = 3) q
+    ORDER BY score DESC, lake_id LIMIT 10""",
+    "v_embed",
+)
+def vector_topk_in_year(spark, records):
+    """One site's vector against all other sites' of another year."""
+    one = records.where("lake_id = 3 AND year = 2021").first()["embedding"]
+    return rounded(nearest_vectors(records, [float(x) for x in one], "cosine", 10, exclude=3, year=2020, id_col="lake_id"))
 
 
 @query(

@@ -23,7 +23,7 @@ from tarn.operators.merges import merged
 from tarn.operators.pooling import encoded, pooled
 from tarn.operators.spatial import attributed, nearest
 from tarn.operators.texture import texture
-from tarn.operators.trajectories import all_analogs, analogs, query_trajectory
+from tarn.operators.trajectories import all_analogs, analogs, nearest_to_each, nearest_vectors, query_trajectory
 from tarn.sources.tables import as_geojson, band_stack_checked, geojson_features, state_boundaries, write_version
 from tarn.streaming.ingest import merge_stream, windowed_counts
 
@@ -535,3 +535,23 @@ def test_output_patterns_without_a_root(spark):
     rows = [(1, 2020, "COMPLETED", "gs/export.tif", None), (2, 2021, "FAILED", "/a/2021/x.tif", None), (3, 2022, "COMPLETED", "/a/2022/x.tif", None)]
     found = output_patterns(spark.createDataFrame(rows, "lake_id long, year int, status string, image_path string, updated_at timestamp"), "/d")
     assert {r.year: r.output_path_pattern for r in found.collect()} == {2020: "/d/2020/lake_{lake_id:06d}.tif", 2022: "/a/2022/lake_{lake_id:06d}.tif"}
+
+
+@pytest.mark.parametrize("method", ["cosine", "l2", "ip"])
+def test_nearest_to_each_agrees_with_one_by_one(spark, monkeypatch, method):
+    for name, size in (("VECTORS", 40), ("QUERIES", 3)):
+        monkeypatch.setattr(f"tarn.operators.trajectories.{name}", size)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(150)]
+    odd = [(200, None), (201, []), (202, [1.0, None, 0.0, 0.0]), (203, [1.0, 2.0]), (204, [float("nan")] * 4), (None, [1.0] * 4)]
+    schema = "vec_id long, embedding array<double>"
+    vectors = spark.createDataFrame(rows + odd, schema)
+    found = nearest_to_each(vectors, vectors.where("vec_id % 25 = 0 AND vec_id <= 200"), method, 7).collect()
+    assert {r.query_id for r in found} == {0, 25, 50, 75, 100, 125}
+    plain_rows = spark.createDataFrame(rows, schema)
+    for q in (0, 75):
+        want = nearest_vectors(plain_rows, rows[q][1], method, 150, exclude=q).collect()
+        got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        order = sorted(((-round(w.score, 9), w.vec_id) for w in want))[:7]
+        assert [(-round(s, 9), i) for _, i, s in got] == order
+    assert nearest_to_each(vectors.limit(0), vectors, method).count() == 0
