@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.functions.vectors import dot
-from tarn.operators import pooling
+from tarn.operators import pooling, runs
 from tarn.plans.base import query, rounded
 
 
@@ -136,3 +136,33 @@ def group_shares(spark, tokens):
 def mixed_weights(spark, regions):
     """Whether years that are not blended anew keep weights of their own."""
     return pooling.mixed_after(regions, [1996, 1997], 0.6)
+
+
+@query(
+    f"""SELECT * FROM (WITH {_POOL},
+        i AS (SELECT *, year + 21 AS y FROM v_images WHERE status = 'merged'),
+        o AS (SELECT *, year + 21 AS y FROM v_results),
+        todo AS (SELECT lake_id, y FROM i WHERE NOT EXISTS (
+            SELECT 1 FROM o WHERE o.lake_id = i.lake_id AND o.y = i.y AND o.status = 'completed' AND o.feature_version = 2 AND o.updated_at >= i.updated_at)),
+        b AS (SELECT lake_id, year, axis, CASE WHEN us IS NULL THEN ul ELSE 0.7 * ul + 0.3 * us END AS b, us IS NULL AS alone FROM u WHERE ul IS NOT NULL),
+        m AS (SELECT lake_id, year, sqrt(sum(b * b)) AS m FROM b GROUP BY lake_id, year),
+        v AS (SELECT b.lake_id, b.year, round(sum(b / m * (axis + 1)), 3) + 0.0 AS mark, CASE WHEN bool_or(alone) THEN 1.0 ELSE 0.7 END AS w
+              FROM b JOIN m ON b.lake_id = m.lake_id AND b.year = m.year GROUP BY b.lake_id, b.year)
+        SELECT lake_id, CAST(coalesce(t.y, o.y) AS int) AS year,
+               CASE WHEN t.y IS NULL THEN o.status WHEN mark IS NULL THEN 'failed' ELSE 'completed' END AS status,
+               CAST(CASE WHEN t.y IS NULL THEN o.feature_version ELSE 2 END AS int) AS embedding_version,
+               CASE WHEN t.y IS NOT NULL THEN mark END AS mark, CAST(CASE WHEN t.y IS NOT NULL THEN w END AS double) AS lake_weight
+        FROM o FULL JOIN todo t USING (lake_id, y) LEFT JOIN v ON v.lake_id = t.lake_id AND v.year = t.y) z""",
+    "v_images",
+    "v_results",
+    "v_tokens",
+)
+def embedding_run(spark, images, results, tokens):
+    """A whole run: work list, pooling, blending and the merge; a weighted sum stands for the vector."""
+    later = lambda df: df.withColumn("year", (F.col("year") + 21).cast("int"))
+    regions = later(results).withColumnRenamed("feature_version", "embedding_version")
+    out = runs.embedding_run(later(images), regions, tokens)
+    mark = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return out.select(
+        "lake_id", "year", "status", "embedding_version", (F.round(mark, 3) + 0.0).alias("mark"), F.col("lake_weight").cast("double").alias("lake_weight")
+    )
