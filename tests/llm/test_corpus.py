@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -718,6 +719,24 @@ def test_toxicity_without_labels(docs, spark):
 # exact search
 
 
+def test_top_k_over_many_cells(spark, monkeypatch):
+    """Clusters, repeated rows and ties, in shards of 16 and blocks of 4, against all pairs."""
+    monkeypatch.setattr("tarn.llm.knn.SHARD", 16)
+    monkeypatch.setattr("tarn.llm.knn.BLOCK", 4)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 5))
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=5) * 0.1]) for i in range(600)]
+    rows += [(7, [0.5] * 5)] * 60 + [(1000 + i, [0.25 * (i % 3), 0.5]) for i in range(90)] + [(2000, []), (2050, [])]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for q, vector in whole:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(vector, v)), i) for i, v in whole if i != q and len(v) == len(vector))
+            want.update((q, rank + 1, i, -minus) for rank, (minus, i) in enumerate(scored[:5]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(map(tuple, top_k(df.repartition(5)).collect())) == want
+
+
 def test_top_k(spark):
     r = random.Random(9)
     rows = [(i, [r.uniform(-1, 1) for _ in range(6)], 1) for i in range(300)]
