@@ -115,7 +115,7 @@ class Tree:
             self.children[node] = (left, self._grow(vectors, order, middle, last))
         return node
 
-    def search(self, query_id: int, query: np.ndarray, k: int, floor: int | None):
+    def search(self, query_id: int, query: np.ndarray, k: int, floor: int):
         """The k best (score, id) of candidates that score ``floor`` or more."""
         bounds = np.where(query > 0, self.high, self.low) @ query
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
@@ -123,17 +123,16 @@ class Tree:
         waiting = [(-bounds[0], 0)]
         while waiting:
             bound, node = heapq.heappop(waiting)
-            if kth is not None and -bound < kth:
+            if -bound < kth:
                 break
             if self.children[node]:
                 for child in self.children[node]:
-                    if kth is None or bounds[child] >= kth:
+                    if bounds[child] >= kth:
                         heapq.heappush(waiting, (-bounds[child], child))
                 continue
             first, last = self.slices[node]
             scores = self.vectors[first:last] @ query
-            hits = np.arange(len(scores)) if kth is None else np.flatnonzero(scores >= kth)
-            for i in hits:
+            for i in np.flatnonzero(scores >= kth):
                 if self.ids[first + i] == query_id:
                     continue
                 item = (scores[i], -self.ids[first + i])
@@ -142,7 +141,7 @@ class Tree:
                 elif item > best[0]:
                     heapq.heapreplace(best, item)
             if len(best) == k:
-                kth = best[0][0] if floor is None else max(floor, best[0][0])
+                kth = max(floor, best[0][0])
         return [(int(score), int(-minus)) for score, minus in best]
 
 
@@ -164,10 +163,8 @@ def best_of_shard(k: int):
             queries = np.array(asked["query"].tolist(), np.int64).reshape(len(asked), -1)
             kind = exact_type(vectors, queries)
             tree = Tree(rows["vec_id"].to_numpy(), vectors.astype(kind))
-            floors = asked["floor"] if "floor" in asked else [None] * len(asked)
-            for query_id, query, floor in zip(asked["query_id"], queries.astype(kind), floors):
-                known = None if floor is None or pd.isna(floor) else int(floor)
-                out += [(query_id, i, score) for score, i in tree.search(query_id, query, k, known)]
+            for query_id, query, floor in zip(asked["query_id"], queries.astype(kind), asked["floor"]):
+                out += [(query_id, i, score) for score, i in tree.search(query_id, query, k, int(floor))]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return search
@@ -235,29 +232,18 @@ def promises(queries: np.ndarray, boxes: pd.DataFrame) -> np.ndarray:
 
 
 def addressed(asked: DataFrame, boxes: dict[int, pd.DataFrame]) -> DataFrame:
-    """Queries with the shards they ask: the first of the best cell where ``first``,
-    else all others of cells that can reach their ``floor``."""
+    """``asked`` with width, the cell that promises most, and the cells that can reach ``floor``."""
 
     def address(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for width, rows, queries in by_width(batch["query"]):
-                cells, shards = boxes[width]["cell"].to_numpy(), boxes[width]["shards"].to_numpy()
-                bound = promises(queries, boxes[width])
-                for i, reach in zip(rows, bound):
-                    row, best = batch.iloc[i], int(np.argmax(reach))
-                    floor = None if pd.isna(row["floor"]) else int(row["floor"])
-                    if row["first"]:
-                        to = [(cells[best], 0)]
-                    else:
-                        near = [c for c in range(len(cells)) if floor is None or reach[c] >= floor]
-                        to = [(cells[c], shard) for c in near for shard in range(shards[c]) if (c, shard) != (best, 0)]
-                    if to:
-                        cell, shard = zip(*to)
-                        own = {c: [row[c]] * len(to) for c in ("query_id", "query", "block")}
-                        yield pd.DataFrame({**own, "floor": pd.array([floor] * len(to), "Int64"), "width": width, "cell": cell, "shard": shard})
-
-    schema = "query_id long, query array<long>, block int, floor long, width int, cell int, shard int"
-    return asked.mapInPandas(address, schema)
+                cells, bound = boxes[width]["cell"].to_numpy(), promises(queries, boxes[width])
+                own = batch.iloc[rows]
+                near = bound >= own["floor"].to_numpy()[:, None]
+                yield own.assign(width=width, best=cells[bound.argmax(axis=1)], cells=[cells[n.astype(bool)] for n in near])
+
+    schema = "query_id long, query array<long>, block int, floor long, width int, best int, cells array<int>"
+    return asked.select("query_id", "query", "block", "floor").mapInPandas(address, schema)
 
 
 def top_k(
@@ -306,15 +292,24 @@ def top_k(
         )
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    nothing = F.lit(None).cast("long").alias("floor")
-    first = cut(searched(addressed(asked.select("*", nothing, F.lit(True).alias("first")), boxes)))
+    least = F.lit(-(2**63))
+    to_best = addressed(asked.withColumn("floor", least), boxes).withColumnsRenamed({"best": "cell"}).withColumn("shard", F.lit(0)).drop("cells")
+    first = cut(searched(to_best))
     floors = (
         first.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") == k)
-        .select("query_id", F.col("score").alias("floor"))
+        .select("query_id", F.col("score").alias("kth"))
+    )
+    ready = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("kth", least))
+    to_others = (
+        addressed(ready, boxes)
+        .withColumn("cell", F.explode("cells"))
+        .join(F.broadcast(sizes), ["width", "cell"])
+        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        .where((F.col("cell") != F.col("best")) | (F.col("shard") != 0))
+        .drop("cells", "best", "shards")
     )
-    ready = asked.join(floors, "query_id", "left").select("query_id", "query", "block", "floor", F.lit(False).alias("first"))
-    rest = searched(addressed(ready, boxes))
+    rest = searched(to_others)
     return (
         first.union(rest)
         .withColumn("rank", F.row_number().over(order))
