@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.llm.alignment import aligned
 from tarn.llm.common import table
+from tarn.llm.conversations import repaired
 from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.knn import top_k
 from tarn.llm.language import identified
@@ -124,3 +126,97 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their toxicity, learned from the labels."""
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op12_conversation_repair",
+    r"""
+    WITH RECURSIVE steps(k, value) AS (
+        SELECT 0, CAST(range AS BIGINT) FROM range(256)),
+    shifted AS (
+        SELECT value, list_reduce(list_prepend(value, [CAST(x AS BIGINT) for x in range(8)]),
+            lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS entry
+        FROM steps),
+    crc AS (SELECT list(entry ORDER BY value) AS entries FROM shifted),
+    spelled AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS mark
+        FROM conversations),
+    harmed AS (
+        SELECT s.*, xor(4294967295, list_reduce(
+                   list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) for x in string_split(mark, '')]),
+                   lambda c, b: xor(c // 256, entries[CAST(xor(c % 256, b) AS INTEGER) + 1]))) % 20 AS harm
+        FROM spelled s, crc),
+    hurt AS (
+        SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+               CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE harm WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM harmed),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+               rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+        FROM hurt),
+    faulty AS (
+        SELECT *, left(role, 1) AS initial,
+               CASE WHEN body = '' THEN 1
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
+                    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+               concat(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos), left(role, 1)) AS pair
+        FROM placed),
+    arcs(state, role, target) AS (
+        VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+    ends AS (
+        SELECT conv_id, CAST(count(*) AS BIGINT) AS n FROM faulty GROUP BY conv_id),
+    inserts AS (
+        SELECT 0 AS state, 0 AS k, 0 AS target, CAST([] AS VARCHAR[]) AS lines UNION ALL SELECT 1, 0, 1, []
+        UNION ALL SELECT 2, 0, 2, [] UNION ALL SELECT 3, 0, 3, []
+        UNION ALL SELECT state, 1, target, [role || ':'] FROM arcs
+        UNION ALL SELECT x.state, 2, y.target, [x.role || ':', y.role || ':'] FROM arcs x JOIN arcs y ON x.target = y.state),
+    edits AS (
+        SELECT f.conv_id, f.pos, 'D' AS letter, q.state, q.state AS target, 3 AS cost, CAST([] AS VARCHAR[]) AS lines
+        FROM faulty f, (SELECT DISTINCT state FROM arcs) q
+        UNION ALL
+        SELECT f.conv_id, f.pos, 'K', k.state, k.target, CASE fault WHEN 3 THEN 1 ELSE 0 END, [f.role || ':' || f.text]
+        FROM faulty f JOIN (SELECT state, left(role, 1) AS initial, target FROM arcs UNION ALL SELECT 0, 's', 1) k
+            ON f.initial = k.initial WHERE fault IN (0, 3)
+        UNION ALL
+        SELECT f.conv_id, f.pos, 'R', a.state, a.target, CASE fault WHEN 3 THEN 3 ELSE 2 END, [a.role || ':' || f.text]
+        FROM faulty f, arcs a WHERE fault IN (0, 3)),
+    back AS (
+        SELECT e.conv_id, e.n AS pos, i.state,
+               min({'cost': 2 * i.k, 'audit': repeat('I', i.k), 'lines': i.lines}) AS best
+        FROM ends e, inserts i WHERE i.target IN (0, 3) GROUP BY e.conv_id, e.n, i.state
+        UNION ALL
+        SELECT conv_id, pos, state, best FROM (
+            SELECT b.conv_id, b.pos - 1 AS pos, i.state,
+                   {'cost': 2 * i.k + e.cost + b.best.cost, 'audit': repeat('I', i.k) || e.letter || b.best.audit,
+                    'lines': list_concat(i.lines, e.lines, b.best.lines)} AS best,
+                   row_number() OVER (PARTITION BY b.conv_id, i.state ORDER BY
+                       2 * i.k + e.cost + b.best.cost, repeat('I', i.k) || e.letter || b.best.audit) AS place
+            FROM back b JOIN edits e ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND e.pos = b.pos AND e.target = b.state
+            JOIN inserts i ON i.target = e.state)
+        WHERE place = 1),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+               count(*) FILTER (fault = 3) AS truncated,
+               count(*) FILTER (pos > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM faulty GROUP BY conv_id),
+    whole AS (
+        SELECT c.*, b.best.cost AS cost, b.best.audit AS audit, sha256(array_to_string(b.best.lines, chr(10))) AS repaired_sha256
+        FROM counts c JOIN back b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.pos = 0 AND b.state = 0)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+           coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN whole w ON o.conv_id IS NOT DISTINCT FROM w.conv_id
+    """,
+)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with their faults and cheapest edits after damage."""
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the alignment of their tokens by two vocabularies."""
+    return aligned(table(spark, sf_dir, "documents"))
