@@ -15,6 +15,7 @@ from tarn.llm.language import identified
 from tarn.llm.mixing import mix
 from tarn.llm.near_dedup import near_groups
 from tarn.llm.packing import pack
+from tarn.llm.quality import scored as quality_scored
 from tarn.llm.sharding import shard
 from tarn.llm.substring_dedup import repeated_passages
 from tarn.llm.toxicity import scored
@@ -128,6 +129,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_quality")
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their quality, voted on by labelled neighbours."""
+    return quality_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(
     "op12_conversation_repair",
     r"""
