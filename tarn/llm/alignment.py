@@ -46,9 +46,11 @@ from tarn.llm.common import cut, in_batches
 #: Pairs with their counts that a task holds at once.
 PAIRS = 2_000_000
 #: Units, and their bytes, that a worker remembers; units of a text read at once.
-REMEMBERED, REMEMBERED_BYTES, PART = 400_000, 32 << 20, 1 << 18
+REMEMBERED, REMEMBERED_BYTES, PART = 250_000, 24 << 20, 1 << 18
 #: Tokens that DuckDB aligns at once, about; a longer unit is aligned by itself.
-ALIGNED = 1 << 19
+ALIGNED = 1 << 18
+#: Characters of short texts that are prepared at once.
+PREPARED = 1 << 20
 
 UNIT = re.compile(r"[ \n]+[^ \n]*")
 #: White space whose tokens may depend on what comes after the next unit's start.
@@ -119,7 +121,7 @@ class Aligner:
         self.space = self.pieces.piece_to_id("▁")
         #: An id in a group's string: followed by an id, by the other side, by a group, by nothing.
         self.spelled = [str(i).encode() + mark for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in (b",", b"|", b";", b"")]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.forget()
 
     def forget(self) -> None:
@@ -130,6 +132,7 @@ class Aligner:
         self.counts = np.empty((0, 4), np.int64)
         self.groups: list[bytes] = []
         self.links = np.empty(0, np.int64)
+        self.first = np.empty(0, np.int64)
         self.uses = np.zeros(0, np.int64)
 
     def full_up(self) -> bool:
@@ -150,6 +153,7 @@ class Aligner:
         self.size = int(sizes[kept].sum())
         self.links = self.links[np.repeat(kept, self.counts[:, 3])]
         self.exact, self.counts, self.groups = self.exact[kept], self.counts[kept], [self.groups[u] for u in own]
+        self.first = np.cumsum(self.counts[:, 3]) - self.counts[:, 3]
         self.uses = np.zeros(len(own), np.int64)
 
     def a_ids(self, unit: str) -> list[int]:
@@ -204,6 +208,7 @@ class Aligner:
         self.size += sum(map(len, units))
         self.exact = np.concatenate((self.exact, exact))
         self.counts = np.concatenate((self.counts, np.column_stack((n_a, n_b, n_groups, n_links))))
+        self.first = np.concatenate((self.first, len(self.links) + np.cumsum(n_links) - n_links))
         self.links = np.concatenate((self.links, links["a_id"].astype(np.int64) << 32 | links["b_id"].astype(np.int64)))
         self.uses = np.concatenate((self.uses, np.zeros(len(units), np.int64)))
 
@@ -240,16 +245,24 @@ class Aligner:
             while part := [m.group() for m in islice(found, PART)]:
                 yield part
 
-    def read(self, text: str | None) -> Iterator[np.ndarray]:
+    def prepared(self, texts: list[str | None]) -> list[list[str] | None]:
+        """The units of short texts, learned where they are new."""
+        out = [next(self.parts(t)) if t and len(t) < PART else None for t in texts]
+        new = [u for u in dict.fromkeys(chain.from_iterable(filter(None, out))) if u not in self.known]
+        if new:
+            self.learn(new)
+        return out
+
+    def read(self, text: str | None, units: list[str] | None) -> Iterator[np.ndarray]:
         """Numbers of the text's units; nothing for a text without tokens.
 
-        A text of several parts is gone through once to see whether all units are exact.
+        ``units`` are those of a short text, as prepared.  A longer one is gone through
+        once to see whether all of them are exact.
         """
         if not text:
             return
-        if len(text) < PART:
-            (part,) = self.parts(text)
-            numbers = self.numbers(part)
+        if units is not None:
+            numbers = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
             if self.exact[numbers].all():
                 yield numbers
                 return
@@ -260,16 +273,16 @@ class Aligner:
         if self.exact[whole].all():
             yield whole
 
-    def prepare(self, texts: pa.Array) -> None:
-        """Learn the new units of short texts at once."""
-        new: dict[str, None] = {}
-        for text in texts:
-            text = text.as_py()
-            if text and len(text) < PART:
-                for part in self.parts(text):
-                    new.update(dict.fromkeys(u for u in part if u not in self.known))
-        if new:
-            self.learn(list(new))
+    def read_all(self, texts: pa.Array) -> Iterator[Iterator[np.ndarray]]:
+        """``read`` of each text; units are prepared for some texts at once."""
+        first, size, lengths = 0, 0, pc.utf8_length(texts).to_pylist()
+        for at, n in enumerate(lengths):
+            size += n or 0
+            if size >= PREPARED or at == len(lengths) - 1:
+                some = texts[first : at + 1].to_pylist()
+                for text, units in zip(some, self.prepared(some)):
+                    yield self.read(text, units)
+                first, size = at + 1, 0
 
     def counted(self) -> bytes:
         """Partial counts of pairs from how often each unit was used: ids, then counts."""
@@ -283,10 +296,8 @@ class Aligner:
 
     def links_of(self, numbers: np.ndarray) -> np.ndarray:
         """The links of some units, one after the other: ids of A and of B."""
-        n = self.counts[:, 3]
-        first = np.cumsum(n) - n
-        own = n[numbers]
-        at = np.arange(own.sum()) + np.repeat(first[numbers] - np.cumsum(own) + own, own)
+        n = self.counts[numbers, 3]
+        at = np.arange(n.sum()) + np.repeat(self.first[numbers] - np.cumsum(n) + n, n)
         return self.links[at]
 
 
@@ -327,10 +338,9 @@ def tokenized(rows: DataFrame, files: tuple[str, ...]) -> DataFrame:
         for batch in batches:
             out = numbers_of(0, None)
             out["doc_id"] = batch.column(0).to_pylist()
-            own.prepare(batch.column(1))
-            for text in batch.column(1):
+            for parts in own.read_all(batch.column(1)):
                 total, digest, glue, links = np.zeros(4, np.int64), sha256(), b"", []
-                for numbers in own.read(text.as_py()):
+                for numbers in parts:
                     np.add.at(own.uses, numbers, 1)
                     total += own.counts[numbers].sum(axis=0)
                     digest.update(glue + b";".join(map(own.groups.__getitem__, numbers.tolist())))

@@ -235,7 +235,7 @@ def test_alignment(spark, tokenizers, monkeypatch, pairs, remembered, part):
         monkeypatch.setattr(alignment, "PART", part)
         want = {t: tokens_brute(tokenizers, t) for t in texts}
         for t in texts:
-            counts = sum((own.counts[n].sum(axis=0) for n in own.read(t)), np.zeros(4, np.int64))
+            counts = sum((own.counts[n].sum(axis=0) for n in own.read(t, own.prepared([t])[0])), np.zeros(4, np.int64))
             assert (counts[0], counts[1]) == tuple(map(len, want[t]))
             if own.full_up():
                 own.thin_out()
