@@ -54,7 +54,7 @@ LAKE_WEIGHT = 0.7
 # Geography.
 EARTH_RADIUS_KM = 6371.0
 WGS84_A, WGS84_E2 = 6378137.0, 0.0066943799901413165
-TILE_M, BUFFER_M = 25000.0, 3500.0
+TILE_M, BUFFER_M, SCALE_M = 25000.0, 3500.0, 30.0
 ACTIVE_KM2 = 2.0
 
 # Wording of forecasts.

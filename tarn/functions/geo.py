@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tarn.constants import EARTH_RADIUS_KM, WGS84_A, WGS84_E2
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half = lambda a, b: F.sin(F.radians(b - a) / 2)
     h = F.pow(half(lat1, lat2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(half(lon1, lon2), 2)
@@ -100,25 +105,7 @@ def covers(ring: Column, lon: Column, lat: Column) -> Column:
 
     A ray to the east is crossed an odd number of times from inside.
     """
-    sides = F.transform(
-        F.sequence(F.lit(1), F.size(ring) - 1),
-        lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i + 1).alias("b")),
-    )
-
-    def on(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        cross = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
-        within = lambda v, p, q: (v >= F.least(p, q)) & (v <= F.greatest(p, q))
-        return (cross == 0) & within(lon, a["lon"], b["lon"]) & within(lat, a["lat"], b["lat"])
-
-    def crossed(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        spans = (a["lat"] > lat) != (b["lat"] > lat)
-        rise = F.when(spans, b["lat"] - a["lat"])
-        return spans & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / rise + a["lon"])
-
-    odd = F.size(F.filter(sides, crossed)) % 2 == 1
-    return F.exists(sides, on) | odd
+    return covered_by(F.array(F.array(ring)), lon, lat)
 
 
 def mercator_6933(lat: Column, lon: Column) -> Column:
@@ -128,3 +115,188 @@ def mercator_6933(lat: Column, lon: Column) -> Column:
     s = F.sin(F.radians(lat))
     q = (1 - WGS84_E2) * (s / (1 - WGS84_E2 * s * s) + F.log((1 + e * s) / (1 - e * s)) / (2 * e))
     return F.struct((F.radians(lon) * WGS84_A * k).alias("x"), (q * WGS84_A / (2 * k)).alias("y"))
+
+
+def from_mercator_6933(x: Column, y: Column) -> Column:
+    """Struct lon, lat in degrees of a place on the equal-area grid; the inverse of ``mercator_6933``.
+
+    The latitude comes from the authalic one by a series in the eccentricity, and is
+    then improved once by how far its own place is off.
+    """
+    e2, true = WGS84_E2, math.radians(30)
+    e = math.sqrt(e2)
+    k = math.cos(true) / math.sqrt(1 - e2 * math.sin(true) ** 2)
+    pole = 1 + (1 - e2) * math.log((1 + e) / (1 - e)) / (2 * e)
+    beta = F.asin(F.least(F.greatest(y * (2 * k / (WGS84_A * pole)), F.lit(-1.0)), F.lit(1.0)))
+    terms = (
+        e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040,
+        23 * e2**2 / 360 + 251 * e2**3 / 3780,
+        761 * e2**3 / 45360,
+    )
+    first = beta + sum((F.sin(2 * (i + 1) * beta) * t for i, t in enumerate(terms)), F.lit(0.0))
+
+    def improved(lat: Column) -> Column:
+        off = mercator_6933(F.degrees(lat), F.lit(0.0))["y"] - y
+        slope = F.cos(lat) * (WGS84_A / k * (1 - e2)) / F.pow(1 - e2 * F.pow(F.sin(lat), F.lit(2)), F.lit(2))
+        return F.degrees(F.when(slope > 1.0, lat - off / slope).otherwise(lat))
+
+    return F.struct(F.degrees(x / (WGS84_A * k)).alias("lon"), once(first, improved).alias("lat"))
+
+
+POLYGONS = "array<array<array<array<double>>>>"
+_NUMBER = r"(-?\d[\d.]*(?:[eE][-+]?\d+)?)"
+
+
+def polygons_of_wkt(text: Column) -> Column:
+    """Polygons, each a list of rings, of a POLYGON or MULTIPOLYGON in well-known text.
+
+    Further numbers of a point, as of a Z, are left out.  Null for other texts and
+    for null; an empty shape has no polygons.
+    """
+    clean = F.upper(F.trim(text))
+    kind = F.regexp_extract(clean, r"^(?:SRID=\d+;)?\s*(MULTIPOLYGON|POLYGON)\b", 1)
+    body = F.regexp_extract(clean, r"(\(.*\))\s*$", 1)
+    pairs = F.regexp_replace(body, rf"{_NUMBER}\s+{_NUMBER}(?:\s+{_NUMBER})*", "[$1,$2]")
+    lists = F.translate(F.regexp_replace(pairs, r"\s+", ""), "()", "[]")
+    every = F.from_json(F.when(kind == "POLYGON", F.concat(F.lit("["), lists, F.lit("]"))).otherwise(lists), POLYGONS)
+    points = F.transform(
+        every,
+        lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda q: F.struct(q[0].alias("lon"), q[1].alias("lat")))),
+    )
+    none = F.slice(points, 1, 0)
+    empty = F.from_json(F.lit("[]"), "array<array<array<struct<lon:double,lat:double>>>>")
+    return F.when(clean.rlike(r"POLYGON\s*(?:Z|M|ZM)?\s*EMPTY$"), F.coalesce(none, empty)).when(
+        (kind != "") & F.forall(points, lambda rings: F.size(rings) > 0), points
+    )
+
+
+def wkt_of_polygons(polygons: Column) -> Column:
+    """MULTIPOLYGON text of polygons; null for null."""
+    point = lambda q: F.concat_ws(" ", q["lon"].cast("string"), q["lat"].cast("string"))
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, point), ", "), F.lit(")"))
+    polygon = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, ring), ", "), F.lit(")"))
+    body = F.array_join(F.transform(polygons, polygon), ", ")
+    return F.when(F.size(polygons) == 0, "MULTIPOLYGON EMPTY").otherwise(F.concat(F.lit("MULTIPOLYGON ("), body, F.lit(")")))
+
+
+def sides(polygons: Column) -> Column:
+    """All sides of polygons, as structs of points a and b."""
+    of_ring = lambda ring: F.transform(
+        F.when(F.size(ring) > 1, F.sequence(F.lit(1), F.size(ring) - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i + 1).alias("b")),
+    )
+    return F.flatten(F.transform(F.flatten(polygons), of_ring))
+
+
+def covered_by(polygons: Column, lon: Column, lat: Column) -> Column:
+    """Whether polygons with holes cover a point; points on any ring's border count.
+
+    A ray to the east crosses an odd number of sides of all rings from inside.
+    """
+    every = sides(polygons)
+    return F.exists(every, lambda s: on_side(s, lon, lat)) | (F.size(F.filter(every, lambda s: crossed_by(s, lon, lat))) % 2 == 1)
+
+
+def on_side(s: Column, lon: Column, lat: Column) -> Column:
+    """Whether a point lies on a side."""
+    a, b = s["a"], s["b"]
+    cross = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
+    within = lambda v, p, q: (v >= F.least(p, q)) & (v <= F.greatest(p, q))
+    return (cross == 0) & within(lon, a["lon"], b["lon"]) & within(lat, a["lat"], b["lat"])
+
+
+def crossing_lon(s: Column, lat: Column) -> Column:
+    """Where a side crosses a parallel; null if it does not."""
+    a, b = s["a"], s["b"]
+    spans = (a["lat"] > lat) != (b["lat"] > lat)
+    rise = F.when(spans, b["lat"] - a["lat"])
+    return F.when(spans, (b["lon"] - a["lon"]) * (lat - a["lat"]) / rise + a["lon"])
+
+
+def crossed_by(s: Column, lon: Column, lat: Column) -> Column:
+    """Whether the ray east of a point crosses a side."""
+    return F.coalesce(lon < crossing_lon(s, lat), F.lit(False))
+
+
+def ring_area(ring: Column) -> Column:
+    """Area inside a closed ring, in the square of its unit; positive if it turns left."""
+    cross = lambda i: (
+        F.element_at(ring, i)["lon"] * F.element_at(ring, i + 1)["lat"] - F.element_at(ring, i + 1)["lon"] * F.element_at(ring, i)["lat"]
+    )
+    return F.when(F.size(ring) < 2, 0.0).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), F.lit(0.0), lambda held, i: held + F.coalesce(cross(i), F.lit(0.0))) / 2
+    )
+
+
+def area(polygons: Column) -> Column:
+    """Area of polygons, holes taken off."""
+    of_polygon = lambda rings: F.aggregate(
+        F.transform(rings, lambda ring, i: F.abs(ring_area(ring)) * F.when(i == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda held, x: held + x
+    )
+    return F.aggregate(F.transform(polygons, of_polygon), F.lit(0.0), lambda held, x: held + x)
+
+
+def mapped_points(polygons: Column, change) -> Column:
+    """Polygons with each point changed, such as into metres."""
+    return F.transform(polygons, lambda rings: F.transform(rings, lambda ring: F.transform(ring, change)))
+
+
+def to_metres(q: Column) -> Column:
+    """A point in degrees as one on the equal-area grid, still named lon and lat."""
+    place = mercator_6933(q["lat"], q["lon"])
+    return F.struct(place["x"].alias("lon"), place["y"].alias("lat"))
+
+
+def to_degrees(q: Column) -> Column:
+    """A point on the equal-area grid as one in degrees."""
+    return from_mercator_6933(q["lon"], q["lat"])
+
+
+def clipped(ring: Column, axis: str, bound: Column, keep_above: bool) -> Column:
+    """The part of a closed ring on one side of a line across ``axis``, closed anew.
+
+    Each side passes on its end if that is kept, and before it the point where it
+    meets the line if its ends differ.  Parts of a ring that fall apart stay joined
+    along the line, which adds no area.
+    """
+    other = "lat" if axis == "lon" else "lon"
+    kept = lambda q: (q[axis] >= bound) if keep_above else (q[axis] <= bound)
+
+    def of_side(i: Column) -> Column:
+        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+        step = F.when(b[axis] != a[axis], b[axis] - a[axis])
+        across = a[other] + (b[other] - a[other]) * (bound - a[axis]) / step
+        parts = {axis: bound.cast("double"), other: across}
+        met = F.struct(parts["lon"].alias("lon"), parts["lat"].alias("lat"))
+        end = F.struct(b["lon"].alias("lon"), b["lat"].alias("lat"))
+        return (
+            F.when(kept(a) & kept(b), F.array(end))
+            .when(kept(b), F.array(met, end))
+            .when(kept(a), F.array(met))
+            .otherwise(F.slice(F.array(end), 1, 0))
+        )
+
+    found = F.flatten(F.transform(F.sequence(F.lit(1), F.size(ring) - 1), of_side))
+    return once(found, lambda f: F.when(F.size(f) > 0, F.concat(F.slice(f, -1, 1), f)).otherwise(f))
+
+
+def clipped_polygons(polygons: Column, axis: str, low: Column, high: Column) -> Column:
+    """Polygons cut to a strip across ``axis``; rings and polygons that vanish are left out."""
+    def of_ring(ring: Column) -> Column:
+        above = F.when(F.size(ring) > 2, clipped(ring, axis, low, True)).otherwise(ring)
+        return once(above, lambda r: F.when(F.size(r) > 2, clipped(r, axis, high, False)).otherwise(r))
+
+    cut = F.transform(polygons, lambda rings: F.transform(rings, of_ring))
+    return F.filter(F.transform(cut, lambda rings: F.filter(rings, lambda r: F.size(r) > 2)), lambda rings: F.size(rings) > 0)
+
+
+def padded_box(box: Column, share: float, least: float) -> Column:
+    """A box with a share of its sides, or ``least`` degrees, added on each side."""
+    wide = F.greatest((box["east"] - box["west"]) * share, F.lit(least))
+    high = F.greatest((box["north"] - box["south"]) * share, F.lit(least))
+    return F.struct(
+        (box["west"] - wide).alias("west"),
+        (box["south"] - high).alias("south"),
+        (box["east"] + wide).alias("east"),
+        (box["north"] + high).alias("north"),
+    )

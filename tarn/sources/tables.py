@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.constants import STATE_NAMES
-from tarn.functions.geo import bounds, centroid
+from tarn.functions.geo import bounds, centroid, mapped_points
 from tarn.functions.text import first_number, without_accents
+from tarn.sources.shapefiles import shapefile_rows
 
 
 def geojson_features(spark: SparkSession, path: str, country: str | None = None) -> DataFrame:
@@ -56,32 +57,38 @@ def geojson_features(spark: SparkSession, path: str, country: str | None = None)
 
 
 def state_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """(area_name, ring) of a GeoJSON file of states, a row for each polygon's outer ring.
+    """(area_name, polygons) of a GeoJSON file or a shapefile of states, with all rings.
 
     The name is the first of ``STATE_NAMES`` that is not blank, whatever its case,
     without accents; features without a name or a shape are left out.  An error
     for other kinds of files and for files without any state.
     """
+    if path.lower().endswith(".shp"):
+        rows = shapefile_rows(spark, path)
+        entry = lambda c: F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))
+        names = [c for c in rows.columns if c not in ("record", "polygons", "error")]
+        return _named_states(rows.select(F.array(*map(entry, names)).alias("entries"), "polygons"), path)
     if not path.lower().endswith((".json", ".geojson")):
-        raise ValueError("boundaries of states come as .json or .geojson")
+        raise ValueError("boundaries of states come as .shp, .json or .geojson")
     schema = "type string, features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
-    entries = F.map_entries("f.properties")
-
-    def attribute(name: str) -> Column:
-        named = F.filter(entries, lambda e: F.lower(e["key"]) == name)
-        return F.nullif(F.trim(F.try_element_at(named, F.lit(-1))["value"]), F.lit(""))
-
     shape, rings = F.col("f.geometry.coordinates"), "array<array<array<double>>>"
     polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(shape, rings))).when(
         F.col("f.geometry.type") == "MultiPolygon", F.from_json(shape, f"array<{rings}>")
     )
-    points = F.transform(F.col("polygon")[0], lambda x: F.struct(x[0].alias("lon"), x[1].alias("lat")))
-    states = (
-        rows.select(without_accents(F.coalesce(*map(attribute, STATE_NAMES))).alias("area_name"), F.explode(polygons).alias("polygon"))
-        .where("area_name IS NOT NULL AND size(polygon) > 0")
-        .select("area_name", points.alias("ring"))
-    )
+    point = lambda q: F.struct(q[0].alias("lon"), q[1].alias("lat"))
+    return _named_states(rows.select(F.map_entries("f.properties").alias("entries"), mapped_points(polygons, point).alias("polygons")), path)
+
+
+def _named_states(rows: DataFrame, path: str) -> DataFrame:
+    """Shapes with the name that their attributes, as entries of a map, give."""
+
+    def attribute(name: str) -> Column:
+        named = F.filter("entries", lambda e: F.lower(e["key"]) == name)
+        return F.nullif(F.trim(F.try_element_at(named, F.lit(-1))["value"]), F.lit(""))
+
+    named = rows.select(without_accents(F.coalesce(*map(attribute, STATE_NAMES))).alias("area_name"), "polygons")
+    states = named.where("area_name IS NOT NULL AND size(flatten(polygons)) > 0")
     if states.isEmpty():
         raise ValueError(f"{path} holds no boundary of a state")
     return states
