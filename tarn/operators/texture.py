@@ -1,13 +1,20 @@
-"""Grey-level co-occurrence of neighbouring pixels, as joins and sums."""
+"""Grey-level co-occurrence of neighbouring pixels, in square blocks with a border."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.constants import TEXTURE_BAND, TEXTURE_LEVELS, TEXTURE_OFFSETS
 
 KEYS = ["lake_id", "year"]
+#: Pixels of a block's side; what parts numbers of levels; the order of a block's rows.
+BLOCK, RADIX = 256, 1 << 12
+ORDER = ["lake_id", "year", "block_r", "block_c", "r", "c", "level"]
 PROPERTIES = ("contrast", "dissimilarity", "homogeneity", "energy", "entropy", "correlation")
 
 
@@ -24,24 +31,73 @@ def quantised(pixels: DataFrame, band: str = TEXTURE_BAND, levels: int = TEXTURE
     )
 
 
+def in_blocks(levels: DataFrame) -> DataFrame:
+    """Pixels dealt to the block that holds them, and to those whose border they are."""
+    reached = lambda v: F.array_distinct(F.array(*(F.floor((F.col(v) + d) / BLOCK) for d in (-1, 0, 1))))
+    edged = levels.select(*KEYS, "r", "c", "level", F.explode(reached("r")).alias("block_r"))
+    dealt = edged.select("*", F.explode(reached("c")).alias("block_c"))
+    return dealt.select(*(F.col(c).cast("long").alias(c) for c in ORDER))
+
+
+def block_counts(rows: np.ndarray, offsets) -> Iterator[np.ndarray]:
+    """Rows (lake_id, year, offset, i, j, n) of whole blocks, given as rows of ``ORDER``.
+
+    Places of all blocks are numbers in order, in which a neighbour is sought; a pair
+    counts in the block that holds its first pixel.
+    """
+    block, site = (np.cumsum(np.concatenate(([0], (rows[1:, :n] != rows[:-1, :n]).any(axis=1)))) for n in (4, 2))
+    r, c = rows[:, 4] - rows[:, 2] * BLOCK + 1, rows[:, 5] - rows[:, 3] * BLOCK + 1
+    stride = BLOCK + 3
+    place = (block * stride + r) * stride + c
+    order = np.argsort(place, kind="stable")
+    place, level, site, names = place[order], rows[order, 6], site[order], rows[order, :2]
+    own = ((r >= 1) & (r <= BLOCK) & (c >= 1) & (c <= BLOCK))[order]
+    for k, (dy, dx) in enumerate(offsets):
+        wanted = place[own] + dy * stride + dx
+        at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+        hit = place[at] == wanted
+        codes, first, n = np.unique((site[own][hit] * RADIX + level[own][hit]) * RADIX + level[at[hit]], return_index=True, return_counts=True)
+        if len(codes):
+            yield np.column_stack((names[own][hit][first], np.full(len(n), k), codes // RADIX % RADIX, codes % RADIX, n))
+
+
 def cooccurrences(levels: DataFrame, offsets=TEXTURE_OFFSETS) -> DataFrame:
     """(lake_id, year, offset, i, j, p): symmetric shares of pairs at an offset.
 
-    A pixel meets its neighbour by an equality of place, never all the others.
+    Pixels go to square blocks of ``BLOCK`` a side, with a border of one pixel, and are
+    counted there, so only counts of pairs of levels go on.  A task holds the blocks
+    that end in an Arrow batch, and one that does not.
     """
-    shifts = F.array(*(F.struct(F.lit(k).alias("offset"), F.lit(y).alias("dy"), F.lit(x).alias("dx")) for k, (y, x) in enumerate(offsets)))
-    ref = (
-        levels.select(*KEYS, "r", "c", F.col("level").alias("i"), F.inline(shifts))
-        .withColumn("r", F.col("r") + F.col("dy"))
-        .withColumn("c", F.col("c") + F.col("dx"))
-    )
-    pairs = ref.join(levels.withColumnRenamed("level", "j"), [*KEYS, "r", "c"])
-    both = F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, len(ORDER)), np.int64)
+
+        def counted(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for found in block_counts(rows, offsets):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, found.T)), [*KEYS, "offset", "i", "j", "n"])
+
+        for batch in batches:
+            held = np.concatenate((held, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ORDER])))
+            whole = np.flatnonzero((held[:, :4] != held[-1:, :4]).any(axis=1))
+            if len(whole):
+                yield from counted(held[: whole[-1] + 1])
+                held = held[whole[-1] + 1 :]
+        if len(held):
+            yield from counted(held)
+
+    i, j = F.col("i").cast("int"), F.col("j").cast("int")
+    both = F.array(F.struct(i.alias("i"), j.alias("j")), F.struct(j.alias("i"), i.alias("j")))
     counted = (
-        pairs.select(*KEYS, "offset", F.inline(both)).groupBy(*KEYS, "offset", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+        in_blocks(levels)
+        .repartition(*ORDER[:4])
+        .sortWithinPartitions(*ORDER[:4])
+        .mapInArrow(read, "lake_id long, year long, offset long, i long, j long, n long")
+        .select("lake_id", F.col("year").cast("int").alias("year"), "offset", "n", F.inline(both))
+        .groupBy(*KEYS, "offset", "i", "j")
+        .agg(F.sum("n").alias("n"))
     )
-    whole = counted.groupBy(*KEYS, "offset").agg(F.sum("n").alias("whole"))
-    return counted.join(whole, [*KEYS, "offset"]).withColumn("p", F.col("n") / F.col("whole"))
+    whole = Window.partitionBy(*KEYS, "offset")
+    return counted.withColumn("p", F.col("n") / F.sum("n").over(whole))
 
 
 def texture(pixels: DataFrame, band: str = TEXTURE_BAND, levels: int = TEXTURE_LEVELS) -> DataFrame:
