@@ -278,10 +278,7 @@ class Shapefile(DataSource):
         return FORMAT
 
     def schema(self) -> StructType:
-        found = files_of(self.options["path"])
-        if not found or not os.path.exists(beside(found[0], ".dbf")):
-            raise FileNotFoundError(f"no shapefile at {self.options['path']}")
-        fields, *_ = attributes_of(beside(found[0], ".dbf"))
+        fields, *_ = attributes_of(beside(files_of(self.options["path"])[0], ".dbf"))
         ends = [StructField("polygons", POLYGONS), StructField("error", StringType())]
         return StructType([StructField("record", LongType()), *(StructField(f.name, f.type) for f in fields), *ends])
 
@@ -301,6 +298,8 @@ def ready(spark: SparkSession) -> SparkSession:
 
 def shapefile_rows(spark: SparkSession, path: str, country: str | None = None, records: int = RECORDS) -> DataFrame:
     """Records of shapefiles; of one country, whatever its case, if it is named."""
+    if not files_of(path) or not os.path.exists(beside(files_of(path)[0], ".dbf")):
+        raise FileNotFoundError(f"no shapefile at {path}")
     reader = ready(spark).read.format(FORMAT).option("path", path).option("records", str(records))
     return (reader if country is None else reader.option("country", country)).load()
 
