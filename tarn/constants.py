@@ -49,7 +49,7 @@ INPUT_STD = (
     1154.505683480695,
 )
 TOKEN_PX, WINDOW_PX = 16, 224
-LAKE_WEIGHT = 0.7
+LAKE_WEIGHT, MIN_LAKE_PIXELS = 0.7, 100
 
 # Geography.
 EARTH_RADIUS_KM = 6371.0

@@ -33,16 +33,17 @@ def encoded(windows: DataFrame, encode: Callable, batch: int = 64) -> DataFrame:
     """Token vectors of windows by any encoder.
 
     ``windows`` has lake_id, year, window_id, pixels (a flat array) and token_ids;
-    ``encode`` makes the encoder once a worker, which then maps lists of pixels
-    and token ids to a list of vectors for each window.
+    ``encode`` makes the encoder once a worker, which then maps a list of arrays of
+    pixels and one of lists of token ids to a list of vectors for each window.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encode()
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
-                rows = whole.slice(at, batch).to_pylist()
-                vectors = model([r["pixels"] for r in rows], [r["token_ids"] for r in rows])
+                some = whole.slice(at, batch)
+                rows = some.drop_columns(["pixels"]).to_pylist()
+                vectors = model([p.values.to_numpy() for p in some.column("pixels")], [r["token_ids"] for r in rows])
                 yield pa.RecordBatch.from_pylist(
                     [
                         {k: r[k] for k in ("lake_id", "year", "window_id")} | {"token_id": t, "vec": list(map(float, v))}

@@ -11,6 +11,11 @@ from tarn.operators import merges, pooling
 KEYS = ["lake_id", "year"]
 
 
+def todo(images: DataFrame, regions: DataFrame) -> DataFrame:
+    """Images whose embedding is missing or stale."""
+    return merges.work_list(images, regions, EMBEDDING_VERSION, "embedding_version")
+
+
 def embedding_run(images: DataFrame, regions: DataFrame, tokens: DataFrame, lake_weight: float = LAKE_WEIGHT) -> DataFrame:
     """``regions`` after a run over the images whose embedding is missing or stale.
 
@@ -19,9 +24,9 @@ def embedding_run(images: DataFrame, regions: DataFrame, tokens: DataFrame, lake
     pooled and blended.  A new row is completed and has the image's time; an image
     without a lake vector is failed and holds no vectors.  Other rows stay.
     """
-    todo = merges.work_list(images, regions, EMBEDDING_VERSION, "embedding_version").select(*KEYS, "updated_at")
-    vectors = pooling.blended(pooling.pooled(tokens.join(todo, KEYS, "left_semi")), lake_weight)
-    made = todo.join(vectors, KEYS, "left").withColumn("embedding_version", F.lit(EMBEDDING_VERSION))
+    wanted = todo(images, regions).select(*KEYS, "updated_at")
+    vectors = pooling.blended(pooling.pooled(tokens.join(wanted, KEYS, "left_semi")), lake_weight)
+    made = wanted.join(vectors, KEYS, "left").withColumn("embedding_version", F.lit(EMBEDDING_VERSION))
     good = F.col("lake_embedding").isNotNull() & F.col("embedding").isNotNull()
     done = made.withColumns(
         {

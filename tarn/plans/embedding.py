@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarn.constants import INPUT_BANDS, INPUT_MEAN, INPUT_STD
 from tarn.functions.vectors import dot
-from tarn.operators import pooling, runs
+from tarn.operators import pooling, runs, windows
 from tarn.plans.base import query, rounded
 
 
@@ -166,3 +167,74 @@ def embedding_run(spark, images, results, tokens):
     return out.select(
         "lake_id", "year", "status", "embedding_version", (F.round(mark, 3) + 0.0).alias("mark"), F.col("lake_weight").cast("double").alias("lake_weight")
     )
+
+
+_SPREAD = """
+    px AS (SELECT lake_id, year + 21 AS year, r * 5 AS r, c * 5 AS c, (r + c) % 3 = 0 AS lake, (r + c) % 3 = 1 AS shore, valid, {bands} FROM v_bands),
+    ext AS (SELECT lake_id, year, floor(min(r) / 16) * 16 AS r0, ceil((max(r) + 1) / 16) * 16 AS r1, floor(min(c) / 16) * 16 AS c0, ceil((max(c) + 1) / 16) * 16 AS c1
+            FROM px WHERE lake OR shore GROUP BY lake_id, year),
+    blk AS (SELECT lake_id, year, r0 - floor((224 - (r1 - r0)) / 32) * 16 AS r0, c0 - floor((224 - (c1 - c0)) / 32) * 16 AS c0 FROM ext),
+    tok AS (SELECT lake_id, year, CAST(floor((r - r0) / 16) * 14 + floor((c - c0) / 16) AS bigint) AS token_id, px.* EXCLUDE (lake_id, year)
+            FROM px JOIN blk USING (lake_id, year)),
+    fr AS (SELECT lake_id, year, token_id, count(*) FILTER (lake AND valid) / 256.0 AS lf, count(*) FILTER (shore AND valid) / 256.0 AS sf, count(*) FILTER (valid) / 256.0 AS vf,
+                  {sums} FROM tok GROUP BY lake_id, year, token_id),
+    kept AS (SELECT * FROM fr WHERE lf + sf > 0)""".format(
+    bands=", ".join(f"CASE WHEN valid THEN (b{x} - {m}) / {s} END AS b{x}" for x, m, s in zip([b[1:] for b in INPUT_BANDS], INPUT_MEAN, INPUT_STD)),
+    sums=", ".join(f"coalesce(sum({b}), 0) / 256.0 AS v{i}" for i, b in enumerate(INPUT_BANDS)),
+)
+
+
+def spread(pixels):
+    """Pixels five apart, of lake, shore and neither by their place, some years later."""
+    place = (F.col("r") + F.col("c")) % 3
+    masks = {"in_lake": place == 0, "in_shore": place == 1, "year": (F.col("year") + 21).cast("int"), "r": F.col("r") * 5, "c": F.col("c") * 5}
+    return pixels.withColumns(masks)
+
+
+@query(
+    f"""SELECT * FROM (WITH {_SPREAD}
+        SELECT lake_id, CAST(year AS int) AS year, token_id, round(CAST(lf AS double), 6) AS lake_frac, round(CAST(sf AS double), 6) AS shore_frac, round(CAST(vf AS double), 6) AS valid_frac,
+               round({" + ".join(f"v{i} * {i + 1}" for i in range(len(INPUT_BANDS)))}, 3) + 0.0 AS mark FROM kept) z""",
+    "v_bands",
+)
+def dense_windows(spark, pixels):
+    """Tokens of full, centred windows, with a sum over the means of their bands."""
+    tokens = windows.dense_windows(spread(pixels))
+    vectors = pooling.encoded(tokens, windows.band_means)
+    shares = tokens.select("lake_id", "year", "window_id", F.inline(F.arrays_zip("token_ids", *windows.SHARES))).withColumnRenamed("token_ids", "token_id")
+    mark = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    out = vectors.join(shares, ["lake_id", "year", "window_id", "token_id"])
+    cols = [F.round(c, 6).alias(c) for c in windows.SHARES]
+    return out.select("lake_id", "year", F.col("token_id").cast("long").alias("token_id"), *cols, (F.round(mark, 3) + 0.0).alias("mark"))
+
+
+_SIX = range(len(INPUT_BANDS))
+
+
+@query(
+    f"""SELECT * FROM (WITH {_SPREAD},
+        i AS (SELECT *, year + 21 AS y FROM v_images WHERE status = 'merged'),
+        o AS (SELECT *, year + 21 AS y FROM v_results),
+        todo AS (SELECT lake_id, y FROM i WHERE NOT EXISTS (
+            SELECT 1 FROM o WHERE o.lake_id = i.lake_id AND o.y = i.y AND o.status = 'completed' AND o.feature_version = 2 AND o.updated_at >= i.updated_at)),
+        enough AS (SELECT lake_id, year FROM px WHERE lake AND valid GROUP BY lake_id, year HAVING count(*) >= 8),
+        su AS (SELECT lake_id, year, sum(lf) AS lw, sum(sf) AS sw, {", ".join(f"sum(lf * v{k}) AS l{k}, sum(sf * v{k}) AS s{k}" for k in _SIX)} FROM kept JOIN enough USING (lake_id, year) GROUP BY lake_id, year),
+        un AS (SELECT *, sqrt({" + ".join(f"l{k} * l{k}" for k in _SIX)}) AS ln, sqrt({" + ".join(f"s{k} * s{k}" for k in _SIX)}) AS sn FROM su WHERE lw > 0),
+        bl AS (SELECT lake_id, year, sw > 0 AS both_, {", ".join(f"CASE WHEN sw > 0 THEN 0.7 * l{k} / ln + 0.3 * s{k} / sn ELSE l{k} / ln END AS e{k}" for k in _SIX)} FROM un),
+        v AS (SELECT lake_id, year, both_, round(({" + ".join(f"e{k} * {k + 1}" for k in _SIX)}) / sqrt({" + ".join(f"e{k} * e{k}" for k in _SIX)}), 3) + 0.0 AS mark FROM bl)
+        SELECT lake_id, CAST(coalesce(t.y, o.y) AS int) AS year,
+               CASE WHEN t.y IS NULL THEN o.status WHEN mark IS NULL THEN 'failed' ELSE 'completed' END AS status,
+               CASE WHEN t.y IS NOT NULL THEN mark END AS mark,
+               CAST(CASE WHEN t.y IS NOT NULL AND mark IS NOT NULL THEN CASE WHEN both_ THEN 0.7 ELSE 1.0 END END AS double) AS lake_weight
+        FROM o FULL JOIN todo t USING (lake_id, y) LEFT JOIN v ON v.lake_id = t.lake_id AND v.year = t.y) z""",
+    "v_images",
+    "v_results",
+    "v_bands",
+)
+def embedding_run_from_pixels(spark, images, results, pixels):
+    """A whole run from pixels: work list, windows, encoder, pooling, blending and the merge."""
+    later = lambda df: df.withColumn("year", (F.col("year") + 21).cast("int"))
+    regions = later(results).withColumnRenamed("feature_version", "embedding_version")
+    out = windows.embedding_run_from_pixels(later(images), regions, spread(pixels), windows.band_means, least=8)
+    mark = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return out.select("lake_id", "year", "status", (F.round(mark, 3) + 0.0).alias("mark"), F.col("lake_weight").cast("double").alias("lake_weight"))
