@@ -263,16 +263,19 @@ class Aligner:
             return
         if units is not None:
             numbers = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-            if self.exact[numbers].all():
+            if self.all_exact(numbers):
                 yield numbers
                 return
-        elif all(self.exact[self.numbers(part)].all() for part in self.parts(text)):
+        elif all(self.all_exact(self.numbers(part)) for part in self.parts(text)):
             yield from map(self.numbers, self.parts(text))
             return
         whole = self.numbers([" " + text])
-        if self.exact[whole].all():
+        if self.all_exact(whole):
             yield whole
 
+    def all_exact(self, numbers: np.ndarray) -> bool:
+        return bool(self.exact[numbers].all())
+
     def read_all(self, texts: pa.Array) -> Iterator[Iterator[np.ndarray]]:
         """``read`` of each text; units are prepared for some texts at once."""
         first, size, lengths = 0, 0, pc.utf8_length(texts).to_pylist()

@@ -9,15 +9,18 @@ start at every cut point, so they vary in length and overlap.  Chunks are
 deduplicated by a digest of 128 bits: one in more than one document is a repeat.  A
 document's repeated chunks that touch are merged into spans, which are returned.
 
-Cut points are nowhere more than ``WINDOW`` words apart.  With 20 words a chunk, a
-passage of 40 words holds a whole chunk, and of one of 51 words at least 25 lie in
-a span, whatever its words; a span never reaches over the passage.
+Cut points are nowhere more than ``WINDOW`` words apart.  In a passage, those of the
+first two words may depend on the bytes before it and those of the last word on what
+comes after.  With 20 words a chunk, of a passage of 51 words at least 25 lie in a span,
+whatever its words; a span reaches over the passage only where what is around repeats
+as well.
 
 Defined cases: null and empty texts and those of fewer words hold no chunk; rows of
 one id count as one document, so a text that repeats under one id does not repeat;
 rows with a null id are told apart by text, come after all ids, and keep a null
-id; ids are taken to lie within 2**62; words with equal hashes, as in a text of a
-short period, are told apart by place; a long text is read in parts that overlap;
+id; ids are taken to lie within 2**62; of words with equal hashes the next word's
+decides, and of two such places in a window, as in a text of a short period, the later
+one is the cut point; a long text is read in parts that overlap;
 an empty table gives no rows; other columns are ignored, or kept by
 ``without_repeats``.
 """
@@ -37,7 +40,7 @@ from tarn.llm.text_bytes import BLANK, BYTE, GEAR, IS_BLANK, SLICE, mix, powers,
 #: Words on end of which the one with the least hash is a cut point.
 WINDOW = 8
 #: Bytes that the rolling hash remembers, a power of two.
-GEAR_BYTES = 8
+GEAR_BYTES = 4
 #: Words by which the parts of a long text overlap: more than a chunk and two windows.
 OVERLAP = 128
 #: Keys from here on are of rows without an id.
@@ -61,13 +64,14 @@ def cut_points(joined: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> np.n
         rolling[width:] = rolling[width:] + (rolling[:-width] << np.uint32(width))
         width *= 2
     n = len(ends)
-    # Words with equal hashes compete by place, else each would be least in its window.
-    place = mix(np.arange(n, dtype=np.uint64)) & np.uint64(255)
-    ranks = mix(rolling[ends - 1].astype(np.uint64)) & ~np.uint64(255) | place
+    # Of words with equal hashes the next word decides, then the later one comes first:
+    # never the place in the slice, which depends on what else is read.
+    own = mix(rolling[ends - 1].astype(np.uint64)) >> np.uint64(32)
+    ranks = own << np.uint64(32) | np.append(own[1:], np.uint64(0))
     least = np.arange(n)
     for ahead in range(1, WINDOW):
         rival = np.arange(ahead, n)
-        less = ranks[rival] < ranks[least[: n - ahead]]
+        less = ranks[rival] <= ranks[least[: n - ahead]]
         least[: n - ahead][less] = rival[less]
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)
     stays = np.zeros(n, bool)

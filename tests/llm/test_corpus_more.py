@@ -317,3 +317,25 @@ def test_shapes_and_terms():
     assert own.tolist() == [q.LINE, q.UPPER, q.LOWER, q.BLANK, q.LOWER, mark[","], q.BLANK, r, q.BLANK, r, q.BLANK, q.DIGIT, q.LINE]
     text = "Çok güzel. " * 30
     assert q.term_counts(text.encode())[: q.BYTE_TERMS].sum() == len(text.encode()) + 2 - 2
+
+
+# Passages of few different words
+
+
+@pytest.mark.parametrize("vocabulary", [1, 2, 3, 4, 7, 15, 30])
+def test_passages_of_few_words_are_found_in_any_context(vocabulary):
+    from tarn.llm.substring_dedup import chunks
+
+    own = random.Random(vocabulary)
+    for _ in range(150):
+        known = ["".join(own.choice("abcdefgh") for _ in range(own.choice([1, 1, 2, 4, 7]))) for _ in range(vocabulary)]
+        passage = [own.choice(known) for _ in range(own.randint(51, 100))]
+        found = []
+        for k in range(2):
+            before, after = ([own.choice([*known, f"z{k}"]) for _ in range(own.randint(0, 40))] for _ in range(2))
+            _, one, two, _, _, first, last = chunks([" ".join(before + passage + after).encode()], 20)
+            found.append({(a, b): (f - len(before), z + 1 - len(before)) for a, b, f, z in zip(one.tolist(), two.tolist(), first.tolist(), last.tolist())})
+        covered = np.zeros(len(passage), bool)
+        for digest in found[0].keys() & found[1].keys():
+            covered[max(0, found[0][digest][0]) : max(0, found[0][digest][1])] = True
+        assert covered.sum() >= 25
