@@ -319,6 +319,19 @@ def forecast_confidence(chosen: DataFrame, anchor_year: int, method: str, horizo
     )
 
 
+def empty_forecasts(anchors: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """``empty_forecast`` of each (lake_id, anchor_year)."""
+    years = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")
+    return anchors.select("lake_id", "anchor_year", years).select(
+        "lake_id",
+        F.explode(F.array(*map(F.lit, KEYS))).alias("index_name"),
+        (F.col("anchor_year") + F.col("h")).cast("int").alias("forecast_year"),
+        F.lit("uncertain").alias("direction"),
+        F.lit(0.0).alias("weighted_score"),
+        F.lit(0).alias("twins_contributing"),
+    )
+
+
 def empty_forecast(spark, anchor_year: int, horizon: int = HORIZON) -> DataFrame:
     """The forecast without twins: every index and year is uncertain."""
     return spark.range(1, horizon + 1).select(

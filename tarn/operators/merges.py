@@ -11,20 +11,34 @@ from tarn.functions.checks import years_checked
 KEYS = ["lake_id", "year"]
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def merged(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """``old`` with the columns of ``new`` in its rows of the same key, and new rows.
 
     Columns that ``new`` lacks keep their values, and are null in new rows.  Of rows
-    of ``new`` that repeat a key the largest counts.
+    of ``new`` that repeat a key that with the largest ``order`` counts, a column that is
+    not kept; without one, the largest by its columns.
     """
-    others = [c for c in new.columns if c not in keys]
-    fresh = new.groupBy(*keys).agg(F.max(F.struct(*others) if others else F.lit(0)).alias("_new"), F.lit(True).alias("_hit"))
+    others = [c for c in new.columns if c not in (*keys, order)]
+    row = F.struct(*others) if others else F.lit(0)
+    fresh = new.groupBy(*keys).agg((F.max(row) if order is None else F.max_by(row, order)).alias("_new"), F.lit(True).alias("_hit"))
     value = lambda c: F.when(F.col("_hit"), F.col(f"_new.{c}")).otherwise(F.col(c) if c in old.columns else None)
     out = [F.col(c) if c not in others else value(c).alias(c) for c in old.columns]
     out += [value(c).alias(c) for c in others if c not in old.columns]
     return old.join(fresh, keys, "full_outer").select(*out)
 
 
+def with_centres(rows: DataFrame, lakes: DataFrame) -> DataFrame:
+    """``rows`` with the centre of their lake; a lake that is not known is an error.
+
+    A lake without a shape has its pour point instead.
+    """
+    at = lambda axis: F.coalesce(f"center_{axis}", f"pour_{axis}").alias(f"_{axis}")
+    known = lakes.select("lake_id", at("lat"), at("lon"), F.lit(True).alias("_known")).dropDuplicates(["lake_id"])
+    missing = F.raise_error(F.concat(F.lit("lake "), F.col("lake_id").cast("string"), F.lit(" is not known")))
+    value = lambda axis: F.when(F.col("_known").isNull(), missing.cast("double")).otherwise(F.col(f"_{axis}"))
+    return rows.join(known, "lake_id", "left").withColumns({"center_lat": value("lat"), "center_lon": value("lon")}).drop("_known", "_lat", "_lon")
+
+
 def inserted_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` and those rows of ``new`` whose key it lacks; one row a key."""
     return old.unionByName(new.join(old, keys, "left_anti").dropDuplicates(keys))
@@ -148,6 +162,13 @@ def permitted(permissions: DataFrame, key: str, master: str = "master") -> DataF
     return permissions.agg((on(master) & on(key)).alias("allowed"))
 
 
+def permitted_keys(permissions: DataFrame, keys: DataFrame, master: str = "master") -> DataFrame:
+    """``permitted`` for each permission_key of ``keys``."""
+    on = permissions.groupBy("permission_key").agg(F.bool_or("is_enabled").alias("on"))
+    switch = permissions.agg(F.coalesce(F.bool_or(F.when(F.col("permission_key") == master, F.col("is_enabled"))), F.lit(False)).alias("master"))
+    return keys.join(on, "permission_key", "left").join(F.broadcast(switch)).select("permission_key", (F.col("master") & F.coalesce("on", F.lit(False))).alias("allowed"))
+
+
 def run_counters(results: DataFrame, newest: int = 100) -> DataFrame:
     """One row of counts by status, with the newest errors."""
     status = F.col("status")

@@ -157,11 +157,14 @@ def nested_forecast(spark, records, features):
 
 
 @query(
-    """SELECT index_name, CAST(2001 + h AS int) AS forecast_year, 'uncertain' AS direction, CAST(0 AS double) AS weighted_score, 0 AS twins_contributing
-       FROM (VALUES ('ndci'), ('ndvi'), ('ndwi'), ('turbidity'), ('red_edge_slope')) i(index_name), (VALUES (1), (2), (3)) g(h)""",
+    """SELECT lake_id, index_name, CAST(y + h AS int) AS forecast_year, 'uncertain' AS direction, CAST(0 AS double) AS weighted_score, 0 AS twins_contributing
+       FROM (SELECT lake_id, max(year) AS y FROM v_features GROUP BY lake_id) a,
+            (VALUES ('ndci'), ('ndvi'), ('ndwi'), ('turbidity'), ('red_edge_slope')) i(index_name), (VALUES (1), (2), (3)) g(h)""",
+    "v_features",
 )
-def empty_forecast(spark):
-    return fc.empty_forecast(spark, 2001)
+def empty_forecast(spark, features):
+    """What every site is told when it has no twins, from its latest year on."""
+    return fc.empty_forecasts(features.groupBy("lake_id").agg(F.max("year").alias("anchor_year")))
 
 
 _EMB = f"""

@@ -173,7 +173,10 @@ def wkt_round_trip(spark, sites):
 
 def shared_folder(spark) -> str:
     """A new folder that all executors see: beside the checkpoints, or a temporary one of a local session."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or (tempfile.gettempdir() if context.master.startswith("local[") or context.master == "local" else None)
+    if root is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{root.removeprefix('file://')}/shapes-{uuid.uuid4().hex}"
 
 

@@ -144,15 +144,17 @@ def lake_year_jobs(spark, sites):
     return merges.jobs(sites, [2020, 2019, 2021, 2020])
 
 
-@query("SELECT * FROM (VALUES ('imagery', true), ('features', false), ('unknown', false)) v(permission_key, allowed)")
-def permission_gate(spark):
-    rows = [("master", True), ("imagery", True), ("features", False)]
-    table = spark.createDataFrame(rows, "permission_key string, is_enabled boolean")
-    out = None
-    for key in ("imagery", "features", "unknown"):
-        one = merges.permitted(table, key).select(F.lit(key).alias("permission_key"), "allowed")
-        out = one if out is None else out.unionByName(one)
-    return out
+@query(
+    """SELECT k AS permission_key, coalesce((SELECT bool_or(is_active) FROM v_lakes WHERE state = 'BRAZIL'), false)
+              AND coalesce((SELECT bool_or(is_active) FROM v_lakes WHERE state = k), false) AS allowed
+       FROM (SELECT DISTINCT state AS k FROM v_lakes UNION ALL SELECT 'unknown') t""",
+    "v_lakes",
+)
+def permission_gate(spark, sites):
+    """Permissions by state, on where a site is active; one of them is the master switch."""
+    table = sites.select(F.col("state").alias("permission_key"), F.col("is_active").alias("is_enabled"))
+    keys = table.select("permission_key").distinct().unionByName(spark.createDataFrame([("unknown",)], "permission_key string"))
+    return merges.permitted_keys(table, keys, master="BRAZIL")
 
 
 @query(
@@ -254,3 +256,20 @@ def json_recordset(spark, images):
     """Rows sent as JSON text, some hundred sites to a text, and opened again."""
     sent = images.groupBy("year", F.floor(F.col("lake_id") / 500).alias("part")).agg(F.to_json(F.collect_list(F.struct("lake_id", "year"))).alias("rows"))
     return recordset(sent, "rows", "lake_id:bigint,year:int")
+
+
+@query(
+    """SELECT coalesce(n.lake_id, o.lake_id) AS lake_id, coalesce(n.year, o.year) AS year, CASE WHEN n.lake_id IS NOT NULL THEN n.status ELSE o.status END AS status,
+              n.center_lat, n.center_lon
+       FROM v_results o FULL JOIN (
+           SELECT i.lake_id, i.year, i.status, coalesce(l.center_lat, l.pour_lat) AS center_lat, coalesce(l.center_lon, l.pour_lon) AS center_lon
+           FROM v_images i JOIN v_lakes l ON l.lake_id = i.lake_id WHERE i.lake_id % 2 = 1) n ON n.lake_id = o.lake_id AND n.year = o.year""",
+    "v_results",
+    "v_images",
+    "v_lakes",
+)
+def region_upsert(spark, results, images, lakes):
+    """Rows that take their lake's centre; of two writes of a row the later one counts."""
+    new = images.where("lake_id % 2 = 1").join(lakes.select("lake_id"), "lake_id", "left_semi").select("lake_id", "year", "status")
+    twice = new.withColumns({"status": F.lit("first"), "written": F.lit(1)}).unionByName(new.withColumn("written", F.lit(2)))
+    return merges.merged(results.select("lake_id", "year", "status"), merges.with_centres(twice, lakes), ["lake_id", "year"], "written")

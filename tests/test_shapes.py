@@ -199,3 +199,13 @@ def test_pairs_of_levels_across_blocks(monkeypatch):
                 key = (k, v, level[r + dy, c + dx])
                 want[key] = want.get(key, 0) + 1
     assert found == want
+
+
+def test_rows_of_unknown_lakes_are_an_error(spark):
+    from tarn.operators.merges import with_centres
+
+    lakes = spark.createDataFrame([(1, 2.0, None, 3.0, 4.0)], "lake_id long, center_lat double, center_lon double, pour_lat double, pour_lon double")
+    rows = spark.createDataFrame([(1,), (9,)], "lake_id long")
+    assert tuple(with_centres(rows.where("lake_id = 1"), lakes).first()) == (1, 2.0, 4.0)
+    with pytest.raises(Exception, match="lake 9 is not known"):
+        with_centres(rows, lakes).collect()
