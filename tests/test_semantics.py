@@ -522,12 +522,12 @@ def test_state_boundaries(spark, tmp_path):
     ]
     (tmp_path / "states.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
     states = state_boundaries(spark, str(tmp_path / "states.geojson"))
-    assert sorted((r.area_name, r.ring[0].lon) for r in states.collect()) == [("Bihar", 0.0), ("Goa", 2.0), ("Goa", 4.0)]
+    assert sorted((r.area_name, p[0][0].lon) for r in states.collect() for p in r.polygons) == [("Bihar", 0.0), ("Goa", 2.0), ("Goa", 4.0)]
     sites = spark.createDataFrame([(1, 0.5, 0.5), (2, 4.5, 0.5), (3, 6.5, 0.5)], "lake_id long, center_lon double, center_lat double")
     assert {r.lake_id: r.area_name for r in attributed(sites, states).collect()} == {1: "Bihar", 2: "Goa", 3: None}
     (tmp_path / "none.json").write_text('{"features": []}')
-    for name in ("none.json", "states.shp"):
-        with pytest.raises(ValueError):
+    for name, error in (("none.json", ValueError), ("states.kml", ValueError), ("states.shp", FileNotFoundError)):
+        with pytest.raises(error):
             state_boundaries(spark, str(tmp_path / name))
 
 
