@@ -187,7 +187,7 @@ def ranked_by_distance(sites: DataFrame, lat: float, lon: float) -> DataFrame:
     )
 
 
-#: Attributes of a lake in a shapefile, in lower case: the first that has a value counts.
+#: Attributes of a lake in a shapefile, in lower case; the first that has a value counts.
 LAKE_FIELDS = {
     "lake_id": ("hylak_id", "lake_id", "id"),
     "lake_name": ("lake_name", "name"),
