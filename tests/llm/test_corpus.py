@@ -919,7 +919,7 @@ def test_oracle(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)
