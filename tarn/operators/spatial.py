@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.constants import BUFFER_M, LATITUDES, LONGITUDES, TILE_M
 from tarn.functions.checks import within
-from tarn.functions.geo import bounds, centroid, covers, haversine_km, mercator_6933
+from tarn.functions.geo import bounds, centroid, covers, haversine, haversine_km, mercator_6933
 from tarn.functions.text import display_name, without_accents
 from tarn.operators.geometry import located
 from tarn.operators.merges import merged
@@ -181,10 +181,13 @@ def storage_estimate(sites: DataFrame, buffer_m: float = BUFFER_M) -> DataFrame:
 
 
 def ranked_by_distance(sites: DataFrame, lat: float, lon: float) -> DataFrame:
-    km = haversine_km(F.lit(lat), F.lit(lon), F.col("center_lat"), F.col("center_lon"))
-    return sites.withColumn("distance_km", km).withColumn(
-        "place", F.row_number().over(Window.partitionBy("country").orderBy("distance_km", "lake_id"))
-    )
+    """``sites`` with distance_km and their place in their country.
+
+    Places go by the haversine, as kilometres of different ones may be one double.
+    """
+    way = (F.lit(lat), F.lit(lon), F.col("center_lat"), F.col("center_lon"))
+    place = F.row_number().over(Window.partitionBy("country").orderBy("_h", "lake_id"))
+    return sites.withColumns({"distance_km": haversine_km(*way), "_h": haversine(*way)}).withColumn("place", place).drop("_h")
 
 
 #: Attributes of a lake in a shapefile, in lower case; the first that has a value counts.
