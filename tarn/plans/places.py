@@ -140,14 +140,15 @@ def shore_ring(spark, pixels):
     "v_lakes",
 )
 def polygon_tiles(spark, sites):
-    """Tiles of a grid that a diamond around each site reaches; its SQL measures the way to the tile."""
-    known = sites.where("center_lon IS NOT NULL").withColumn("reach", 1 + F.col("lake_id") % 4)
-    corner = lambda dx, dy: F.struct(
-        (F.col("center_lon") + dx * F.col("reach")).alias("lon"), (F.col("center_lat") + dy * F.col("reach")).alias("lat")
-    )
+    """Tiles of a grid that a diamond around each site reaches; its SQL measures the way to the tile.
+
+    Places count from the site, so that the diamond's corners are exact and a tile that just touches it is told.
+    """
+    known = sites.where("center_lon IS NOT NULL").withColumn("reach", (1 + F.col("lake_id") % 4).cast("double"))
+    corner = lambda dx, dy: F.struct((dx * F.col("reach")).alias("lon"), (dy * F.col("reach")).alias("lat"))
     rings = known.select("lake_id", F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1), corner(1, 0)).alias("ring"))
     four = F.sequence(F.lit(0), F.lit(3))
-    low = {"min_x": F.floor("center_lon") - 6 + F.col("i") * 3, "min_y": F.floor("center_lat") - 6 + F.col("j") * 3}
+    low = {"min_x": F.floor("center_lon") - 6 + F.col("i") * 3 - F.col("center_lon"), "min_y": F.floor("center_lat") - 6 + F.col("j") * 3 - F.col("center_lat")}
     tiles = (
         known.withColumn("i", F.explode(four)).withColumn("j", F.explode(four)).withColumns(low)
         .select("lake_id", F.concat_ws("_", "i", "j").alias("tile_index"), "min_x", "min_y",

@@ -46,3 +46,8 @@ def suppliers(keys: str, balance: str = "100.0") -> str:
 def test_places_by_distance_where_kilometres_tie(agrees):
     """Sites 37950 and 45050 have one distance in kilometres, but not one haversine."""
     assert agrees("distance_ranks", supplier=suppliers("VALUES (37950), (45050), (12)"))
+
+
+def test_tiles_that_a_polygon_just_touches(agrees):
+    """The corner of a tile lies on a side of site 2651's diamond."""
+    assert agrees("polygon_tiles", supplier=suppliers("VALUES (2651), (13151), (9)"))[2651, "0_1"] == 1
