@@ -51,3 +51,9 @@ def test_places_by_distance_where_kilometres_tie(agrees):
 def test_tiles_that_a_polygon_just_touches(agrees):
     """The corner of a tile lies on a side of site 2651's diamond."""
     assert agrees("polygon_tiles", supplier=suppliers("VALUES (2651), (13151), (9)"))[2651, "0_1"] == 1
+
+
+def test_areas_at_half_a_hundredth(agrees):
+    """1002.5 / 500 is just under 2.005 as a double; the SQL rounds it down."""
+    found = agrees("report_units", supplier=suppliers("SELECT range FROM range(1, 400)", "k * 5 + 2.5"))
+    assert any("2.00 km²" in row for row in found)
