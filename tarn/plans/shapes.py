@@ -131,7 +131,8 @@ def tile_plan_areas(spark, sites):
 )
 def tile_plan_pending(spark, sites):
     """From polygons to the tiles that are still to be loaded, some of them being there."""
-    box = geo.bbox_wkt(F.struct(*(F.col(c).alias(n) for n, c in (("min_lat", "south"), ("min_lon", "west"), ("max_lat", "north"), ("max_lon", "east")))))
+    on_globe = lambda c: F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col(c)))
+    box = geo.bbox_wkt(F.struct(on_globe("south").alias("min_lat"), F.col("west").alias("min_lon"), on_globe("north").alias("max_lat"), F.col("east").alias("max_lon")))
     plan = geometry.tiles_of(plan_shapes(sites)).select("lake_id", F.lit(2020).alias("year"), "tile_index", box.alias("bbox"))
     done = plan.where("lake_id % 3 = 0 AND tile_index LIKE '0%'").withColumns({"status": F.lit("COMPLETED"), "image_path": F.lit("/data/tile.tif")})
     return merges.pending_tiles(merges.tiles_after_plan(done, plan)).select("lake_id", "year", "tile_index")

@@ -57,3 +57,8 @@ def test_areas_at_half_a_hundredth(agrees):
     """1002.5 / 500 is just under 2.005 as a double; the SQL rounds it down."""
     found = agrees("report_units", supplier=suppliers("SELECT range FROM range(1, 400)", "k * 5 + 2.5"))
     assert any("2.00 km²" in row for row in found)
+
+
+def test_tiles_beyond_a_pole_lead_back(agrees):
+    """Diamonds whose corners lie beyond the grid's end, north and south."""
+    assert len(agrees("tile_plan", supplier=suppliers("VALUES (689), (827), (643), (46), (1746), (5)"))) > 20
