@@ -25,6 +25,10 @@ SIDES, MOST_SIDES = 8, 32
 FINEST, FINER = 20, 5
 
 
+#: Parts for each core into which shapes are dealt for work on one at a time.
+PARTS = 4
+
+
 def rows_spanned(side: Column, top: Column, step: Column, most: Column) -> Column:
     """Numbers of the lines that a side may cross; line i is at top - (i + 1/2) step."""
     low, high = F.least(side["a"]["lat"], side["b"]["lat"]), F.greatest(side["a"]["lat"], side["b"]["lat"])
@@ -84,6 +88,14 @@ def in_degrees(shapes: DataFrame) -> DataFrame:
     return shapes.withColumn("polygons", geo.mapped_points(F.col("polygons"), geo.to_degrees))
 
 
+def dealt(shapes: DataFrame) -> DataFrame:
+    """``shapes`` over all cores, some parts each: their bytes say little of the work that they make.
+
+    A table of few bytes is one partition, and so would be one task.
+    """
+    return shapes.repartition(PARTS * shapes.sparkSession.sparkContext.defaultParallelism)
+
+
 def buffered(shapes: DataFrame, distance: float = BUFFER_M, tolerance: float = SCALE_M) -> DataFrame:
     """``shapes``, in metres, with all that is within ``distance`` of them.
 
@@ -106,7 +118,7 @@ def buffered(shapes: DataFrame, distance: float = BUFFER_M, tolerance: float = S
                 made = pa.array([None if rings is None else widen(rings)], batch.schema.field(place).type)
                 yield row.set_column(place, batch.schema.field(place), made)
 
-    typed = shapes.withColumn("polygons", F.col("polygons").cast(POLYGONS))
+    typed = dealt(shapes.withColumn("polygons", F.col("polygons").cast(POLYGONS)))
     return typed.mapInArrow(read, typed.schema)
 
 
@@ -153,7 +165,7 @@ def tiles_of(shapes: DataFrame, tile_m: float = TILE_M) -> DataFrame:
     piece = geo.clipped_polygons(F.col("strip"), "lat", F.col("y0"), F.col("y1"))
     corner = lambda x, y: geo.from_mercator_6933(F.col(f"cover.{x}"), F.col(f"cover.{y}"))
     return (
-        shapes.where(F.size(F.flatten(F.flatten("polygons"))) > 0)
+        dealt(shapes.where(F.size(F.flatten(F.flatten("polygons"))) > 0))
         .select("lake_id", "polygons", F.inline(F.array(box)))
         .withColumn("col", F.explode(steps("west", "east")))
         .withColumns({"x0": F.col("west") + F.col("col") * tile_m, "x1": F.col("west") + (F.col("col") + 1) * tile_m})

@@ -209,3 +209,10 @@ def test_rows_of_unknown_lakes_are_an_error(spark):
     assert tuple(with_centres(rows.where("lake_id = 1"), lakes).first()) == (1, 2.0, 4.0)
     with pytest.raises(Exception, match="lake 9 is not known"):
         with_centres(rows, lakes).collect()
+
+
+def test_shapes_of_one_file_are_dealt_to_many_tasks(spark, areas):
+    shapes = geometry.in_metres(areas.where("area_name = 'B'").withColumn("lake_id", F.lit(1))).crossJoin(spark.range(64)).coalesce(1)
+    for found in (geometry.buffered(shapes), geometry.tiles_of(shapes)):
+        used = found.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert used >= spark.sparkContext.defaultParallelism
