@@ -62,3 +62,10 @@ def test_areas_at_half_a_hundredth(agrees):
 def test_tiles_beyond_a_pole_lead_back(agrees):
     """Diamonds whose corners lie beyond the grid's end, north and south."""
     assert len(agrees("tile_plan", supplier=suppliers("VALUES (689), (827), (643), (46), (1746), (5)"))) > 20
+
+
+@pytest.mark.parametrize("name", ["index_statistics", "band_statistics"])
+def test_pixels_are_shuffled_once_by_site_and_year(spark, name):
+    """Rows lie by site and year from the first, so the statistics add no shuffle of pixels."""
+    plan = QUERIES[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
