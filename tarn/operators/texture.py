@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.constants import TEXTURE_BAND, TEXTURE_LEVELS, TEXTURE_OFFSETS
@@ -61,12 +61,13 @@ def block_counts(rows: np.ndarray, offsets) -> Iterator[np.ndarray]:
             yield np.column_stack((names[own][hit][first], np.full(len(n), k), codes // RADIX % RADIX, codes % RADIX, n))
 
 
-def cooccurrences(levels: DataFrame, offsets=TEXTURE_OFFSETS) -> DataFrame:
-    """(lake_id, year, offset, i, j, p): symmetric shares of pairs at an offset.
+def pair_counts(levels: DataFrame, offsets=TEXTURE_OFFSETS) -> DataFrame:
+    """(lake_id, year, offset, i, j, n): how many pairs at an offset have levels i <= j, in either order.
 
     Pixels go to square blocks of ``BLOCK`` a side, with a border of one pixel, and are
     counted there, so only counts of pairs of levels go on.  A task holds the blocks
-    that end in an Arrow batch, and one that does not.
+    that end in an Arrow batch, and one that does not.  Counts are shuffled once, by
+    site and year; what follows by site and year adds no shuffle, sort or window.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,41 +86,48 @@ def cooccurrences(levels: DataFrame, offsets=TEXTURE_OFFSETS) -> DataFrame:
         if len(held):
             yield from counted(held)
 
-    i, j = F.col("i").cast("int"), F.col("j").cast("int")
-    both = F.array(F.struct(i.alias("i"), j.alias("j")), F.struct(j.alias("i"), i.alias("j")))
-    counted = (
+    i, j = F.least("i", "j").cast("int"), F.greatest("i", "j").cast("int")
+    return (
         in_blocks(levels)
         .repartition(*ORDER[:4])
         .sortWithinPartitions(*ORDER[:4])
         .mapInArrow(read, "lake_id long, year long, offset long, i long, j long, n long")
-        .select("lake_id", F.col("year").cast("int").alias("year"), "offset", "n", F.inline(both))
+        .select("lake_id", *(F.col(x).cast("int").alias(x) for x in ("year", "offset")), i.alias("i"), j.alias("j"), "n")
+        .repartition(*KEYS)
         .groupBy(*KEYS, "offset", "i", "j")
         .agg(F.sum("n").alias("n"))
     )
-    whole = Window.partitionBy(*KEYS, "offset")
-    return counted.withColumn("p", F.col("n") / F.sum("n").over(whole))
 
 
 def texture(pixels: DataFrame, band: str = TEXTURE_BAND, levels: int = TEXTURE_LEVELS) -> DataFrame:
     """Six texture properties, averaged over the orientations that have pairs.
 
-    Sites without four valid pixels, or without a pair, have no row.
+    Sites without four valid pixels, or without a pair, have no row.  The share of a
+    pair of levels, both ways round, is its count in the whole; a pair of equal levels
+    is its own other way round, so it counts double there.
     """
-    i, j, p = F.col("i"), F.col("j"), F.col("p")
-    gap = F.abs(i - j)
+    i, j, gap = F.col("i"), F.col("j"), F.col("j") - F.col("i")
+    same = i == j
+    cell, cells = F.when(same, 2 * F.col("n")).otherwise(F.col("n")), F.when(same, 1).otherwise(2)
+    over = lambda value: F.sum(cells * cell * value)
+    whole = F.col("whole")
+    sums = {
+        "contrast": over(gap * gap),
+        "dissimilarity": over(gap),
+        "homogeneity": over(1 / (1 + gap * gap)),
+        "energy": over(cell.cast("double")),
+        "entropy": over(F.log2(cell)),
+        "mean": over((i + j) / 2),
+        "square": over((i * i + j * j) / 2),
+        "product": over(i * j),
+    }
+    shares = {name: F.col(name) / whole for name in sums}
+    shares |= {"energy": F.col("energy") / whole / whole, "entropy": F.log2(whole) - F.col("entropy") / whole}
     of_offset = (
-        cooccurrences(quantised(pixels, band, levels))
+        pair_counts(quantised(pixels, band, levels))
         .groupBy(*KEYS, "offset")
-        .agg(
-            F.sum(gap * gap * p).alias("contrast"),
-            F.sum(gap * p).alias("dissimilarity"),
-            F.sum(p / (1 + gap * gap)).alias("homogeneity"),
-            F.sum(p * p).alias("energy"),
-            (-F.sum(p * F.log2(p))).alias("entropy"),
-            F.sum(i * p).alias("mean"),
-            F.sum(i * i * p).alias("square"),
-            F.sum(i * j * p).alias("product"),
-        )
+        .agg(F.sum(cells * cell).alias("whole"), *(s.alias(name) for name, s in sums.items()))
+        .withColumns(shares)
         .withColumn("variance", F.col("square") - F.col("mean") * F.col("mean"))
     )
     wide = F.col("variance") > 1e-12
