@@ -115,6 +115,28 @@ def analogs(
     )
 
 
+#: Pairs of a query and a site that are scored by differences at once.
+PAIRS = 4096
+
+
+def near_scores(records: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, float]:
+    """Euclidean similarity of each record with each query by one matrix product, and how far it may be off.
+
+    A square of lengths is off by its rounding, so a distance by that one's root at
+    most.  Infinite where squares are no numbers.
+    """
+    ours, theirs = (records**2).sum(axis=1), (queries**2).sum(axis=1)
+    most = max(ours.max(initial=0), theirs.max(initial=0))
+    if not np.isfinite(most):
+        return np.zeros((len(records), len(queries))), np.inf
+    square = ours[:, None] + theirs[None, :]
+    square -= 2 * (records @ queries.T)
+    np.sqrt(np.maximum(square, 0, out=square), out=square)
+    square += 1
+    off = np.sqrt(8 * (records.shape[1] + 4) * np.finfo(float).eps * most) + 10.0**-DIGITS
+    return np.divide(1, square, out=square), float(off)
+
+
 def block_scores(records: np.ndarray, queries: np.ndarray, method: str) -> np.ndarray:
     """Similarity of each record with each query vector, to ``DIGITS`` places.
 
@@ -130,41 +152,81 @@ def block_scores(records: np.ndarray, queries: np.ndarray, method: str) -> np.nd
     return np.round(out, DIGITS)
 
 
+def spread_rows(rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Rows at the places that ``mask`` marks, NaN elsewhere."""
+    out = np.full((len(mask), rows.shape[1]), np.nan)
+    out[mask] = rows
+    return out
+
+
+def exact_windows(records: np.ndarray, queries: np.ndarray, first: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean scores of windows that start at records ``first`` against trajectories ``query``, by differences."""
+    added = np.zeros(len(first))
+    for k in range(WINDOW):
+        gap = records[first + k] - queries[query * WINDOW + k]
+        added += np.round(1 / (1 + np.sqrt((gap**2).sum(axis=1))), DIGITS)
+    return added / WINDOW
+
+
 def best_of_block(method: str, top_k: int):
-    """Of one block of queries, the best sites of one block of sites."""
+    """Of one block of queries, the best sites of one block of sites.
+
+    Distances come from one matrix product; sites that may then be among the best are
+    scored anew by differences, so that equal vectors tie.
+    """
 
     def search(sites: pa.Table, queries: pa.Table) -> pa.Table:
         names = ("query_id", "lake_id", "start_year", "end_year", "raw_score")
-        out: list[tuple] = []
+        out, found = [], []
         if len(sites) and len(queries):
             sites = sites.sort_by([("lake_id", "ascending"), ("year", "ascending")])
             queries = queries.sort_by([("query_id", "ascending"), ("asked_year", "ascending")])
             width = len(queries.column("vector")[0])
             mask, rows = matrix(sites.column("embedding").combine_chunks(), width)
             asked, vectors = matrix(queries.column("vector").combine_chunks(), width)
-            scores = np.full((len(sites), len(queries)), np.nan)
-            scores[np.ix_(mask, asked)] = block_scores(rows, vectors, method)
+            scores, off = np.full((len(sites), len(queries)), np.nan), 0.0
+            if method == "euclidean":
+                scores[np.ix_(mask, asked)], off = near_scores(rows, vectors)
+            else:
+                scores[np.ix_(mask, asked)] = block_scores(rows, vectors, method)
             site, year = sites.column("lake_id").to_numpy(), sites.column("year").to_numpy()
             query = queries.column("query_id").to_numpy()[::WINDOW]
-            last = len(sites) - WINDOW + 1
+            last = max(len(sites) - WINDOW + 1, 0)
             added = sum(scores[k : last + k, k::WINDOW] for k in range(WINDOW)) / WINDOW
             whole = np.flatnonzero(site[:last] == site[WINDOW - 1 :])
             added = added[whole]
             firsts = np.flatnonzero(np.concatenate(([True], np.diff(site[whole]) != 0))) if len(whole) else whole
             if len(whole):
                 best = np.fmax.reduceat(added, firsts, axis=0)
-                which = np.repeat(np.arange(len(firsts)), np.diff(firsts, append=len(whole)))
-                place = np.where(added == best[which], np.arange(len(whole))[:, None], len(whole))
-                place = whole[np.minimum(np.minimum.reduceat(place, firsts, axis=0), len(whole) - 1)]
                 own = site[whole[firsts]]
                 floor = 0.0 if method == "euclidean" else SIMILARITY_FLOOR
-                shown = np.clip((best - floor) / (1 - floor), 0, 1)
-                for j, q in enumerate(query):
-                    order = np.lexsort((own, -shown[:, j]))
-                    for i in [i for i in order if own[i] != q and not np.isnan(best[i, j])][:top_k]:
-                        at = place[i, j]
-                        out.append((q, own[i], year[at], year[at + WINDOW - 1], best[i, j]))
-        columns = list(zip(*out)) or [()] * 5
+                if method == "euclidean":
+                    spread = [spread_rows(v, m) for v, m in ((rows, mask), (vectors, asked))]
+                    score = lambda i, j: exact_windows(*spread, i, j)
+                else:
+                    score = lambda i, j: added[np.searchsorted(whole, i), j]
+                able = np.where(np.isnan(best) | (own[:, None] == query[None, :]), -np.inf, np.clip((best - floor) / (1 - floor), 0, 1))
+                kth = np.partition(able, -min(top_k, len(own)), axis=0)[-min(top_k, len(own))]
+                which, asking = np.nonzero((able >= kth - 2 * off) & (able > -np.inf))
+                ends = np.append(firsts[1:], len(whole))
+                for first in range(0, len(which), PAIRS):
+                    i, j = which[first : first + PAIRS], asking[first : first + PAIRS]
+                    n = ends[i] - firsts[i]
+                    starts = np.cumsum(n) - n
+                    at = whole[np.repeat(firsts[i] - starts, n) + np.arange(n.sum())]
+                    raw = score(at, np.repeat(j, n))
+                    top = np.fmax.reduceat(raw, starts)
+                    place = np.minimum.reduceat(np.where(raw == np.repeat(top, n), at, len(site)), starts)
+                    real = ~np.isnan(top)
+                    i, j, top, place = i[real], j[real], top[real], place[real]
+                    found.append((query[j], own[i], year[place], year[place + WINDOW - 1], top, np.clip((top - floor) / (1 - floor), 0, 1)))
+        if found:
+            query, own, start, end, raw, shown = map(np.concatenate, zip(*found))
+            order = np.lexsort((own, -shown, query))
+            place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            kept = order[place < top_k]
+            out = [c[kept] for c in (query, own, start, end, raw)]
+        columns = out or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds)})
 

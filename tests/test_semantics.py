@@ -555,3 +555,28 @@ def test_nearest_to_each_agrees_with_one_by_one(spark, monkeypatch, method):
         order = sorted(((-round(w.score, 9), w.vec_id) for w in want))[:7]
         assert [(-round(s, 9), i) for _, i, s in got] == order
     assert nearest_to_each(vectors.limit(0), vectors, method).count() == 0
+
+
+def test_search_of_all_scores_few_pairs_one_by_one(spark, monkeypatch):
+    """Equal and nearly equal sites, in blocks; no query vector meets all records by differences."""
+    import pyarrow as pa
+    from tarn.operators import trajectories as tr
+
+    rng = np.random.default_rng(3)
+    shapes = rng.normal(size=(12, 7, 16)).astype(np.float32)
+    site = np.repeat(np.arange(60), 7)
+    vectors = np.concatenate([shapes[s % 12] + (1e-4 if s % 5 == 0 else 0) for s in range(60)]).astype(np.float32)
+    year = np.tile(np.arange(2010, 2017, dtype=np.int32), 60)
+    sites = pa.table({"lake_id": site, "year": year, "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    recent = year >= 2012
+    queries = pa.table({"query_id": site[recent], "asked_year": year[recent], "vector": pa.array(list(vectors[recent]), pa.list_(pa.float32()))})
+    rows = vectors.astype(float).reshape(60, 7, 16)
+    each = np.round(1 / (1 + np.sqrt(((rows[None, :, :, None] - rows[:, None, None, 2:]) ** 2).sum(axis=4))), tr.DIGITS)
+    raw = np.stack([sum(each[:, :, w + k, k] for k in range(5)) / 5 for w in range(3)], axis=2)
+    monkeypatch.setattr(tr, "pair_scores", lambda *_: pytest.fail("all records met a query vector"))
+    monkeypatch.setattr(tr, "PAIRS", 50)
+    found = tr.best_of_block("euclidean", 5)(sites, queries).to_pylist()
+    for q in range(60):
+        order = sorted((-raw[q, s].max(), s) for s in range(60) if s != q)[:5]
+        got = [(r["lake_id"], r["start_year"], r["raw_score"]) for r in found if r["query_id"] == q]
+        assert got == [(s, 2010 + int(raw[q, s].argmax()), -score) for score, s in order]
