@@ -251,10 +251,10 @@ def composite(
     )
 
 
-def standardised(pixels: DataFrame) -> DataFrame:
-    """The encoder's input bands, centred and scaled; a missing value becomes the mean."""
+def standardised(pixels: DataFrame, *besides: Column) -> DataFrame:
+    """The encoder's input bands, centred and scaled; a missing value becomes the mean.  ``besides`` go along."""
     value = lambda b, m, s: F.coalesce((F.col(b) - m) / s, F.lit(0.0)).alias(b)
-    return pixels.select(*KEYS, "r", "c", *map(value, INPUT_BANDS, INPUT_MEAN, INPUT_STD))
+    return pixels.select(*KEYS, "r", "c", *map(value, INPUT_BANDS, INPUT_MEAN, INPUT_STD), *besides)
 
 
 def token_windows(pixels: DataFrame) -> DataFrame:

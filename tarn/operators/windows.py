@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.constants import INPUT_BANDS, LAKE_WEIGHT, MIN_LAKE_PIXELS, TOKEN_PX, WINDOW_PX
-from tarn.operators import pooling, runs
+from tarn.operators import runs
 from tarn.operators.pixels import standardised
 
 KEYS = ["lake_id", "year"]
@@ -30,25 +30,16 @@ def centred(low: Column, high: Column) -> tuple[Column, Column]:
     return first - F.floor((n * WINDOW_PX - (end - first)) / (2 * TOKEN_PX)) * TOKEN_PX, n
 
 
-def dense_windows(pixels: DataFrame) -> DataFrame:
-    """Windows of a site and year that hold valid pixels of its lake or shore.
-
-    ``pixels`` has lake_id, year, r, c, the input bands, in_lake, in_shore and valid.
-    The block of windows is centred on lake and shore.  A window has ``pixels``, a flat
-    array by band, row and column, standardised, 0 where a pixel is invalid or missing;
-    ``token_ids`` of the tokens that hold valid pixels of lake or shore; and for each of
-    those the shares of its pixels that are valid lake, valid shore and valid.  Pixels
-    outside the block are left out.  A task holds one window at a time.
-    """
+def placed(pixels: DataFrame) -> DataFrame:
+    """Pixels of ``dense_windows`` with their window and place in it, side by side by window."""
     near = pixels.where("in_lake OR in_shore").groupBy(KEYS).agg(*(f(x).alias(f"{n}_{x}") for x in "rc" for n, f in (("low", F.min), ("high", F.max))))
     blocks = {x: centred(F.col(f"low_{x}"), F.col(f"high_{x}")) for x in "rc"}
     blocks = near.select(*KEYS, *(v.alias(f"{n}_{x}") for x, pair in blocks.items() for n, v in zip(("first", "n"), pair)))
-    masks = pixels.select(*KEYS, "r", "c", *(F.coalesce(F.col(m), F.lit(False)).alias(m) for m in ("in_lake", "in_shore", "valid")))
+    masks = [F.coalesce(F.col(m), F.lit(False)).alias(m) for m in ("in_lake", "in_shore", "valid")]
     within = lambda x: (F.col(x) >= F.col(f"first_{x}")) & (F.col(x) < F.col(f"first_{x}") + F.col(f"n_{x}") * WINDOW_PX)
     value = lambda b: F.when(F.col("valid"), F.col(b)).otherwise(0.0).alias(b)
     dealt = (
-        standardised(pixels)
-        .join(masks, [*KEYS, "r", "c"])
+        standardised(pixels, *masks)
         .join(blocks, KEYS)
         .where(within("r") & within("c"))
         .withColumns({x: F.col(x) - F.col(f"first_{x}") for x in "rc"})
@@ -62,8 +53,21 @@ def dense_windows(pixels: DataFrame) -> DataFrame:
         )
         .toDF(*PLACE, "place", *SHARES, *INPUT_BANDS, "n_c")
     )
+    return dealt.repartition(*PLACE).sortWithinPartitions(*PLACE)
+
+
+def dense_windows(pixels: DataFrame) -> DataFrame:
+    """Windows of a site and year that hold valid pixels of its lake or shore.
+
+    ``pixels`` has lake_id, year, r, c, the input bands, in_lake, in_shore and valid.
+    The block of windows is centred on lake and shore.  A window has ``pixels``, a flat
+    array by band, row and column, standardised, 0 where a pixel is invalid or missing;
+    ``token_ids`` of the tokens that hold valid pixels of lake or shore; and for each of
+    those the shares of its pixels that are valid lake, valid shore and valid.  Pixels
+    outside the block are left out.  A task holds one window at a time.
+    """
     columns = "lake_id long, year int, window_id long, pixels array<float>, token_ids array<int>, lake_frac array<double>, shore_frac array<double>, valid_frac array<double>"
-    return dealt.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(assembled, columns)
+    return placed(pixels).mapInArrow(assembled, columns)
 
 
 def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +101,28 @@ def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(arrays)
 
 
-def encoded_tokens(windows: DataFrame, encode: Callable) -> DataFrame:
-    """Tokens of dense windows with their shares and vectors, as pooling reads them.
+def dense_tokens(pixels: DataFrame, encode: Callable, batch: int = 64) -> DataFrame:
+    """Tokens of the windows of ``dense_windows`` with their shares and vectors.
 
-    Their shares of lake and shore count valid pixels only, so a token's valid share
-    does not weigh in once more.
+    Windows are encoded where they are put together, ``batch`` at a time, so that no
+    array of a window's pixels leaves its task.  ``encode`` is as for ``pooling.encoded``.
     """
-    shares = windows.select(*KEYS, "window_id", F.inline(F.arrays_zip("token_ids", "lake_frac", "shore_frac"))).withColumnRenamed("token_ids", "token_id")
-    return pooling.encoded(windows, encode).join(shares, [*KEYS, "window_id", "token_id"]).withColumn("valid_frac", F.lit(1.0))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, windows = encode(), assembled(batches)
+        while held := list(islice(windows, batch)):
+            some = pa.Table.from_batches(held).combine_chunks()
+            ids = some.column("token_ids").to_pylist()
+            vectors = model([p.values.to_numpy() for p in some.column("pixels")], ids)
+            which = np.repeat(np.arange(len(ids)), list(map(len, ids)))
+            flat = lambda c: some.column(c).combine_chunks().flatten()
+            columns = {c: some.column(c).combine_chunks().take(pa.array(which)) for c in (*KEYS, "window_id")}
+            columns |= {"token_id": flat("token_ids")} | {c: flat(c) for c in SHARES}
+            columns["vec"] = pa.array([np.asarray(v, np.float32) for own in vectors for v in own], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    shares = ", ".join(f"{c} double" for c in SHARES)
+    return placed(pixels).mapInArrow(read, f"lake_id long, year int, window_id long, token_id int, {shares}, vec array<float>")
 
 
 def embedding_run_from_pixels(
@@ -122,8 +140,9 @@ def embedding_run_from_pixels(
     """
     todo = runs.todo(images, regions).select(*KEYS)
     enough = pixels.groupBy(KEYS).agg(F.count_if(F.col("in_lake") & F.col("valid")).alias("n")).where(F.col("n") >= least)
+    # shares of lake and shore count valid pixels only, so a token's valid share does not weigh in once more
     wanted = pixels.join(todo, KEYS, "left_semi").join(enough.select(*KEYS), KEYS, "left_semi")
-    return runs.embedding_run(images, regions, encoded_tokens(dense_windows(wanted), encode), lake_weight)
+    return runs.embedding_run(images, regions, dense_tokens(wanted, encode).withColumn("valid_frac", F.lit(1.0)), lake_weight)
 
 
 def band_means() -> Callable:

@@ -199,11 +199,8 @@ def spread(pixels):
 )
 def dense_windows(spark, pixels):
     """Tokens of full, centred windows, with a sum over the means of their bands."""
-    tokens = windows.dense_windows(spread(pixels))
-    vectors = pooling.encoded(tokens, windows.band_means)
-    shares = tokens.select("lake_id", "year", "window_id", F.inline(F.arrays_zip("token_ids", *windows.SHARES))).withColumnRenamed("token_ids", "token_id")
+    out = windows.dense_tokens(spread(pixels), windows.band_means)
     mark = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
-    out = vectors.join(shares, ["lake_id", "year", "window_id", "token_id"])
     cols = [F.round(c, 6).alias(c) for c in windows.SHARES]
     return out.select("lake_id", "year", F.col("token_id").cast("long").alias("token_id"), *cols, (F.round(mark, 3) + 0.0).alias("mark"))
 

@@ -69,3 +69,9 @@ def test_pixels_are_shuffled_once_by_site_and_year(spark, name):
     """Rows lie by site and year from the first, so the statistics add no shuffle of pixels."""
     plan = QUERIES[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pixels_of_windows_stay_in_their_task(spark):
+    """Dense windows are put together once, and no window's array goes between tasks."""
+    plan = QUERIES["dense_windows"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "pixels#" not in plan
