@@ -73,6 +73,7 @@ def dense_windows(pixels: DataFrame) -> DataFrame:
 def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows from their pixels, which come side by side."""
     side = WINDOW_PX // TOKEN_PX
+    token_of = np.arange(WINDOW_PX**2) // WINDOW_PX // TOKEN_PX * side + np.arange(WINDOW_PX**2) % WINDOW_PX // TOKEN_PX
 
     def runs_of() -> Iterator[tuple[tuple, pa.RecordBatch]]:
         for batch in batches:
@@ -84,13 +85,13 @@ def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for (lake_id, year, row, column, n_columns), own in groupby(runs_of(), lambda x: x[0]):
         data = np.zeros((len(INPUT_BANDS), WINDOW_PX**2), np.float32)
-        shares = np.zeros((len(SHARES), WINDOW_PX**2))
+        shares = np.zeros((len(SHARES), WINDOW_PX**2), bool)
         for _, part in own:
             place = part.column("place").to_numpy()
             for into, names in ((data, INPUT_BANDS), (shares, SHARES)):
                 for at, name in enumerate(names):
                     into[at, place] = part.column(name).to_numpy(zero_copy_only=False)
-        tokens = shares.reshape(len(SHARES), side, TOKEN_PX, side, TOKEN_PX).mean(axis=(2, 4)).reshape(len(SHARES), -1)
+        tokens = np.stack([np.bincount(token_of[np.flatnonzero(s)], minlength=side**2) for s in shares]) / TOKEN_PX**2
         kept = np.flatnonzero(tokens[0] + tokens[1] > 0)
         if len(kept):
             values = {"lake_id": lake_id, "year": year, "window_id": row * n_columns + column}
@@ -153,7 +154,8 @@ def band_means() -> Callable:
         out = []
         for flat, wanted in zip(pixels, token_ids):
             blocks = np.asarray(flat, np.float64).reshape(len(INPUT_BANDS), side, TOKEN_PX, side, TOKEN_PX)
-            out.append(blocks.mean(axis=(2, 4)).reshape(len(INPUT_BANDS), -1).T[wanted])
+            means = blocks.sum(axis=4).sum(axis=2) / TOKEN_PX**2
+            out.append(means.reshape(len(INPUT_BANDS), -1).T[wanted])
         return out
 
     return model
