@@ -61,13 +61,18 @@ def block_counts(rows: np.ndarray, offsets) -> Iterator[np.ndarray]:
             yield np.column_stack((names[own][hit][first], np.full(len(n), k), codes // RADIX % RADIX, codes % RADIX, n))
 
 
-def pair_counts(levels: DataFrame, offsets=TEXTURE_OFFSETS) -> DataFrame:
+def dealt(rows: DataFrame, tasks: int | None, *columns: str) -> DataFrame:
+    return rows.repartition(tasks, *columns) if tasks else rows.repartition(*columns)
+
+
+def pair_counts(levels: DataFrame, offsets=TEXTURE_OFFSETS, tasks: int | None = None) -> DataFrame:
     """(lake_id, year, offset, i, j, n): how many pairs at an offset have levels i <= j, in either order.
 
     Pixels go to square blocks of ``BLOCK`` a side, with a border of one pixel, and are
     counted there, so only counts of pairs of levels go on.  A task holds the blocks
     that end in an Arrow batch, and one that does not.  Counts are shuffled once, by
     site and year; what follows by site and year adds no shuffle, sort or window.
+    ``tasks`` is the number of tasks that share the pixels, by default the session's.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,19 +92,18 @@ def pair_counts(levels: DataFrame, offsets=TEXTURE_OFFSETS) -> DataFrame:
             yield from counted(held)
 
     i, j = F.least("i", "j").cast("int"), F.greatest("i", "j").cast("int")
-    return (
-        in_blocks(levels)
-        .repartition(*ORDER[:4])
+    counted = (
+        dealt(in_blocks(levels), tasks, *ORDER[:4])
         .sortWithinPartitions(*ORDER[:4])
         .mapInArrow(read, "lake_id long, year long, offset long, i long, j long, n long")
         .select("lake_id", *(F.col(x).cast("int").alias(x) for x in ("year", "offset")), i.alias("i"), j.alias("j"), "n")
-        .repartition(*KEYS)
-        .groupBy(*KEYS, "offset", "i", "j")
-        .agg(F.sum("n").alias("n"))
     )
+    return dealt(counted, tasks, *KEYS).groupBy(*KEYS, "offset", "i", "j").agg(F.sum("n").alias("n"))
 
 
-def texture(pixels: DataFrame, band: str = TEXTURE_BAND, levels: int = TEXTURE_LEVELS) -> DataFrame:
+def texture(
+    pixels: DataFrame, band: str = TEXTURE_BAND, levels: int = TEXTURE_LEVELS, tasks: int | None = None
+) -> DataFrame:
     """Six texture properties, averaged over the orientations that have pairs.
 
     Sites without four valid pixels, or without a pair, have no row.  The share of a
@@ -124,7 +128,7 @@ def texture(pixels: DataFrame, band: str = TEXTURE_BAND, levels: int = TEXTURE_L
     shares = {name: F.col(name) / whole for name in sums}
     shares |= {"energy": F.col("energy") / whole / whole, "entropy": F.log2(whole) - F.col("entropy") / whole}
     of_offset = (
-        pair_counts(quantised(pixels, band, levels))
+        pair_counts(quantised(pixels, band, levels), tasks=tasks)
         .groupBy(*KEYS, "offset")
         .agg(F.sum(cells * cell).alias("whole"), *(s.alias(name) for name, s in sums.items()))
         .withColumns(shares)

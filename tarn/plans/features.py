@@ -8,6 +8,7 @@ from tarn.constants import BANDS, INPUT_BANDS, INPUT_MEAN, INPUT_STD
 from tarn.operators import pixels as px
 from tarn.operators.texture import texture
 from tarn.plans.base import query, rounded
+from tarn.plans.views import tasks
 
 _ALL = " AND ".join(f"{b} IS NOT NULL" for b in BANDS)
 _X = "SELECT lake_id, year, r, c, " + ", ".join(f"{b} / 10000.0 AS {b}" for b in BANDS) + f" FROM v_bands WHERE {_ALL}"
@@ -151,9 +152,9 @@ _GLCM_SQL = """
     FROM per GROUP BY lake_id, year"""
 
 
-@query(f"SELECT * FROM ({_GLCM_SQL}) g", "v_bands")
-def glcm_texture(spark, pixels):
-    return rounded(texture(pixels))
+@query(f"SELECT * FROM ({_GLCM_SQL}) g", "v_bands", "lineitem")
+def glcm_texture(spark, pixels, lineitem):
+    return rounded(texture(pixels, tasks=tasks(lineitem)))
 
 
 _WIDE_INDEX_SQL = "SELECT lake_id, year, " + ", ".join(
@@ -171,10 +172,11 @@ _WIDE_INDEX_SQL = "SELECT lake_id, year, " + ", ".join(
         LEFT JOIN ({_SUMMARY_SQL}) s USING (lake_id, year) LEFT JOIN ({_BAND_SQL}) b USING (lake_id, year)
         LEFT JOIN ({_WIDE_INDEX_SQL}) i USING (lake_id, year) LEFT JOIN ({_GLCM_SQL}) g USING (lake_id, year)""",
     "v_bands",
+    "lineitem",
 )
-def lake_features_row(spark, pixels):
+def lake_features_row(spark, pixels, lineitem):
     """Every statistic of a site and year in one row."""
-    wide = px.site_year_features(pixels).join(texture(pixels), ["lake_id", "year"], "left")
+    wide = px.site_year_features(pixels).join(texture(pixels, tasks=tasks(lineitem)), ["lake_id", "year"], "left")
     of_index = [c for c in wide.columns if c.split("_")[0] in px.INDICES]
     rest = [c for c, kind in wide.dtypes if kind == "double" and c not in of_index]
     return rounded(rounded(wide, *of_index, digits=12), *rest)

@@ -6,6 +6,7 @@ braces; tables are read from Parquet.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,9 @@ def needs(name: str) -> list[str]:
 #: How a table's rows lie for a view, so that what groups or joins the view by site and
 #: year needs no further shuffle of pixels.
 LAID = {("v_pixels", "lineitem"): ("l_suppkey", "year(l_shipdate)")}
+#: Rows of such a table that one task gets, about.  What follows keeps all of a task's
+#: pixels in several aggregations at a time, so tasks grow in number, not in size.
+TASK_ROWS = 200_000
 
 
 def in_spark(sql: str) -> str:
@@ -118,7 +122,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def laid(table: DataFrame, view: str, name: str) -> DataFrame:
     keys = LAID.get((view, name))
-    return table.repartition(*map(F.expr, keys)) if keys else table
+    return table.repartition(tasks(table), *map(F.expr, keys)) if keys else table
+
+
+def tasks(table: DataFrame) -> int:
+    """How many tasks share a table's rows, the same number for each core; Parquet counts by its footers."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return cores * max(1, math.ceil(table.count() / (TASK_ROWS * cores)))
 
 
 def oracle(sql: str) -> str:

@@ -1,12 +1,15 @@
 """Queries against their SQL on keys and values that the test tables lack."""
 
 import math
+import re
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tarn.plans import views
 from tarn.plans.registry import ORACLES, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
@@ -71,6 +74,18 @@ def test_pixels_are_shuffled_once_by_site_and_year(spark, name):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_tasks_of_pixels_grow_in_number_not_in_size(spark, monkeypatch):
+    """Pixels and counts of pairs are dealt to as many tasks as the table's rows ask for."""
+    monkeypatch.setattr(views, "TASK_ROWS", 500, raising=False)
+    rows, cores = views.load(spark, str(SF), "lineitem").count(), spark.sparkContext.defaultParallelism
+    held = views.load(spark, str(SF), "v_pixels").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert held <= 1000
+    for name in ("lake_features_row", "glcm_texture"):
+        plan = QUERIES[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+        dealt = set(re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan))
+        assert dealt == {str(cores * math.ceil(rows / (500 * cores)))}
+
+
 def test_pixels_of_windows_stay_in_their_task(spark):
     """Dense windows are put together once, and no window's array goes between tasks."""
     plan = QUERIES["dense_windows"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
